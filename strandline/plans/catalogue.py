@@ -1,0 +1,6 @@
+"""The engine's registered queries, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
