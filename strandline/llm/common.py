@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -43,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 
+def some_rows(df: DataFrame, n: int) -> DataFrame:
+    """About n rows of df (all, if it has fewer). For choices that results don't depend on."""
+    total = df.count()
+    return df if total <= n else df.sample(fraction=n / total, seed=17)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and where each row's bytes start (one more entry than rows). Null counts as empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column

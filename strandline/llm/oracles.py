@@ -2,6 +2,7 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
     "op1_decontamination": rf"""
@@ -18,5 +19,40 @@ hi as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_
 select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hw using (doc_id) left join hi using (doc_id)
+""",
+    "op3_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op4_substring_dedup": rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
+p as (select doc_id, unnest(range(0, len(ws) - 12)) p from d where len(ws) >= 13),
+w as (select doc_id, p, md5_number(array_to_string(ws[p + 1 : p + 13], ' ')) h from p join d using (doc_id)),
+f as (select h, min(doc_id) least from w group by h),
+g as (select distinct doc_id, unnest(range(p, p + 13)) i from w join f using (h) where least < doc_id),
+a as (select doc_id, unnest(ws) w, unnest(range(0, len(ws))) i from d),
+k as (select doc_id, string_agg(w, ' ' order by i) kept, count(*) n from (select a.* from a left join g using (doc_id, i) where g.doc_id is null) group by doc_id)
+select doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join k using (doc_id)
+""",
+    "op5_suffix_array_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+n as (select doc_id, x, len(x) // 2 n from d),
+p as (select doc_id, unnest(range(0, n - 49)) p from n where n >= 50),
+w as (select doc_id, p, md5_number(substring(x, 2 * p + 1, 100)) h from p join n using (doc_id)),
+f as (select h, min(doc_id) least from w group by h),
+g as (select doc_id, p from w join f using (h) where least < doc_id),
+i as (select doc_id, p, p + 50 e, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end fresh from g),
+r as (select doc_id, p, e, sum(fresh) over (partition by doc_id order by p) run from i),
+s as (select doc_id, run, min(p) b, max(e) e from r group by doc_id, run),
+q as (select doc_id, b, e, lag(e, 1, 0) over (partition by doc_id order by b) before from s),
+k as (select doc_id, sum(e - b) gone, count(*) runs, string_agg(substring(x, 2 * before + 1, 2 * (b - before)), '' order by b) || any_value(substring(x, 2 * last + 1)) kept
+  from q join n using (doc_id) join (select doc_id, max(e) last from q group by doc_id) using (doc_id) group by doc_id)
+select doc_id, n::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(runs, 0)::bigint n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256
+from n left join k using (doc_id)
 """,
 }
