@@ -19,6 +19,18 @@ hi as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_
 select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hw using (doc_id) left join hi using (doc_id)
+""",
+    "op2_ngram_jaccard_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') ws from documents),
+x as (select doc_id, ws, least(5, len(ws)) n from d where len(ws) > 0),
+y as (select doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) i from x),
+s as (select distinct doc_id, array_to_string(ws[i + 1 : i + n], ' ') sh from y),
+c as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from p join c ca on ca.doc_id = a join c cb on cb.doc_id = b where 100 * k >= 75 * (ca.n + cb.n - k)),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.other)
+select d.doc_id, coalesce(c.n, 0)::bigint n_shingles, m.component_id
+from d left join c using (doc_id) join (select doc_id, min(other) component_id from r group by doc_id) m using (doc_id)
 """,
     "op3_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings

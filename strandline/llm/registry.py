@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, secrets, substrings, suffix_array, token_counts
+from . import decontamination, exact_top_k, language_id, mixing, parity_join, secrets, substrings, suffix_array, token_counts
 from .common import table
 from .oracles import SQL
 
@@ -17,6 +17,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -45,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
