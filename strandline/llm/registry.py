@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_top_k, language_id, mixing, parity_join, secrets, substrings, suffix_array, token_counts
+from . import decontamination, exact_top_k, language_id, mixing, parity_join, pii, secrets, substrings, suffix_array, token_counts
 from .common import table
 from .oracles import SQL
 
@@ -52,8 +52,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _of_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.label("base"), 256).alias("base_sha256"), pii.label("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

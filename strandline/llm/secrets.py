@@ -66,15 +66,15 @@ def parts(docs: DataFrame) -> DataFrame:
     free = F.filter(weak, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     scope = lambda s: F.size(F.split(F.substring("text", 1, s["start"]), r"\n[\x20\t\r]*\n"))
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), scope(s).alias("scope")))
-    out = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), "base", free.alias("weak"))
+    out = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"), F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), "base", free.alias("weak"))
     # scopes are looked at only where something weak is to be linked
     none = F.array().cast("array<struct<start:int,no:int,end:int,scope:int>>")
     some = F.size("weak") > 0
-    return out.select("row", "doc_id", "n_assign", "n_access", "n_hex", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"))).alias("base"), F.when(some, slim("weak")).otherwise(none).alias("weak"), F.when(some, slim("base")).otherwise(none).alias("strong"))
+    return out.select("row", "doc_id", "text_hash", "n_assign", "n_access", "n_hex", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"))).alias("base"), F.when(some, slim("weak")).otherwise(none).alias("weak"), F.when(some, slim("base")).otherwise(none).alias("strong"))
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base and spans (arrays of start, no, end; no indexes KINDS) of every row."""
+    """doc_id, text_hash, n_assign, n_access, n_hex, base and spans (arrays of start, no, end; no indexes KINDS) of every row."""
     table = written(parts(docs), "secret-parts")
     one = lambda c: table.where(F.size("weak") > 0).select("row", F.explode(c).alias("s")).select("row", "s.*")
     weak, all_parts = one("weak"), one(F.concat("weak", "strong"))
@@ -89,20 +89,22 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     linked = linked.groupBy("row").agg(F.collect_set(F.struct("start", "no", "end")).alias("linked"))
     out = table.join(linked, "row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast("array<struct<start:int,no:int,end:int>>"))))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
+    return out.select("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base", spans.alias("spans"))
 
 
 def redact(docs: DataFrame, reach: int = REACH, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mask (spans that overlap or touch count as one), all columns kept. doc_id must be unique and not null."""
-    found = scan_secrets(docs, reach).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.join(found, docs["doc_id"] == found["_id"], "left")
+    """docs with every span replaced by mask (spans that overlap or touch count as one), all columns kept."""
+    found = scan_secrets(docs, reach).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))  # equal texts have equal spans
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
 
     def step(acc, s):
         fresh = s["start"] > acc["at"]
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh | (acc["at"] == 0), F.concat(acc["out"], F.when(fresh, gap).otherwise(F.lit("")), F.lit(mask))).otherwise(acc["out"])
+        gap = F.substring(docs["text"], acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(fresh | (acc["out"] == ""), F.concat(acc["out"], F.when(fresh, gap).otherwise(F.lit("")), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
-    return rows.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
+    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(done)
+    changed = {"text": text, "n_chars": F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*(changed[c].alias(c) if changed.get(c) is not None else docs[c] for c in docs.columns))
