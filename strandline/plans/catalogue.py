@@ -1,6 +1,151 @@
-"""The engine's registered queries, and the SQL that must give the same rows."""
+"""The engine's registered queries. Those on pairs that SQL checks score region names against part names, both whole."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions.alphabet import OTHER, letters
+from strandline.functions.matrices import NAMES, matrix_table
+from strandline.operators import ingest, search, stats
+from strandline.operators.params import SearchParams
+from strandline.sources.tables import table, text_sequences
+
+from .sql import SQL  # noqa: F401
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sequences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sequences(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sequences(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_sequences(table(spark, sf_dir, "region"), "r_regionkey", "r_name")
+
+
+def _db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.preprocess(documents(spark, sf_dir))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.vector_groups(_db(spark, sf_dir))
+
+
+def seq_ingest(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("seq_ordinal", letters("residues").alias("residues")).where("residues <> ''")
+    return rows.select("seq_ordinal", "residues", F.length("residues").alias("len"))
+
+
+def residue_composition(spark, sf_dir):
+    return stats.residue_composition(seq_ingest(spark, sf_dir))
+
+
+def db_stats(spark, sf_dir):
+    return stats.db_stats(ingest.encoded(documents(spark, sf_dir)))
+
+
+def query_stats(spark, sf_dir):
+    return stats.query_stats(ingest.encoded(benchmark(spark, sf_dir)))
+
+
+def query_displacements(spark, sf_dir):
+    return ingest.query_set(benchmark(spark, sf_dir)).select("query_id", "len", "disp")
+
+
+def db_length_order(spark, sf_dir):
+    return _db(spark, sf_dir).select("db_pos", "seq_ordinal", "len")
+
+
+def chunk_assembly(spark, sf_dir):
+    return stats.chunks(_groups(spark, sf_dir))
+
+
+def group_slice(spark, sf_dir):
+    return stats.group_slice(_groups(spark, sf_dir), 10, 40)
+
+
+def sample_prefix(spark, sf_dir):
+    return stats.sample_prefix(_db(spark, sf_dir), 0.01).select("db_pos", "seq_ordinal", "len")
+
+
+def submat_lookup(spark, sf_dir):
+    """How much each matrix's row of each residue adds up to over all documents, by the join on residue codes."""
+    n = stats.residue_composition(seq_ingest(spark, sf_dir)).where(F.col("code") < OTHER).select(F.col("code").alias("j"), "n")
+    found = n.join(F.broadcast(matrix_table(spark)), "j")
+    return found.groupBy("matrix", "j", "res_j").agg(F.sum(F.col("score") * F.col("n")).alias("total"), F.max("score").alias("best"))
+
+
+def score_profile(spark, sf_dir):
+    rows = ingest.with_position(parts(spark, sf_dir).select("seq_ordinal", "title", letters("residues").alias("residues")).where("residues <> ''").withColumn("len", F.length("residues")))
+    return stats.score_profile(rows, matrix_table(spark, "blosum62"))
+
+
+def _pairs(spark, sf_dir, params: SearchParams = SearchParams()) -> DataFrame:
+    return search.score_pairs(ingest.query_set(regions(spark, sf_dir)), ingest.preprocess(parts(spark, sf_dir)), params)
+
+
+def _with(name: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, sf_dir):
+        return _pairs(spark, sf_dir, SearchParams(**options))
+
+    query.__name__ = name
+    return query
+
+
+def sw_scores(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+def sw_topk(spark, sf_dir):
+    return search.top_hits(_pairs(spark, sf_dir), 10)
+
+
+def hit_titles(spark, sf_dir):
+    return search.search(ingest.query_set(regions(spark, sf_dir)), ingest.preprocess(parts(spark, sf_dir)))
+
+
+def sw_overflow_stats(spark, sf_dir):
+    return stats.overflow(_pairs(spark, sf_dir, SearchParams("pam250", 0, 0)), 40)
+
+
+def cells(spark, sf_dir):
+    return stats.cells(ingest.query_set(benchmark(spark, sf_dir)), ingest.encoded(documents(spark, sf_dir)))
+
+
+def search_benchmark_documents(spark, sf_dir):
+    """Every benchmark item against every document, whole texts: the engine's headline."""
+    db = ingest.preprocess(documents(spark, sf_dir))
+    spread = search.deal(db, spark.sparkContext.defaultParallelism * 4)
+    hits = search.top_hits(search.best_of(ingest.query_set(benchmark(spark, sf_dir)), spread), SearchParams().top)
+    return search.with_titles(hits, db)
+
+
+def engine_info(spark, sf_dir):
+    """Settings of the session, with the size of the database they would serve."""
+    return stats.engine_info(spark).unionByName(db_stats(spark, sf_dir).selectExpr("stack(2, 'sequences', cast(sequences_count as string), 'residues', cast(residues as string)) as (name, value)"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for benchmark item 0."""
+    queries = ingest.query_set(benchmark(spark, sf_dir)).where("query_id = 0")
+    return search.search(queries, ingest.preprocess(documents(spark, sf_dir)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix,
+        submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, engine_info,
+        *(_with(f"sw_scores_{name}", matrix=name) for name in NAMES), *(_with(f"sw_scores_gaps_{o}_{e}", gap_open=o, gap_extend=e) for o, e in ((0, 0), (3, 1), (255, 127))),
+    )
+}
+QUERIES["vector_groups"] = _groups
