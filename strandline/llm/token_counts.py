@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import some_rows, written
 
 #: Pre-tokens in the broadcast head, at most, and the documents whose pre-tokens it is taken from.
-HEAD_SIZE, HEAD_DOCS = 400_000, 8_000
+HEAD_SIZE, HEAD_DOCS = 200_000, 8_000
 LIMIT = 1024
 
 
@@ -60,7 +60,18 @@ def _frequencies(path: str, text: str) -> tuple[Counter, int]:
 
 
 def _pieces(path: str, tokens: list[str]) -> list[int]:
-    return [len(e) for e in _tools(path)[0].encode_batch(tokens, add_special_tokens=False)]
+    encode = _tools(path)[0].encode_batch
+    return [len(e) for i in range(0, len(tokens), 4096) for e in encode(tokens[i : i + 4096], add_special_tokens=False)]
+
+
+def _counted(tokens: DataFrame, path: str) -> DataFrame:
+    """(token, pieces) of each row of tokens."""
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pieces(path, batch.column(0).to_pylist()), pa.int64())], ["token", "pieces"])
+
+    return tokens.mapInArrow(count, "token string, pieces long")
 
 
 def pre_token_head(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_docs: int = HEAD_DOCS) -> dict[str, int]:
@@ -73,10 +84,10 @@ def pre_token_head(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_
                 found.update(_frequencies(path, text)[0])
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["token", "n"])
 
-    sample = docs.where("text is not null").select("text").limit(head_docs).repartition(8)
+    sample = some_rows(docs, head_docs).where("text is not null").select("text")
     top = sample.mapInArrow(tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(head_size)
-    names = [r.token for r in top.select("token").collect()]
-    return dict(zip(names, _pieces(path, names), strict=True))
+    found = _counted(top.select("token"), path).toArrow()
+    return dict(zip(found.column("token").to_pylist(), found.column("pieces").to_pylist(), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_docs: int = HEAD_DOCS, limit: int = LIMIT) -> DataFrame:
@@ -113,13 +124,8 @@ def token_counts(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_do
 
     rows = written(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_bytes long, n long, token string"), "pre-tokens")
 
-    def count(batches):
-        for batch in batches:
-            tokens = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pieces(path, tokens), pa.int64())], ["token", "pieces"])
-
     rare = rows.where("token is not null")
-    pieces = rare.select("token").distinct().mapInArrow(count, "token string, pieces long")
+    pieces = _counted(rare.select("token").distinct(), path)
     counted = rare.join(pieces, "token").select("doc_id", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"))
     sure = rows.where("token is null").select("doc_id", "n_bytes", "n")
     total = sure.unionByName(counted).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
