@@ -96,6 +96,7 @@ def with_titles(hits: DataFrame, db: DataFrame) -> DataFrame:
     return hits.join(db.select("db_pos", "seq_ordinal", "title"), "db_pos").select("query_id", "db_pos", "seq_ordinal", "title", "score", "rank")
 
 
-def search(queries: DataFrame, db: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """query_id, db_pos, seq_ordinal, title, score, rank: the best hits of every query."""
-    return with_titles(top_hits(best_of(queries, db, params), params.top), db)
+def search(queries: DataFrame, db: DataFrame, params: SearchParams = SearchParams(), tasks: int | None = None) -> DataFrame:
+    """query_id, db_pos, seq_ordinal, title, score, rank: the best hits of every query. With tasks, the database is dealt
+    to as many partitions first; else it keeps its own."""
+    return with_titles(top_hits(best_of(queries, deal(db, tasks) if tasks else db, params), params.top), db)

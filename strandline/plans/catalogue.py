@@ -123,10 +123,8 @@ def cells(spark, sf_dir):
 
 def search_benchmark_documents(spark, sf_dir):
     """Every benchmark item against every document, whole texts: the engine's headline."""
-    db = ingest.preprocess(documents(spark, sf_dir))
-    spread = search.deal(db, spark.sparkContext.defaultParallelism * 4)
-    hits = search.top_hits(search.best_of(ingest.query_set(benchmark(spark, sf_dir)), spread), SearchParams().top)
-    return search.with_titles(hits, db)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return search.search(ingest.query_set(benchmark(spark, sf_dir)), ingest.preprocess(documents(spark, sf_dir)), tasks=tasks)
 
 
 def engine_info(spark, sf_dir):
