@@ -214,6 +214,8 @@ def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
             order = np.lexsort((ids, cell))
             edges = np.searchsorted(cell[order], np.arange(cells + 1))
             out += [(c, key[part].tobytes(), ids[part].tobytes(), b"", True) for c in range(cells) if len(part := order[edges[c] : edges[c + 1]])]
+            if not out:
+                continue
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["cell", "keys", "ids", "pairs", "open"])
 
