@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -52,8 +53,10 @@ def some_rows(df: DataFrame, n: int) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +72,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch with about limit bytes of text each (a longer text has a slice of its own), so that work arrays stay small."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     begin = total = 0

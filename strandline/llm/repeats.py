@@ -35,6 +35,11 @@ _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Anchors that a task packs at a time; bounds its memory.
+ANCHORS_TOGETHER = 500_000
+#: The same for stretches.
+STRETCHES_TOGETHER = 150_000
+DEALT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("content", pa.binary())])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -153,13 +158,30 @@ def low32(anchor: np.ndarray) -> np.ndarray:
     return mix(anchor + np.uint64(0x632BE59BD9B4E019))
 
 
-def grouped(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """One entry per id, with the bytes of its values."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(ids))
-    return ids[cut] if len(ids) else ids, [values[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+def dealt_back(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """Values of documents packed by the document's bucket: one row per bucket, however many documents."""
+    bucket = (ids % buckets).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    parts = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
+    columns = ([b for b, _ in parts], [ids[p].tobytes() for _, p in parts], [values[p].tobytes() for _, p in parts])
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "ids", "packed"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+
+def by_document(dealt: DataFrame, column: str) -> DataFrame:
+    """(doc_id, column): all values of each document, as bytes."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+        packed = b"".join(table.column("packed").to_pylist())
+        values = np.frombuffer(packed, np.dtype((np.void, len(packed) // len(ids))))
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        each = [values[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)]
+        return pa.table({"doc_id": pa.array(ids[cut]), column: pa.array(each, pa.binary())})
+
+    return dealt.groupBy("bucket").applyInArrow(gather, f"doc_id long, {column} binary")
 
 
 def _cells(spark) -> int:
@@ -216,36 +238,41 @@ def hot(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def shared_anchors(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, marks): hashes of the document's anchors that a second document has, 4 bytes each, in several rows."""
+    """(doc_id, marks): hashes of the document's anchors that a second document has, 4 bytes each."""
     cells = _cells(docs.sparkSession)
 
     def pack(batches):
+        found, size = [], 0
         for batch in batches:
-            found = [(low32(s.anchor), ids[s.text]) for _, ids, _, s in _parts(batch, plan)]
-            if not found:
-                continue
-            anchor, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((ids, anchor))
-            anchor, ids = anchor[order], ids[order]
-            fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])) if len(anchor) else np.zeros(0, bool)
-            anchor, ids = anchor[fresh], ids[fresh]
-            new = np.append(True, anchor[1:] != anchor[:-1]) if len(anchor) else np.zeros(0, bool)
-            many = ~new
-            many[:-1] |= ~new[1:]  # a second document in this batch
-            cell, mark = ((anchor >> np.uint64(32)) % np.uint64(cells)).astype(np.int32), anchor.astype(np.uint32)
-            out = []
-            for known, own in ((False, np.flatnonzero(new)), (True, np.flatnonzero(many))):
-                where = cell[own] if not known else (ids[own] % cells).astype(np.int32)
-                by = own[np.lexsort((ids[own], where))]
-                where = np.sort(where)
-                edges = np.searchsorted(where, np.arange(cells + 1))
-                for c in range(cells):
-                    part = by[edges[c] : edges[c + 1]]
-                    if len(part):
-                        out.append((c, known, mark[part].tobytes(), ids[part].tobytes()))
-            if out:
-                c, known, marks, who = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(known), pa.array(marks, pa.binary()), pa.array(who, pa.binary())], ["cell", "known", "marks", "ids"])
+            for block, ids, _, s in _parts(batch, plan):
+                found.append((low32(s.anchor), ids[s.text]))
+                size += len(s.anchor)
+                if size >= ANCHORS_TOGETHER:
+                    yield from packed_cells(found)
+                    found, size = [], 0
+        yield from packed_cells(found)
+
+    def packed_cells(found):
+        """Anchors by cell: those seen once go on to be met; those of several documents are known, and go on once."""
+        if not found:
+            return
+        anchor, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, anchor))
+        anchor, ids = anchor[order], ids[order]
+        fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])) if len(anchor) else np.zeros(0, bool)
+        anchor, ids = anchor[fresh], ids[fresh]
+        new = np.append(True, anchor[1:] != anchor[:-1]) if len(anchor) else np.zeros(0, bool)
+        many = ~new
+        many[:-1] |= ~new[1:]
+        cell, mark = ((anchor >> np.uint64(32)) % np.uint64(cells)).astype(np.int32), anchor.astype(np.uint32)
+        out = []
+        for known, own in ((False, np.flatnonzero(new)), (True, np.flatnonzero(many))):
+            where = (ids[own] % cells).astype(np.int32) if known else cell[own]
+            by = own[np.lexsort((ids[own], where))]
+            edges = np.searchsorted(np.sort(where), np.arange(cells + 1))
+            out += [(c, known, mark[part].tobytes(), ids[part].tobytes()) for c in range(cells) if len(part := by[edges[c] : edges[c + 1]])]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["cell", "known", "marks", "ids"])
 
     def second(table: pa.Table) -> pa.Table:
         known = np.array(table.column("known").to_pylist(), bool)
@@ -254,21 +281,20 @@ def shared_anchors(docs: DataFrame, plan: Plan) -> DataFrame:
         mark, who = take(marks, False), take(ids, False)
         _, place, n = np.unique(mark, return_inverse=True, return_counts=True)
         again = n[place] > 1 if len(mark) else np.zeros(0, bool)
-        docs_, values = grouped(np.concatenate([take(ids, True), who[again]]), np.concatenate([take(marks, True), mark[again]]))
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "marks": pa.array(values, pa.binary())})
+        return dealt_back(np.concatenate([take(ids, True), who[again]]), np.concatenate([take(marks, True), mark[again]]), cells)
 
     packed = docs.mapInArrow(pack, "cell int, known boolean, marks binary, ids binary")
-    return packed.groupBy("cell").applyInArrow(second, "doc_id long, marks binary")
+    return by_document(packed.groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks")
 
 
 def _joined(parts: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a column of lists of byte strings, and how many each row has."""
-    rows = [b"".join(x) if x else b"" for x in parts.to_pylist()]
+    """The values of a column of byte strings, and how many each row has."""
+    rows = parts.to_pylist()
     return np.frombuffer(b"".join(rows), kind), np.array([len(r) // np.dtype(kind).itemsize for r in rows], np.int64)
 
 
 def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, spans): runs of repeated windows as pairs of int32 (first unit, windows), in a list of byte strings.
+    """(doc_id, spans): runs of repeated windows as pairs of int32 (first unit, windows), in bytes.
 
     plan.compare(contents, windows, key, least) gets the distinct stretches of a partition whose anchor another stretch
     shares: their bytes, number of windows, anchor and smallest document id, all in order of (anchor, id). It returns
@@ -279,11 +305,13 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
     frequent = spark.sparkContext.broadcast(hot(texts, plan))
     marks = written(shared_anchors(texts, plan), "repeat-marks")
     release(spark)
-    cells = 4 * _cells(spark)
-    both = texts.join(marks.groupBy("doc_id").agg(F.collect_list("marks").alias("marks")), "doc_id")
+    buckets = _cells(spark)
+    cells = 2 * buckets
+    both = texts.join(marks, "doc_id")
 
     def deal(batches):
         hot_anchors, hot_hashes, hot_least = frequent.value
+        waiting = []
         for batch in batches:
             for block, ids, units, s in _parts(batch, plan):
                 mark, count = _joined(block.column("marks"), np.uint32)
@@ -310,20 +338,33 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
                 data = units.data.tobytes()
                 begin, end = units.begin[starts_[:rest]], units.end[starts_[:rest] + windows_[:rest] + plan.window - 2]
                 content = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)] + [None] * len(cut)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((mix(keys_) % np.uint64(cells)).astype(np.int32)),
-                        pa.array(keys_.view(np.int64)),
-                        pa.array(ids[texts_], pa.int64()),
-                        pa.array((starts_ - units.starts[texts_]).astype(np.int32)),
-                        pa.array(windows_.astype(np.int32)),
-                        pa.array(content, pa.binary()),
-                    ],
-                    ["cell", "key", "doc_id", "start", "windows", "content"],
-                )
-
-    def decide(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+                part = [keys_.view(np.int64), ids[texts_], (starts_ - units.starts[texts_]).astype(np.int32), windows_.astype(np.int32)]
+                waiting.append(pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(content, pa.binary())], schema=DEALT))
+                if sum(map(len, waiting)) >= STRETCHES_TOGETHER:
+                    yield from packed_stretches(waiting)
+                    waiting = []
+        yield from packed_stretches(waiting)
+
+    def packed_stretches(waiting):
+        """One compressed row a cell, however many stretches."""
+        if not waiting:
+            return
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        cell = (mix(table.column("key").to_numpy().view(np.uint64)) % np.uint64(cells)).astype(np.int32)
+        order = np.argsort(cell, kind="stable")
+        edges, table = np.searchsorted(cell[order], np.arange(cells + 1)), table.take(pa.array(order))
+        own = [c for c in range(cells) if edges[c] < edges[c + 1]]
+        out = []
+        for c in own:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, DEALT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(table.slice(edges[c], edges[c + 1] - edges[c]))
+            out.append(sink.getvalue().to_pybytes())
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(out, pa.binary())], ["cell", "packed"])
+
+    def decide(packed: pa.Table) -> pa.Table:
+        table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed.column("packed").to_pylist()]).combine_chunks()
         doc, start, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "windows"))
         content = table.column("content")
         sure = np.asarray(content.is_null())
@@ -359,20 +400,18 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
                     at = rows[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     spans.append((doc[at], start[at] + np.repeat(offset, n), np.repeat(count, n)))
         doc, start, windows = (np.concatenate(x) for x in zip(*spans, strict=True))
-        ids, values = grouped(doc, np.stack([start, windows], 1).astype(np.int32))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(values, pa.binary())})
+        return dealt_back(doc, np.stack([start, windows], 1).astype(np.int32), buckets)
 
-    dealt = both.mapInArrow(deal, "cell int, key long, doc_id long, start int, windows int, content binary")
-    spans = written(dealt.groupBy("cell").applyInArrow(decide, "doc_id long, spans binary"), "repeat-spans")
+    spans = written(by_document(both.mapInArrow(deal, "cell int, packed binary").groupBy("cell").applyInArrow(decide, "bucket int, ids binary, packed binary"), "spans"), "repeat-spans")
     release(spark)
-    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    return spans
 
 
-def covered(spans: list[bytes] | None, window: int, units: int) -> np.ndarray:
+def covered(spans: bytes | None, window: int, units: int) -> np.ndarray:
     """Which units of a text its repeated windows cover."""
     edge = np.zeros(units + 1, np.int32)
     if spans:
-        pairs = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2)
+        pairs = np.frombuffer(spans, np.int32).reshape(-1, 2)
         np.add.at(edge, pairs[:, 0], 1)
         np.add.at(edge, np.minimum(units, pairs[:, 0] + pairs[:, 1] + window - 1), -1)
     return np.cumsum(edge[:-1]) > 0

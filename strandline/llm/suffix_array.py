@@ -32,12 +32,14 @@ WINDOW, ANCHOR = 50, 20
 def doubled(data: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions that begin the same window bytes as another position does, and their ranks.
     left: how many bytes each position's text still has, itself included."""
+    if len(data) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = 1
     at = np.flatnonzero(left >= window)
     rank = np.full(len(data), -1, np.int64)
     if window >= 8:
         h = 8
-        first = np.zeros(max(0, len(data) - 7), np.uint64)
+        first = np.zeros(len(data) - 7, np.uint64)
         for j in range(8):
             first |= data[j : len(data) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
     else:
