@@ -298,27 +298,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def across(members: DataFrame, about: DataFrame, block: int = 2_000) -> DataFrame:
-    """Pairs of members (key, id, root) of one key and different roots that sizes and sketches allow."""
+def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
+    """Pairs of members (key, id, root) of one key and different roots that sizes and sketches allow.
+
+    A cell has many keys. Its members stand in order of (key, size), and each is compared with the next, the one after
+    that and so on, all keys at once, until sizes differ too much or the key ends.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        n, ids, root = (table.column(c).to_numpy() for c in ("n", "id", "root"))
+        key, n, ids, root = (table.column(c).to_numpy() for c in ("key", "n", "id", "root"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), SKETCH_BITS // 64)
-        order = np.argsort(n, kind="stable")
-        n, ids, root, sketch = n[order], ids[order], root[order], sketch[order]
-        out = [np.zeros((0, 2), np.int64)]
-        for i in range(len(n)):
-            to = np.searchsorted(n, n[i] * 4 // 3, "right")
-            for j in range(i + 1, to, block):
-                other = slice(j, min(to, j + block))
-                fits = (root[other] != root[i]) & (np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64) <= (n[other] + n[i]) // 7)
-                hit = ids[other][fits]
-                out.append(np.stack([np.minimum(hit, ids[i]), np.maximum(hit, ids[i])], 1))
-        pairs = np.concatenate(out)
+        order = np.lexsort((ids, n, key))
+        key, n, ids, root = key[order], n[order], ids[order], root[order]
+        out, at, ahead = [np.zeros((0, 2), np.int64)], np.arange(len(n)), 0
+        while len(at):
+            ahead += 1
+            at = at[at + ahead < len(n)]
+            at = at[(key[at] == key[at + ahead]) & (3 * n[at + ahead] <= 4 * n[at])]
+            apart = at[root[at] != root[at + ahead]]
+            for i in range(0, len(apart), 1 << 16):
+                x = apart[i : i + (1 << 16)]
+                y = x + ahead
+                hit = np.bitwise_count(sketch[order[x]] ^ sketch[order[y]]).sum(1, dtype=np.int64) <= (n[x] + n[y]) // 7
+                x, y = ids[x[hit]], ids[y[hit]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
-    return sized.groupBy("key").applyInArrow(compare, "a long, b long").distinct()
+    return sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -337,15 +345,15 @@ def linked_components(docs: DataFrame) -> DataFrame:
     found = written(stars(texts, seed, hot), "stars")
     release(spark)
     pairs = written(possible(_unpacked(found, "pairs").distinct(), sets), "pairs")
-    links = verified(pairs, texts)
     copies = sets.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = sets.join(copies, ["set_a", "set_b", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    roots = components(links.unionByName(copies))
+    roots = components(verified(pairs, texts).unionByName(copies))
     release(spark)
 
     members = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = written(across(members.join(split, "key").distinct(), sets).withColumn("equal", F.lit(False)), "pairs")
+    rest = written(across(members.join(split, "key").distinct(), sets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("equal", F.lit(False)), "pairs")
+    release(spark)
     if not rest.isEmpty():
         roots = components(verified(rest, texts).unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
     counted = rows.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n")).unionByName(rows.where("doc_id is null and text is not null").mapInArrow(_count, "doc_id long, n long")).unionByName(about.select("doc_id", "n"))
