@@ -13,7 +13,7 @@ keys. The order puts parts with shingles that are frequent in a sample last and
 
 Candidates. Keys meet by value in cells. Within a key the smallest id is paired with each other one (a star, never all
 pairs); a batch that sees a key twice makes its own star and sends one entry on. Pairs are checked by size and by the
-Hamming distance of 1024-bit parity sketches, then by the shingles of both whole texts. Verified links give components.
+Hamming distance of parity sketches of about two bits a shingle, then by the shingles of both whole texts. Verified links give components.
 Where a key still holds members of several components, all pairs across components are checked in blocks: so no link is
 lost, and members of one component aren't compared again. Copies with equal sets are linked by a hash of the set.
 
@@ -119,10 +119,34 @@ def join_keys(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int, hot:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _sketches(row: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
-    """Parity of each row's shingles in each of SKETCH_BITS parts, packed."""
-    place = row * SKETCH_BITS + (mix(t + np.uint64(11)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def _sketches(row: np.ndarray, t: np.ndarray, n: int) -> list[bytes]:
+    """Parity of each row's shingles in each of its sketch's bits. A sketch has 2 bits a shingle, rounded up to a power of
+    two, and SKETCH_BITS at least: with too few, sketches of long documents look alike."""
+    sizes = np.bincount(row, minlength=n)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    place, out = mix(t + np.uint64(11)), [b""] * n
+    for width in np.unique(bits):
+        own = np.flatnonzero(bits == width)
+        number = np.full(n, -1)
+        number[own] = np.arange(len(own))
+        take = number[row] >= 0
+        at = number[row[take]] * width + (place[take] & np.uint64(width - 1)).astype(np.int64)
+        packed = np.packbits((np.bincount(at, minlength=len(own) * width) & 1).astype(np.uint8).reshape(len(own), width), axis=1)
+        for i, sketch in zip(own, packed, strict=True):
+            out[i] = sketch.tobytes()
+    return out
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with fewer bits: halves laid over each other."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _short(sketch: bytes) -> bytes:
+    return _folded(np.frombuffer(sketch, np.uint64)[None], SKETCH_BITS // 64).tobytes()
 
 
 def _sets(row: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
@@ -158,20 +182,20 @@ def _blocks_of(batch: pa.RecordBatch):
 
 
 def described(texts: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n (shingles), two hashes of the set, its sketch, and whether it fills too few parts."""
+    """doc_id, n (shingles), two hashes of the set, its sketch as a whole and folded, and whether it fills too few parts."""
 
     def describe(batches):
         for batch in batches:
             for ids, row, t, sizes in _blocks_of(batch):
                 n = len(ids)
-                both, sketch = _sets(row, t, n), _sketches(row, t, n)
+                both, sketches = _sets(row, t, n), _sketches(row, t, n)
                 weak = too_few_parts(row, t, sizes, seed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(weak)],
-                    ["doc_id", "n", "set_a", "set_b", "sketch", "weak"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array([_short(s) for s in sketches], pa.binary()), pa.array(weak)],
+                    ["doc_id", "n", "set_a", "set_b", "sketch", "short", "weak"],
                 )
 
-    return texts.mapInArrow(describe, "doc_id long, n long, set_a long, set_b long, sketch binary, weak boolean")
+    return texts.mapInArrow(describe, "doc_id long, n long, set_a long, set_b long, sketch binary, short binary, weak boolean")
 
 
 def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
@@ -252,8 +276,16 @@ def possible(pairs: DataFrame, about: DataFrame) -> DataFrame:
 
 
 def _distance(x: pa.Array, y: pa.Array) -> pa.Array:
-    a, b = (np.frombuffer(b"".join(z.to_pylist()), np.uint64).reshape(len(z), SKETCH_BITS // 64) for z in (x, y))
-    return pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64))
+    """Hamming distances, of the wider sketch folded to the width of the other."""
+    x, y, by = x.to_pylist(), y.to_pylist(), {}
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        by.setdefault((len(a), len(b)), []).append(i)
+    out = np.zeros(len(x), np.int64)
+    for (a, b), own in by.items():
+        left, right = (np.frombuffer(b"".join(side[i] for i in own), np.uint64).reshape(len(own), -1) for side in (x, y))
+        words = min(a, b) // 8
+        out[own] = np.bitwise_count(_folded(left, words) ^ _folded(right, words)).sum(1, dtype=np.int64)
+    return pa.array(out)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -299,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
-    """Pairs of members (key, id, root) of one key and different roots that sizes and sketches allow.
+    """Pairs of members (key, id, root) of one key and different roots that sizes and folded sketches allow.
 
     A cell has many keys. Its members stand in order of (key, size), and each is compared with the next, the one after
     that and so on, all keys at once, until sizes differ too much or the key ends.
@@ -307,7 +339,7 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         key, n, ids, root = (table.column(c).to_numpy() for c in ("key", "n", "id", "root"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), SKETCH_BITS // 64)
+        sketch = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint64).reshape(len(n), SKETCH_BITS // 64)
         order = np.lexsort((ids, n, key))
         key, n, ids, root = key[order], n[order], ids[order], root[order]
         out, at, ahead = [np.zeros((0, 2), np.int64)], np.arange(len(n)), 0
@@ -325,7 +357,7 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
+    sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
     return sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -352,7 +384,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     members = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = written(across(members.join(split, "key").distinct(), sets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("equal", F.lit(False)), "pairs")
+    near = across(members.join(split, "key").distinct(), sets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rest = written(possible(near, sets), "pairs")
     release(spark)
     if not rest.isEmpty():
         roots = components(verified(rest, texts).unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import decontamination, exact_top_k, parity_join
 
@@ -64,10 +65,14 @@ def test_too_few_parts_are_noticed():
 def test_sketch_distance_is_a_lower_bound():
     r = np.random.default_rng(2)
     for _ in range(20):
-        a = r.integers(1, 1 << 63, 200).astype(np.uint64)
-        b = np.concatenate([a[: r.integers(1, 200)], r.integers(1, 1 << 63, 30).astype(np.uint64)])
-        x, y = (parity_join._sketches(np.zeros(len(s), np.int64), s, 1)[0] for s in (a, b))
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a) ^ set(b))
+        n = int(r.choice([200, 900, 3000]))
+        a = r.integers(1, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: r.integers(n // 2, n)], r.integers(1, 1 << 63, n // 3).astype(np.uint64)])
+        other = r.integers(1, 1 << 63, n).astype(np.uint64)
+        x, y, z = (parity_join._sketches(np.zeros(len(s), np.int64), s, 1)[0] for s in (a, b, other))
+        near, far = parity_join._distance(pa.array([x, x]), pa.array([y, z])).to_pylist()
+        assert near <= len(set(a) ^ set(b)) and far > 2 * n / 7
+        assert parity_join._distance(pa.array([parity_join._short(x)]), pa.array([y]))[0].as_py() <= near
 
 
 def test_join_on_empty_null_and_repeated(spark):
