@@ -12,7 +12,7 @@ keys. The order puts parts with shingles that are frequent in a sample last and
 ``SMALL`` shingles each is a part of its own. A document that fills too few parts is noticed, and all are hashed anew.
 
 Candidates. Keys meet by value in cells. Within a key the smallest id is paired with each other one (a star, never all
-pairs); a batch that sees a key twice makes its own star and sends one entry on. Pairs are checked by size and by the
+pairs), for which each document's LOW_KEYS lowest keys are enough; a batch that sees a key twice makes its own star and sends one entry on. Pairs are checked by size and by the
 Hamming distance of parity sketches of about two bits a shingle, then by the shingles of both whole texts. Verified links give components.
 Where a key still holds members of several components, all pairs across components are checked in blocks: so no link is
 lost, and members of one component aren't compared again. Copies with equal sets are linked by a hash of the set.
@@ -38,6 +38,8 @@ WORDS = 5
 #: Sets of fewer shingles are joined shingle by shingle; the first band, and each band's upper over its lower end.
 SMALL, RATIO, PARTS_PER_SHINGLE = 64, 4, 0.45
 SKETCH_BITS = 1024
+#: Of each document's keys, in order of value, those that make stars, and those that tell where a pair is to be reported.
+LOW_KEYS = 6
 HOT_DOCS, SAMPLE_DOCS, HOT_SHINGLES, HOT_BITS = 6, 3_000, 100_000, 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -202,22 +204,23 @@ def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
     """Per cell: the keys of at least two documents with their documents (keys, ids), and the pairs of each key's star (a, b)."""
     cells = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def star(key, ids):
-        """Members of keys with at least two documents, and the distinct pairs of smallest and other ids."""
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+    def star(key, ids, low):
+        """Entries by key, low ones first, then by id: which are a key's first, which have company, and the distinct pairs
+        of a key's first and its other low entries."""
+        order = np.lexsort((ids, ~low, key))
+        key, ids, low = key[order], ids[order], low[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])) if len(key) else np.zeros(0, bool)
-        key, ids = key[fresh], ids[fresh]
+        key, ids, low = key[fresh], ids[fresh], low[fresh]
         first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         head = ids[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else ids
         many = ~first
         many[:-1] |= ~first[1:]
-        pairs = np.unique(np.stack([head[~first], ids[~first]], 1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
-        return key, ids, first, many, pairs
+        pairs = np.unique(np.stack([head, ids], 1)[low & ~first], axis=0)
+        return key, ids, low, first, many, pairs
 
     def pack(batches):
         for batch in batches:
-            keys, who = [], []
+            keys, who, lows = [], [], []
             known = set()
             for ids, row, t, sizes in _blocks_of(batch):
                 both = _sets(row, t, len(ids))
@@ -227,32 +230,35 @@ def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
                     known.add(own)
                 take = lead[row]
                 r, key = join_keys(row[take], t[take], np.where(lead, sizes, 0), seed, hot.value)
+                order = np.lexsort((key, r))
+                r, key = r[order], key[order]
+                lows.append(np.arange(len(r)) - np.searchsorted(r, r) < LOW_KEYS)
                 keys.append(key)
                 who.append(ids[r])
             if not keys:
                 continue
-            key, ids, first, many, pairs = star(np.concatenate(keys), np.concatenate(who))
-            out = [(int(pairs[0, 0] % cells), key[many].tobytes(), ids[many].tobytes(), pairs.tobytes(), False)] if len(pairs) else []
-            key, ids = key[first], ids[first]
+            key, ids, low, first, many, pairs = star(np.concatenate(keys), np.concatenate(who), np.concatenate(lows))
+            out = [(int(ids[many][0] % cells), key[many].tobytes(), ids[many].tobytes(), b"", pairs.tobytes(), False)] if many.any() else []
+            key, ids, low = key[first], ids[first], low[first]
             cell = (mix(key) % np.uint64(cells)).astype(np.int64)
             order = np.lexsort((ids, cell))
             edges = np.searchsorted(cell[order], np.arange(cells + 1))
-            out += [(c, key[part].tobytes(), ids[part].tobytes(), b"", True) for c in range(cells) if len(part := order[edges[c] : edges[c + 1]])]
+            out += [(c, key[part].tobytes(), ids[part].tobytes(), low[part].tobytes(), b"", True) for c in range(cells) if len(part := order[edges[c] : edges[c + 1]])]
             if not out:
                 continue
             columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["cell", "keys", "ids", "pairs", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), *[pa.binary()] * 4, pa.bool_()), strict=True)], ["cell", "keys", "ids", "low", "pairs", "open"])
 
     def meet(table: pa.Table) -> pa.Table:
-        still = table.column("open").to_pylist()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "pairs")), strict=True))
-        key = np.frombuffer(b"".join(k for (k, _, _), o in zip(rows, still, strict=True) if o), np.uint64)
-        ids = np.frombuffer(b"".join(i for (_, i, _), o in zip(rows, still, strict=True) if o), np.int64)
-        key, ids, _, many, pairs = star(key, ids)
-        done = [r for r, o in zip(rows, still, strict=True) if not o] + [(key[many].tobytes(), ids[many].tobytes(), pairs.tobytes())]
-        return pa.table({c: pa.array(v, pa.binary()) for c, v in zip(("keys", "ids", "pairs"), zip(*done, strict=True), strict=True)})
+        still = np.array(table.column("open").to_pylist(), bool)
+        met = table.filter(pa.array(still))
+        key, ids, low = (np.frombuffer(b"".join(met.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("ids", np.int64), ("low", bool)))
+        key, ids, _, _, many, pairs = star(key, ids, low)
+        columns = ("keys", "ids", "pairs")
+        own = pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(columns, (key[many], ids[many], pairs), strict=True)})
+        return pa.concat_tables([table.filter(pa.array(~still)).select(columns), own])
 
-    return texts.mapInArrow(pack, "cell int, keys binary, ids binary, pairs binary, open boolean").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
+    return texts.mapInArrow(pack, "cell int, keys binary, ids binary, low binary, pairs binary, open boolean").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
 
 
 def _unpacked(found: DataFrame, *columns: str) -> DataFrame:
@@ -342,6 +348,10 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
         sketch = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint64).reshape(len(n), SKETCH_BITS // 64)
         order = np.lexsort((ids, n, key))
         key, n, ids, root = key[order], n[order], ids[order], root[order]
+        low = table.column("low").to_pylist()
+        lowest = np.full((len(n), LOW_KEYS), np.iinfo(np.int64).max)
+        for i, j in enumerate(order):
+            lowest[i, : len(low[j])] = low[j]
         out, at, ahead = [np.zeros((0, 2), np.int64)], np.arange(len(n)), 0
         while len(at):
             ahead += 1
@@ -352,12 +362,17 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
                 x = apart[i : i + (1 << 16)]
                 y = x + ahead
                 hit = np.bitwise_count(sketch[order[x]] ^ sketch[order[y]]).sum(1, dtype=np.int64) <= (n[x] + n[y]) // 7
-                x, y = ids[x[hit]], ids[y[hit]]
+                x, y = x[hit], y[hit]
+                # a pair with a smaller key in common, among the lowest of both, is reported there
+                same = (lowest[x][:, :, None] == lowest[y][:, None, :]) & (lowest[x] < key[x][:, None])[:, :, None]
+                once = ~same.any((1, 2))
+                x, y = ids[x[once]], ids[y[once]]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
+    low = members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+    sized = members.join(low, "id").join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
     return sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
 
 
