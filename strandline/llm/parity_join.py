@@ -14,8 +14,8 @@ keys. The order puts parts with shingles that are frequent in a sample last and
 Candidates. Keys meet by value in cells. Within a key the smallest id is paired with each other one (a star, never all
 pairs), for which each document's LOW_KEYS lowest keys are enough; a batch that sees a key twice makes its own star and sends one entry on. Pairs are checked by size and by the
 Hamming distance of parity sketches of about two bits a shingle, then by the shingles of both whole texts. Verified links give components.
-Where a key still holds members of several components, all pairs across components are checked in blocks: so no link is
-lost, and members of one component aren't compared again. Copies with equal sets are linked by a hash of the set.
+Where a key still holds members of several components, the nearest pair of each two components is verified, and after that
+all pairs across components that are left: so no link is lost, and members of one component aren't compared again. Copies with equal sets are linked by a hash of the set.
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
@@ -336,11 +336,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
+def _first_of_each(rows: np.ndarray) -> np.ndarray:
+    """Of rows with the same first two values, the smallest."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))] if len(rows) else rows
+
+
+def across(members: DataFrame, about: DataFrame, cells: int, nearest: bool) -> DataFrame:
     """Pairs of members (key, id, root) of one key and different roots that sizes and folded sketches allow.
 
     A cell has many keys. Its members stand in order of (key, size), and each is compared with the next, the one after
-    that and so on, all keys at once, until sizes differ too much or the key ends.
+    that and so on, all keys at once, until sizes differ too much or the key ends. With nearest, each two components of a
+    cell only send their pair of smallest distance.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -352,7 +359,7 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
         lowest = np.full((len(n), LOW_KEYS), np.iinfo(np.int64).max)
         for i, j in enumerate(order):
             lowest[i, : len(low[j])] = low[j]
-        out, at, ahead = [np.zeros((0, 2), np.int64)], np.arange(len(n)), 0
+        out, best, at, ahead = [np.zeros((0, 2), np.int64)], np.zeros((0, 5), np.int64), np.arange(len(n)), 0
         while len(at):
             ahead += 1
             at = at[at + ahead < len(n)]
@@ -361,14 +368,19 @@ def across(members: DataFrame, about: DataFrame, cells: int) -> DataFrame:
             for i in range(0, len(apart), 1 << 16):
                 x = apart[i : i + (1 << 16)]
                 y = x + ahead
-                hit = np.bitwise_count(sketch[order[x]] ^ sketch[order[y]]).sum(1, dtype=np.int64) <= (n[x] + n[y]) // 7
-                x, y = x[hit], y[hit]
+                distance = np.bitwise_count(sketch[order[x]] ^ sketch[order[y]]).sum(1, dtype=np.int64)
+                hit = distance <= (n[x] + n[y]) // 7
+                x, y, distance = x[hit], y[hit], distance[hit]
+                if nearest:
+                    rows = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), distance * 1000 // (n[x] + n[y]), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1)
+                    best = _first_of_each(np.concatenate([best, rows]))
+                    continue
                 # a pair with a smaller key in common, among the lowest of both, is reported there
                 same = (lowest[x][:, :, None] == lowest[y][:, None, :]) & (lowest[x] < key[x][:, None])[:, :, None]
                 once = ~same.any((1, 2))
                 x, y = ids[x[once]], ids[y[once]]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
+        pairs = np.unique(np.concatenate([*out, best[:, 3:]]), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     low = members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
@@ -397,13 +409,18 @@ def linked_components(docs: DataFrame) -> DataFrame:
     roots = components(verified(pairs, texts).unionByName(copies))
     release(spark)
 
-    members = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    near = across(members.join(split, "key").distinct(), sets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rest = written(possible(near, sets), "pairs")
-    release(spark)
-    if not rest.isEmpty():
+    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    for nearest in (True, False):  # first what joins whole components, then every pair that is left
+        members = held.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        near = across(members.join(split, "key").distinct(), sets, cells, nearest)
+        rest = written(possible(near, sets), "pairs")
+        release(spark)
+        if rest.isEmpty():
+            continue
         roots = components(verified(rest, texts).unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
+        release(spark)
     counted = rows.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n")).unionByName(rows.where("doc_id is null and text is not null").mapInArrow(_count, "doc_id long, n long")).unionByName(about.select("doc_id", "n"))
     return counted.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
