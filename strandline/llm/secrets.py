@@ -8,8 +8,9 @@ part co-occurs within ``reach`` code points and in the same scope (no blank line
 * an account (``account``) or an endpoint (``endpoint``) beside a secret of any kind.
 
 Parts leave the scan as rows. Weak ones are dealt to every cell of ``reach`` code points that their interval, widened
-by ``reach``, touches; parts to the cell that they start in. The interval join is then an equi-join on (document,
-cell) with a distance condition. A cell has room for few parts, so the number of pairs is bounded by the text's length.
+by ``reach``, touches; parts to every cell that they touch themselves, so that long ones meet what is near either end.
+The interval join is then an equi-join on (document, cell) with a distance condition. A cell has room for few parts, so
+the number of pairs is bounded by the text's length.
 
 Defined results: null and empty texts have no spans; every row of the input gives one row, repeated ids included; other
 columns are ignored; an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -79,8 +80,8 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     one = lambda c: table.where(F.size("weak") > 0).select("row", F.explode(c).alias("s")).select("row", "s.*")
     weak, all_parts = one("weak"), one(F.concat("weak", "strong"))
     cell = lambda c: F.floor(c / reach)
-    near = weak.withColumn("cell", F.explode(F.sequence(cell(F.col("start") - 2 * reach), cell(F.col("end") + reach))))
-    other = all_parts.select("row", F.col("start").alias("b_start"), F.col("no").alias("b_no"), F.col("end").alias("b_end"), F.col("scope").alias("b_scope"), cell(F.col("start")).alias("cell"))
+    near = weak.withColumn("cell", F.explode(F.sequence(cell(F.col("start") - reach), cell(F.col("end") + reach))))
+    other = all_parts.select("row", F.col("start").alias("b_start"), F.col("no").alias("b_no"), F.col("end").alias("b_end"), F.col("scope").alias("b_scope"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
     kind = lambda c, *names: c.isin([KINDS.index(n) for n in names])
     a, b = F.col("no"), F.col("b_no")
     fits = (kind(a, "random") & kind(b, "access", "account", "endpoint")) | (kind(a, "account", "endpoint") & kind(b, "assign", "hex", "random"))

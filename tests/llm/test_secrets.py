@@ -45,6 +45,22 @@ def test_weak_parts_need_a_complement(spark):
     assert kinds == {0: [], 1: ["access", "random"], 2: ["access"], 3: ["access"], 4: ["endpoint", "account", "random"], 5: [], 6: ["account", "assign"], 7: ["account", "random"]}
 
 
+def test_long_parts_are_linked_at_either_end(spark):
+    weak, long, site = "Zx81kPqL02mNvB7tRwYd", f"token={'aB3_' * 250}", f"https://db.example.com/{'p.' * 500}"
+    pad = " " * 300
+    cases = [
+        (f"{pad}{long} user=maria", ["assign", "account"]), (f"{pad}user=maria {long}", ["account", "assign"]), (f"{pad}{long} https://db.example.com", ["assign", "endpoint"]),
+        (f"{pad}{site} {weak}", ["endpoint", "random"]), (f"{pad}{weak} {site}", ["random", "endpoint"]), (f"{pad}user=maria {'ab12' * 250}", ["account", "hex"]),
+        (f"{pad}{'ab12' * 250} user=maria", ["hex", "account"]), (f"{pad}{'aB3_' * 250} user=maria", ["random", "account"]), (f"{pad}user=maria {'aB3_' * 250}", ["account", "random"]),
+        (f"{long}{' ' * 200}user=maria", ["assign", "account"]), (f"{long}{' ' * 201}user=maria", ["assign"]), (f"user=maria{' ' * 200}{long}", ["account", "assign"]), (f"user=maria{' ' * 201}{long}", ["assign"]),
+        (f"{long}\n\nuser=maria", ["assign"]),
+    ]
+    got = rows(spark, [t for t, _ in cases])
+    assert [[secrets.KINDS[s.no] for s in got[i].spans] for i in range(len(cases))] == [kinds for _, kinds in cases]
+    docs = spark.createDataFrame([(0, cases[0][0], "", 0)], EMPTY)
+    assert secrets.redact(docs).first().text == f"{pad}[SECRET] [SECRET]"
+
+
 def test_given_documents_and_redaction(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
