@@ -96,6 +96,67 @@ def test_language_code_lengths_and_odd_texts(spark):
     assert language_id.predicted(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def small_scripts():
+    """A large corpus of 51 Latin bytes, and two small languages of one script whose letters differ in the last byte only."""
+    r = random.Random(7)
+    letters = {"hi": [chr(c) for c in range(0x915, 0x923)], "mr": [chr(c) for c in range(0x923, 0x931)]}
+    write = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    texts = [write("abcdefghijklmnopqrstuvwxyz0123456789 .,;:!?()-+*/='", 400) for _ in range(400)]
+    langs = ["en"] * 400
+    for name, own in letters.items():
+        texts += [write(own, 20) for _ in range(40)]
+        langs += [name] * 40
+    return texts, langs
+
+
+def test_small_languages_of_another_script(spark):
+    texts, langs = small_scripts()
+    got = {x.doc_id: x for x in language_id.predicted(frame(spark, texts, langs)).collect()}
+    held = [i for i in range(400, len(texts)) if got[i].held_out]
+    assert len(held) > 5 and all(got[i].lang_pred == langs[i] for i in range(len(texts)))
+
+
+def test_language_codes_are_those_of_the_bytes(spark):
+    import zlib
+    from collections import Counter
+
+    texts, langs = small_scripts()
+    docs = frame(spark, texts, langs)
+    trees = language_id.train(docs)
+    assert trees.languages == ["en", "hi", "mr"]
+    counts = {name: [Counter() for _ in range(4)] for name in trees.languages}
+    for i, (text, name) in enumerate(zip(texts, langs, strict=True)):
+        if zlib.crc32(str(i).encode()) % 5:
+            data = b"\n\n\n" + text.encode().lower()
+            for at in range(3, len(data)):
+                for order in range(4):
+                    counts[name][order][data[at - order : at + 1]] += 1
+    alphabet = [b for b in range(256) if not 65 <= b < 91]
+
+    def brute(name, context):
+        p = dict.fromkeys(alphabet, 1 / len(alphabet))
+        for order in range(4):
+            own = {b: counts[name][order][context[3 - order :] + bytes([b])] for b in alphabet}
+            seen, total = [b for b in alphabet if own[b]], sum(own.values())
+            if seen:
+                rest = 1 - sum(p[b] for b in seen)
+                p = {b: (own[b] if own[b] else len(seen) * p[b] / rest) / (total + len(seen)) for b in alphabet}
+        return p
+
+    samples = ["xy? \u0916\u0924a", "", "\u0929\u0930" * 3, "Zq\u00e9\u6771 \u0915"]
+    data = np.frombuffer("".join(samples).encode(), np.uint8)
+    starts = np.cumsum([0] + [len(t.encode()) for t in samples])
+    want = []
+    for text in samples:
+        whole = b"\n\n\n" + text.encode().lower()
+        want.append([sum(-np.log2(brute(name, whole[at - 3 : at])[whole[at]]) for at in range(3, len(whole))) for name in trees.languages])
+    assert np.allclose(trees.code_lengths(data, starts), want, rtol=1e-4)
+    assert np.allclose(language_id.train(docs, symbols=8).code_lengths(data, starts), want, rtol=1e-4)
+    for context in (b"abc", b"\xe0\xa4\x95", b"a\xff ", b"\x01\x02\x03"):
+        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in alphabet], np.uint32)
+        assert np.allclose((2.0 ** -trees.code(grams).astype(float)).sum(0), 1, atol=1e-4)
+
+
 def brute_pii(text):
     found = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
