@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The patterns (base spans) always stay. The field looks at regions: stretches of neighbouring chunks of text with a
-digit or an @ in them that no base span covers. It segments a region into tokens that are nothing and entities of at
+digit or an @ in them that no base span covers (a blank, or a mark between blanks, joins two chunks). It segments a region into tokens that are nothing and entities of at
 most ``MAX_TOKENS`` tokens, each of a kind. A segment's score is a sum of weights of features of the whole span: its
 shape (runs of digits and marks with their lengths), counts of digits and marks, words before it, what ends it. Dynamic
 programming over token boundaries, with the bounded length, picks the best segmentation: boundaries and kinds jointly.
 An entity of the best segmentation is reported if its span scores ``margin`` at least.
 
 Weights are trained here, by averaged structured updates (the decoded segmentation against the known one) on the regions of
-a bounded sample of documents, with base spans as the known entities. The mark that a pattern needs (a phone's plus, an
-address's dots in ASCII) is sometimes hidden from training features, so that the rest of the span has to tell.
+a bounded sample of documents, chosen by a hash of id and text, with base spans as the known entities. The mark that a
+pattern needs (a phone's plus, an address's dots) is sometimes hidden from training features, so that the rest of the
+span has to tell. An email's @ is not: without one, no span with letters is looked at.
 
 Defined results: null and empty texts have no spans; each row of the input gives one row, repeated ids included; other
 columns are ignored; an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -19,13 +20,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import some_rows
-
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, TRAIN_DOCS, ROUNDS, MARGIN = 24, 3_000, 5, 2.0
 
@@ -34,7 +34,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK, _GAP = re.compile("[0-9@]"), re.compile(r"\s")
+#: Least and most digits of an entity without @, by kind.
+DIGITS = {None: (4, 19), 0: (7, 19), 1: (4, 12), 2: (7, 19), 3: (7, 19)}
+#: The mark of a kind that training hides.
+HIDDEN = {1: ".", 3: "+"}
+_MARK, _GAP, _JOIN = re.compile("[0-9@]"), re.compile(r"\s"), re.compile(r"[ \t]([^\w\s][ \t])?")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 
 
@@ -100,37 +104,44 @@ class Region:
         before = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])
         self.cue = before[-1].lower() if before else ""
 
-    def may(self, i: int, j: int) -> bool:
-        """Whether a span could be any entity at all: it begins and ends in a token, and has enough digits or an @ inside."""
+    def may(self, i: int, j: int, kind: int | None = None) -> bool:
+        """Whether a span could be an entity of a kind (of any, if None): it begins and ends in a token, and has enough digits or an @ inside."""
         first, last = self.shapes[i], self.shapes[j - 1]
         if first.isspace() or last.isspace() or not (last[0] == "d" or last == "w"):
             return False
         if self.ats[j] - self.ats[i]:
             return self.ats[j] - self.ats[i] == 1 and first != "@" and last != "@" and self.dots[j] > self.dots[i]
-        return 7 <= self.digits[j] - self.digits[i] <= 19 and self.letters[j] == self.letters[i]
+        digits = self.digits[j] - self.digits[i]
+        least, most = DIGITS[kind]
+        return least <= digits <= most and self.letters[j] == self.letters[i]
 
     def features(self, i: int, j: int, kind: int, hide: bool = False):
         """Names of the features of a span as an entity of a kind."""
         shapes = self.shapes[i:j]
-        if hide:
-            shapes = [s for s in shapes if s != "+"] if kind == 3 else shapes
+        dots = self.dots[j] - self.dots[i]
+        if hide and kind in HIDDEN:
+            shapes = [s for s in shapes if s != HIDDEN[kind]]
+            dots = 0 if HIDDEN[kind] == "." else dots
         digits, k = self.digits[j] - self.digits[i], KINDS[kind]
         marks = "".join(sorted({s for s in shapes if s[0] != "d" and s != "w"}))
         yield k
         yield f"{k} shape {''.join(shapes)}" if len(shapes) <= 15 else f"{k} long"
         yield f"{k} digits {min(digits, 22)}"
         yield f"{k} marks {marks}"
-        yield f"{k} @ {self.ats[j] - self.ats[i]} dots {min(self.dots[j] - self.dots[i], 4)} words {min(self.letters[j] - self.letters[i], 4)}"
+        yield f"{k} @ {self.ats[j] - self.ats[i]} dots {min(dots, 4)} words {min(self.letters[j] - self.letters[i], 4)}"
         yield f"{k} ends {shapes[0]} {shapes[-1]}"
         left = self.shapes[i - 1] if i else f"cue {self.cue}"
-        if kind == 2:
-            yield f"{k} check {luhn(''.join(t for t, s in zip(self.tokens[i:j], self.shapes[i:j], strict=True) if s[0] == 'd' and len(s) == 2))}"
+        if kind in (1, 2):
+            runs = [t for t, s in zip(self.tokens[i:j], self.shapes[i:j], strict=True) if s[0] == "d" and len(s) == 2]
+            yield f"{k} check {luhn(''.join(runs)) if kind == 2 else len(runs) == 4 and all(len(t) <= 3 and int(t) <= 255 for t in runs)}"
         yield f"{k} after {left[:1] if i else left}"
         yield f"{k} before {self.shapes[j][:1] if j < len(self.shapes) else ''}"
 
 
-def decode(region: Region, weights: dict, blocked: list[bool], hide: bool = False) -> tuple[float, list[tuple[int, int, int]]]:
-    """The best segmentation: its score and its entities (first token, end token, kind). blocked tokens belong to none."""
+def decode(region: Region, weights: dict, blocked: list[bool], hide: bool = False, by_kind: bool = False, gold: Sequence = ()) -> tuple[float, list[tuple[int, int, int]]]:
+    """The best segmentation: its score and its entities (first token, end token, kind). blocked tokens belong
+    to none. With by_kind, a span is only of kinds that its digits allow; spans of
+    gold score MARGIN less, so that training goes on until they reach it."""
     n = len(region.tokens)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
@@ -142,7 +153,11 @@ def decode(region: Region, weights: dict, blocked: list[bool], hide: bool = Fals
                 break
             if region.may(i, j):
                 for kind in range(len(KINDS)):
+                    if by_kind and not region.may(i, j, kind):
+                        continue
                     score = best[i] + sum(weights.get(f, 0.0) for f in region.features(i, j, kind, hide))
+                    if (i, j, kind) in gold:
+                        score -= MARGIN
                     if score > best[j]:
                         best[j], back[j] = score, (i, kind)
     out, j = [], n
@@ -156,7 +171,7 @@ def decode(region: Region, weights: dict, blocked: list[bool], hide: bool = Fals
 
 
 def chunks(text: str):
-    """Stretches of neighbouring chunks (parts without space) that each hold a digit or an @, one blank apart at most."""
+    """Stretches of neighbouring chunks (parts without space) that each hold a digit or an @, one blank or one mark between blanks apart at most."""
     start = end = 0
     m = _MARK.search(text)
     while m:
@@ -165,7 +180,7 @@ def chunks(text: str):
             a -= 1
         gap = _GAP.search(text, m.end())
         b = gap.start() if gap else len(text)
-        if end and a == end + 1 and text[end] in " \t":
+        if end and _JOIN.fullmatch(text, end, a):
             end = b
         else:
             if end:
@@ -180,7 +195,7 @@ def regions(text: str, base: list[tuple[int, int, int]], known: bool = False):
     """Regions of a text, each with its tokens covered by base spans; those without free tokens only if known."""
     for a, b in chunks(text):
         part = text[a:b]
-        if "@" not in part and sum("0" <= c <= "9" for c in part) < 7:
+        if "@" not in part and sum("0" <= c <= "9" for c in part) < DIGITS[None][0]:
             continue
         own = [s for s in base if s[1] < b and a < s[2]]
         if not known and own and not re.search("[0-9@]", "".join(c for i, c in enumerate(part, a) if not any(s[1] <= i < s[2] for s in own))):
@@ -204,7 +219,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -
                 out += [text[max(0, r.at[0] - 24) : r.at[-1] + 1] for r, _, _ in regions(text, base_spans(text), True) if len(r.tokens) <= 400]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    found = some_rows(docs, train_docs).where("text is not null").select("text").mapInArrow(near, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(4 * train_docs)
+    n = docs.count()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = docs.where(place < train_docs / n) if n > train_docs else docs
+    found = chosen.where("text is not null").select("text").mapInArrow(near, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(4 * train_docs)
     weights, total, step = defaultdict(float), defaultdict(float), 0
     examples = []
     for text in found.toArrow().column(0).to_pylist():
@@ -214,7 +232,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -
         for k, (region, gold) in enumerate(examples):
             step += 1
             hide = (k + r) % 2 == 1
-            _, guess = decode(region, weights, [False] * len(region.tokens), hide)
+            _, guess = decode(region, weights, [False] * len(region.tokens), hide, by_kind=True, gold=gold)
             for spans, by in ((gold, 1.0), (guess, -1.0)):
                 if gold != guess:
                     for span in spans:
@@ -228,7 +246,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict, marg
     """(kind, start, end) of entities that overlap no base span."""
     out = []
     for region, blocked, _ in regions(text, base):
-        for i, j, kind in decode(region, weights, blocked)[1]:
+        for i, j, kind in decode(region, weights, blocked, by_kind=True)[1]:
             if sum(weights.get(f, 0.0) for f in region.features(i, j, kind)) >= margin:
                 out.append((kind, region.at[i], region.at[j]))
     return out

@@ -193,6 +193,19 @@ def test_pii_field_finds_what_patterns_miss(spark):
         assert all(not any(s[1] < b[2] and b[1] < s[2] for b in base) for s in set(spans) - set(base))
 
 
+def test_pii_field_finds_addresses_of_few_digits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = pii.train(docs)
+    find = lambda text: [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), weights)]
+    assert find("host 10[.]0[.]0[.]5 is up") == [("ip", "10[.]0[.]0[.]5")]
+    assert find("host 8 . 8 . 8 . 8 is up") == [("ip", "8 . 8 . 8 . 8")]
+    assert find("in 1999 and 2001, 12 - 14 items, 3.50 or 1,234.56") == []
+    region = pii.Region("8.8.8.8", 0, 7)
+    assert [region.may(0, 7, k) for k in range(4)] == [False, True, False, False]
+    assert "ip marks " in set(region.features(0, 7, 1, True)) and "ip marks ." in set(region.features(0, 7, 1))
+    assert pii.train(docs, 300) == pii.train(docs.repartition(7), 300)
+
+
 def test_decoding_is_the_best_segmentation():
     """Against trying every segmentation of short regions, with random weights."""
     r = random.Random(5)
