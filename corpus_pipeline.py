@@ -1,6 +1,6 @@
 """From raw documents to a training mix: five stages, each written as Parquet and read again by the next.
 
-    language         documents that no learned language fits (null, empty or without a letter) go
+    language         documents without a letter (null and empty ones, too) go, whether or not a language could be learned
     near_duplicates  of each group of near copies the document with the smallest id stays
     decontamination  documents in which a benchmark window occurs go
     secrets          secrets are masked in the texts; every document stays
@@ -20,7 +20,10 @@ from strandline.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.train(docs))
+    trees = language_id.train(docs)
+    if not trees.languages:  # no labels to learn from: only texts without a letter go
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, trees)
     return docs.withColumn("_found", found).where(F.col("_found.lang") != language_id.UNKNOWN).select(*docs.columns)
 
 

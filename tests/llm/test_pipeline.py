@@ -75,3 +75,10 @@ def test_repeated_rows_and_extra_columns_pass_through(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == [c.split(" ")[0] for c in SCHEMA.split(", ")]
     assert sorted((r.doc_id or 0, r.text.endswith("[SECRET]"), r.words, r.row) for r in docs.collect()) == [(0, True, "w", 1), (1, True, "w", 1), (1, True, "w", 1)]
+
+
+def test_language_keeps_texts_when_none_is_learned(spark):
+    texts = ["plain text", "Ünder", None, "", "12 34"]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, "k", "w", 2, 3, 4, "h", 5, 6, 7) for i, t in enumerate(texts)], SCHEMA)
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
