@@ -44,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, width: Column, limit: int = 64 << 20) -> DataFrame:
+    """A written table, to be broadcast if its rows (width: bytes of each, about) take at most limit bytes, else sorted and merged."""
+    size = table.agg(F.sum(width).alias("n")).first().n or 0
+    return F.broadcast(table) if size <= limit else table.hint("merge")
+
 
 def some_rows(df: DataFrame, n: int) -> DataFrame:
     """About n rows of df (all, if it has fewer). For choices that results don't depend on."""

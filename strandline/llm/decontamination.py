@@ -3,14 +3,16 @@
 A window is ``window`` consecutive words of a benchmark item (a shorter item is one window). Any window of L words that
 occurs in a document covers, wherever it stands, a whole aligned block of b = (L + 1) // 2 words: one that begins at a
 multiple of b. So a document is looked up only once in b words, by the hash of its aligned blocks, in the broadcast hash
-set of all b-word blocks of the benchmark. A hit then brings the benchmark words around it, and the words themselves
-are compared, window by window. Only verified windows leave the scan, as (document, first word, item).
+set of all b-word blocks of the benchmark. A block travels with the words of all windows that may hold it (2 L - b at
+most), never with its document, so the work is linear in a text's length. A hit brings the benchmark words around it,
+and the words themselves are compared, window by window. Documents are scanned once, for all window lengths together.
 
-The benchmark is broadcast while it has at most ``broadcast_words`` words; beyond that the same equi-join shuffles.
+The benchmark's blocks are broadcast while their words take at most ``broadcast_bytes``; beyond that the same equi-join
+shuffles both sides and sorts them.
 
 Defined results: null texts and texts without a word have no words and no hits; null or wordless items have no windows;
-an item with a null id marks words but isn't counted; items that share an id are one item; rows that share a doc_id are
-pooled (words added, hits united); other columns are ignored; an empty table on either side gives no hits.
+an item with a null id marks words but isn't counted; items that share an id are one item; every row of docs gives one
+row, repeated and null ids included; other columns are ignored; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -18,64 +20,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, small, written
 
-WINDOW, BROADCAST_WORDS = 10, 2_000_000
+WINDOW, BROADCAST_BYTES = 10, 64 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of a broadcast block row, and of each word in it, besides the words' own.
+ROW_BYTES, WORD_BYTES = 80, 24
 
 
 def words(text: Column | str) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
-def _aligned(b: int) -> Column:
-    """(p, hash) of each block of b words that begins at a multiple of b."""
-    return F.transform(F.sequence(F.lit(0), F.size("words") - b, F.lit(b)), lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice("words", p + 1, F.lit(b))).alias("block")))
+def _blocks(length: int) -> Column:
+    """Each block that begins at a multiple of b: p, its hash, and the words from ``room`` before it to the end of the last window that holds it."""
+    b = (length + 1) // 2
+    room = length - b
 
+    def one(p):
+        first = F.greatest(F.lit(0), p - room)
+        return F.struct(F.lit(length).alias("length"), p.alias("p"), F.xxhash64(F.slice("words", p + 1, F.lit(b))).alias("block"), F.slice("words", first + 1, p - first + length).alias("near"))
 
-def _agrees(length: int):
-    """Whether the length words that begin s before the block are the same in the document and in the item."""
+    enough = F.size("words") >= length
+    return F.when(enough, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - b), F.lit(b)), one)).otherwise(F.array().cast("array<struct<length:int,p:int,block:bigint,near:array<string>>>"))
+
+
+def _items(benchmark: DataFrame, window: int) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("item"), F.octet_length("text").alias("bytes")).where(F.size("item") > 0)
+    return items.withColumn("length", F.least(F.lit(window), F.size("item"))).withColumn("b", F.floor((F.col("length") + 1) / 2).cast("int"))
 
-    def same(s):
-        at, of, n = F.col("p") - s, F.col("c") - s, F.lit(length)
-        fits = (at >= 0) & (of >= 0) & (at + length <= F.size("words")) & (of + length <= F.size("around"))
-        return fits & (F.slice("words", F.greatest(F.lit(1), at + 1), n) == F.slice("around", F.greatest(F.lit(1), of + 1), n))
 
-    return same
+def _lookup(items: DataFrame) -> DataFrame:
+    """(length, block, around, c, item_id): every block of every item, with the words of the windows that hold it; c is the block's place in these."""
+    room, q = F.col("length") - F.col("b"), F.col("q")
+    first = F.greatest(F.lit(0), q - room)
+    rows = items.select("item_id", "item", "length", "b", F.explode(F.sequence(F.lit(0), F.size("item") - F.col("b"))).alias("q"))
+    return rows.select("length", F.xxhash64(F.slice("item", q + 1, F.col("b"))).alias("block"), F.slice("item", first + 1, q - first + F.col("length")).alias("around"), (q - first).alias("c"), "item_id").distinct()
 
 
-def windows_found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, start, length, item_id) of every benchmark window that occurs in a document, repeats possible."""
-    items = benchmark.select("item_id", words("text").alias("item")).where(F.size("item") > 0).withColumn("length", F.least(F.lit(window), F.size("item")))
-    about = {r.length: r.words for r in items.groupBy("length").agg(F.sum(F.size("item")).alias("words")).collect()}  # at most `window` rows
-    out = docs.sparkSession.createDataFrame([], "doc_id long, start int, length int, item_id long")
+def _agrees(s: Column) -> Column:
+    """Whether the length words that begin s before the block are the same in the document and in the item."""
+    room = F.floor(F.col("length") / 2).cast("int")  # length - b
+    at, of = F.least(F.col("p"), room) - s, F.col("c") - s
+    fits = (at >= 0) & (of >= 0) & (at + F.col("length") <= F.size("near")) & (of + F.col("length") <= F.size("around"))
+    return fits & (F.slice("near", F.greatest(F.lit(1), at + 1), F.col("length")) == F.slice("around", F.greatest(F.lit(1), of + 1), F.col("length")))
+
+
+def windows_found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row, doc_id, n_words, start, length, item_id) of every benchmark window that occurs in a row of docs, repeats
+    possible; each row of docs is there at least once, with a null start besides its windows."""
+    items = _items(benchmark, window)
+    wide = 2 * F.col("length") - F.col("b")
+    about = items.groupBy("length").agg(F.sum(F.col("bytes") * wide + (F.size("item") - F.col("b") + 1) * (ROW_BYTES + WORD_BYTES * wide)).alias("bytes")).collect()  # at most `window` rows
+    lookup = _lookup(items)
+    lookup = F.broadcast(lookup) if sum(r.bytes for r in about) <= broadcast_bytes else lookup.hint("merge")
+    itself = F.struct(F.lit(0).alias("length"), F.lit(-1).alias("p"), F.xxhash64("doc_id", F.size("words")).alias("block"), F.array().cast("array<string>").alias("near"))
     texts = docs.select("doc_id", words("text").alias("words"))
-    for length, total in sorted(about.items()):
-        b = (length + 1) // 2
-        room = length - b
-        lookup = items.where(F.col("length") == length).select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - b)).alias("q"))
-        first = F.greatest(F.lit(0), F.col("q") - room)
-        lookup = lookup.select(
-            "item_id", F.xxhash64(F.slice("item", F.col("q") + 1, F.lit(b))).alias("block"), F.slice("item", first + 1, F.lit(2 * length)).alias("around"), (F.col("q") - first).alias("c")
-        ).distinct()
-        lookup = F.broadcast(lookup) if total <= broadcast_words else lookup
-        seeds = texts.where(F.size("words") >= length).select("doc_id", "words", F.explode(_aligned(b)).alias("x")).select("doc_id", "words", "x.p", "x.block")
-        hits = seeds.join(lookup, "block").select("doc_id", "item_id", "p", F.explode(F.filter(F.sequence(F.lit(0), F.lit(room)), _agrees(length))).alias("s"))
-        out = out.unionByName(hits.select("doc_id", (F.col("p") - F.col("s")).alias("start"), F.lit(length).alias("length"), F.col("item_id").cast("long")))
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    # the row number keeps Spark from working out the blocks twice, below and in a filter on them
+    cut = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(F.array(itself), *(_blocks(r.length) for r in about)).alias("x"))
+    seeds = cut.select("row", "doc_id", "n_words", F.explode("x").alias("x")).select("row", "doc_id", "n_words", "x.*")
+    met = seeds.join(lookup, ["length", "block"], "left").where((F.col("length") == 0) | F.col("c").isNotNull())
+    starts = F.filter(F.sequence(F.lit(0), F.floor(F.col("length") / 2).cast("int")), _agrees)
+    found = met.select("row", "doc_id", "n_words", "p", "length", "item_id", F.explode(F.when(F.col("length") == 0, F.array(F.lit(0))).otherwise(starts)).alias("s"))
+    start = F.when(F.col("length") > 0, F.col("p") - F.col("s"))
+    return found.select("row", "doc_id", "n_words", start.alias("start"), "length", "item_id")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids as sorted strings), spans (maximal runs of hit words: start, end exclusive), contaminated."""
-    hits = windows_found(docs, benchmark, window, broadcast_words).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "length")).alias("hits"), F.collect_set(F.col("item_id").cast("string")).alias("items")
+    is_hit = F.col("start").isNotNull()
+    rows = windows_found(docs, benchmark, window, broadcast_bytes).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        F.collect_set(F.when(is_hit, F.struct("start", "length"))).alias("hits"),
+        F.collect_set(F.when(is_hit, F.col("item_id").cast("string"))).alias("items"),
     )
     hit = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))))
-    hits = hits.select("doc_id", F.lit(0).cast("long").alias("n_words"), hit.alias("hit"), F.array_sort("items").alias("items"))
-    counts = docs.select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
-    both = counts.unionByName(hits, allowMissingColumns=True).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.first("hit", True).alias("hit"), F.first("items", True).alias("items"))
-    none = F.array().cast("array<int>")
-    out = both.select("doc_id", "n_words", F.coalesce("hit", none).alias("hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = rows.select("doc_id", "n_words", hit.alias("hit"), F.array_sort("items").alias("items"))
     begins = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) != x - 1))
     ends = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) != x + 1))
     spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
@@ -83,7 +104,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", spans.alias("spans"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The rows of docs in which no benchmark window occurs, with all their columns."""
-    found = windows_found(docs, benchmark, window, broadcast_words).select(F.col("doc_id").alias("_hit")).distinct()
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs in whose id's texts no benchmark window occurs, with all their columns. Only the ids found go on."""
+    found = windows_found(docs, benchmark, window, broadcast_bytes).where("start is not null").select(F.col("doc_id").alias("_hit")).distinct()
+    found = small(written(found, "contaminated"), F.lit(64))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")

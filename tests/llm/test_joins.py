@@ -114,8 +114,8 @@ def test_decontamination_against_brute_force(spark):
         texts += [f"{prose(r, 15, 5000)} {item.upper()} {prose(r, 9, 5000)}", " ".join(words[1:]), f"{' '.join(words[:9])} gap {' '.join(words[9:])}", item + "!" + item]
     bench = spark.createDataFrame([(i, t, "w") for i, t in enumerate(items)], "item_id long, text string, words string")
     want = decontaminated(texts, items)
-    for limit in (decontamination.BROADCAST_WORDS, 0):  # broadcast, and the shuffled way
-        got = {x.doc_id: x for x in decontamination.decontaminate(frame(spark, texts), bench, broadcast_words=limit).collect()}
+    for limit in (decontamination.BROADCAST_BYTES, 0):  # broadcast, and the shuffled way
+        got = {x.doc_id: x for x in decontamination.decontaminate(frame(spark, texts), bench, broadcast_bytes=limit).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].items) for i in range(len(texts))] == want
         assert all(sum(s.end - s.start for s in x.spans) == x.n_hit and x.contaminated == (x.n_hit > 0) for x in got.values())
     kept = {x.doc_id for x in decontamination.remove_contaminated(frame(spark, texts), bench).collect()}
@@ -125,6 +125,28 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.decontaminate(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    passage = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, passage), (1, f"{passage} eleven"), (None, "lone item"), (2, None)], "item_id long, text string")
+    rows = [(5, f"a {passage} eleven"), (5, "clean"), (None, passage), (None, "the lone item here"), (7, "fine"), (7, "fine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        got = decontamination.decontaminate(docs, bench, broadcast_bytes=limit).collect()
+        assert sorted((x.doc_id or 0, x.n_words, x.n_hit, x.items) for x in got) == [(0, 4, 2, []), (0, 10, 10, ["1"]), (5, 1, 0, []), (5, 12, 11, ["1"]), (7, 1, 0, []), (7, 1, 0, [])]
+        assert [x.doc_id for x in decontamination.remove_contaminated(docs, bench, broadcast_bytes=limit).collect()] == [7, 7]
+
+
+def test_decontamination_of_long_texts(spark):
+    """The work is linear in a text's length, broadcast or shuffled."""
+    r = random.Random(11)
+    item = prose(r, 40, 100_000)
+    text = f"{prose(r, 160_000, 100_000)} {item} {prose(r, 160_000, 100_000)}"
+    docs, bench = frame(spark, [text]), spark.createDataFrame([(3, item)], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        got = decontamination.decontaminate(docs, bench, broadcast_bytes=limit).first()
+        assert (got.n_hit, got.items, [tuple(s) for s in got.spans]) == (40, ["3"], [(160_000, 160_040)])
+
+
 def brute_top(vectors, k, every):
     whole = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in vectors.items() if v and all(x is not None and np.isfinite(x) for x in v)}
     out = []
