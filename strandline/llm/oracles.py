@@ -4,6 +4,19 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+#: The patterns of the secret scan, stated anew: kind, number, pattern.
+_SECRETS = (
+    ("assign", 0, r"""((?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", 1, "AKIA[A-Z0-9]+"),
+    ("hex", 2, "[0-9a-f]+"),
+    ("random", 3, "[A-Za-z0-9+/_-]{20,}={0,2}"),
+    ("account", 4, r"""(?i:user(?:name)?|login|client_?id|account)["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9._@-]{3,}"""),
+    ("endpoint", 5, "(?:https?|ftp|s3|jdbc|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:/_%?=&@-]+"),
+    ("blank", -1, r"\n[\x20\t\r]*\n"),
+)
+_quoted = lambda pattern: "'" + pattern.replace("\\'", "'").replace("'", "''") + "'"
+_SECRET_MATCHES = " union all ".join(f"select r, {no} no, '{kind}' kind, regexp_extract_all(t, {_quoted(p)}) f, string_split_regex(t, {_quoted(p)}) g from d" for kind, no, p in _SECRETS)
+
 SQL = {
     "op1_decontamination": rf"""
 with d as (select doc_id, {_ITEM_WORDS} ws from documents),
@@ -66,5 +79,22 @@ k as (select doc_id, sum(e - b) gone, count(*) runs, string_agg(substring(x, 2 *
   from q join n using (doc_id) join (select doc_id, max(e) last from q group by doc_id) using (doc_id) group by doc_id)
 select doc_id, n::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(runs, 0)::bigint n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256
 from n left join k using (doc_id)
+""",
+    "op7_secrets": f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+m as ({_SECRET_MATCHES}),
+x as (select r, no, kind, unnest(f) v, unnest(range(1, len(f) + 1)) i, unnest(list_transform(g[1:len(f)], lambda y: length(y))) gap from m where len(f) > 0),
+y as (select r, no, kind, v, sum(gap + length(v)) over (partition by r, no order by i) e from x),
+p as (select r, no, kind, v, (e - length(v))::int s, e::int e from y where no <> 0 or length(regexp_extract(v, {_quoted(_SECRETS[0][2])}, 2)) >= 12),
+base as (select r, no, kind, s, e from p where no = 0 or (no = 1 and length(v) >= 18) or (no = 2 and length(v) >= 16)),
+weak as (select r, no, kind, s, e from p where no in (4, 5) or (no = 3 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]'))),
+free as (select * from weak w where not exists (select 1 from base b where b.r = w.r and b.s < w.e and w.s < b.e)),
+every as (select *, (select count(*) from p l where l.r = q.r and l.no = -1 and l.e <= q.s) scope from (select * from base union all select * from free) q),
+linked as (select distinct w.r, w.no, w.kind, w.s, w.e from every w join every b on w.r = b.r and w.scope = b.scope and greatest(b.s - w.e, w.s - b.e) <= 200
+  and ((w.no = 3 and b.no in (1, 4, 5)) or (w.no in (4, 5) and b.no in (0, 2, 3)))),
+label as (select r, string_agg(kind || ':' || s || ':' || e, ',' order by s, no, e) spans from (select * from base union all select * from linked) group by r),
+own as (select r, count_if(no = 0) n0, count_if(no = 1) n1, count_if(no = 2) n2, string_agg(kind || ':' || s || ':' || e, ',' order by s, no, e) spans from base group by r)
+select doc_id, coalesce(n0, 0)::bigint n_assign, coalesce(n1, 0)::bigint n_access, coalesce(n2, 0)::bigint n_hex, sha256(coalesce(own.spans, '')) base_sha256, coalesce(label.spans, '') spans
+from d left join own using (r) left join label using (r)
 """,
 }

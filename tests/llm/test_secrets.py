@@ -1,3 +1,4 @@
+import random
 import re
 
 from strandline.llm import secrets
@@ -61,6 +62,42 @@ def test_long_parts_are_linked_at_either_end(spark):
     assert secrets.redact(docs).first().text == f"{pad}[SECRET] [SECRET]"
 
 
+def brute_spans(text, reach=secrets.REACH):
+    """All pairs of parts."""
+    base, weak = brute(text), []
+    for no, name in enumerate(secrets.KINDS[3:], 3):
+        for m in re.finditer(secrets.PATTERNS[name], text):
+            if name != "random" or re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                weak.append((m.start(), no, m.end()))
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    scope = lambda s: len(re.split(secrets.BLANK_LINE, text[: s[0]]))
+    partners = {3: (1, 4, 5), 4: (0, 2, 3), 5: (0, 2, 3)}
+    near = lambda w, b: b[1] in partners[w[1]] and scope(w) == scope(b) and max(b[0] - w[2], w[0] - b[2]) <= reach
+    return sorted({*base, *(w for w in weak if any(near(w, b) for b in base + weak))})
+
+
+def test_links_against_all_pairs(spark):
+    r = random.Random(6)
+    make = {
+        "assign": lambda: f"token={'aB3_' * r.randrange(3, 300)}", "access": lambda: f"AKIA{'SJ7Z' * r.randrange(4, 200)}", "hex": lambda: "ab12" * r.randrange(4, 300), "random": lambda: "Zx81kPqL" * r.randrange(3, 100),
+        "account": lambda: f"user={'maria' * r.randrange(1, 99)}", "endpoint": lambda: f"https://db.example.com/{'p.' * r.randrange(400)}", "gap": lambda: " " + "y " * r.randrange(120), "line": lambda: r.choice(["\n\n", "\n \t\n\n", "\n"]), "é": lambda: "é😀 ",
+    }
+    texts = ["".join(make[r.choice(list(make))]() + r.choice(["", " ", " ", "\n"]) for _ in range(r.randrange(2, 25))) for _ in range(150)]
+    want = [brute_spans(t) for t in texts]
+    assert sum(s[1] > 2 for w in want for s in w) > 150
+    for reach in (secrets.REACH, 30):
+        got = rows(spark, texts, reach=reach)
+        for i, t in enumerate(texts):
+            assert [tuple(s) for s in got[i].spans] == brute_spans(t, reach), t
+
+
+def test_many_matches_in_one_text(spark):
+    """Linear: starts are added up in pieces, scopes and overlaps by running sums."""
+    text = "\n\n".join(f"{i:016x} user=u{i:03d}" for i in range(16_000))
+    got = rows(spark, [text])[0]
+    assert (got.n_hex, len(got.spans)) == (16_000, 32_000) and text[got.spans[-1].start : got.spans[-1].end] == "user=u15999"
+
+
 def test_given_documents_and_redaction(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
