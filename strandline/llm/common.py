@@ -41,7 +41,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cells_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
+    """Groups to deal size bytes to, so that one has about ``each`` bytes, however large the data; as many as there are shuffle partitions at least."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each))
+
+
+def by_cell(cell: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each cell that occurs, and where, in order of place."""
+    order = np.argsort(cell, kind="stable")
+    edges = np.flatnonzero(np.append(True, cell[order[1:]] != cell[order[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    return [(int(cell[order[a]]), order[a:b]) for a, b in zip(edges, np.append(edges[1:], len(cell)), strict=True)]
 
 
 def small(table: DataFrame, width: Column, limit: int = 64 << 20) -> DataFrame:

@@ -11,11 +11,15 @@ It even agrees on one among the first n / 3 + 1 in any common order of (part, XO
 keys. The order puts parts with shingles that are frequent in a sample last and parts with several shingles first. Under
 ``SMALL`` shingles each is a part of its own. A document that fills too few parts is noticed, and all are hashed anew.
 
-Candidates. Keys meet by value in cells. Within a key the smallest id is paired with each other one (a star, never all
-pairs), for which each document's LOW_KEYS lowest keys are enough; a batch that sees a key twice makes its own star and sends one entry on. Pairs are checked by size and by the
-Hamming distance of parity sketches of about two bits a shingle, then by the shingles of both whole texts. Verified links give components.
-Where a key still holds members of several components, the nearest pair of each two components is verified, and after that
-all pairs across components that are left: so no link is lost, and members of one component aren't compared again. Copies with equal sets are linked by a hash of the set.
+Candidates. Keys meet by value in cells, whose number follows the data. Within a key the smallest id is paired with each
+other one (a star, never all pairs), for which each document's LOW_KEYS lowest keys are enough; a batch that sees a key
+twice makes its own star and sends one entry on. Pairs are checked by size and by the Hamming distance of parity sketches
+of about two bits a shingle, then by the shingles of both whole texts. Verified links give components. Copies with equal
+sets are linked by a hash of the set, and one of each group goes on.
+
+Where a key still holds members of several components, each component's nearest pair is verified, round by round while
+this joins any: pairs grow with the components, not with the square of a group. A key in which no pair can link leaves
+after the first round. In the end every pair across components that is left is verified, so no link is lost.
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release, some_rows, utf8, written
+from .common import blocks, by_cell, cells_for, discard, release, some_rows, utf8, written
 from .repeats import Rolling, Units, mix
 
 WORDS = 5
@@ -41,6 +45,8 @@ SKETCH_BITS = 1024
 #: Of each document's keys, in order of value, those that make stars, and those that tell where a pair is to be reported.
 LOW_KEYS = 6
 HOT_DOCS, SAMPLE_DOCS, HOT_SHINGLES, HOT_BITS = 6, 3_000, 100_000, 22
+#: Members of a key that are compared in one task, about.
+HOT_MEMBERS = 8_192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -183,8 +189,8 @@ def _blocks_of(batch: pa.RecordBatch):
         yield np.asarray(block.column("doc_id")), row, t, np.bincount(row, minlength=len(block))
 
 
-def described(texts: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n (shingles), two hashes of the set, its sketch as a whole and folded, and whether it fills too few parts."""
+def described(texts: DataFrame, seed: int, hot) -> DataFrame:
+    """doc_id, n (shingles), two hashes of the set, its sketch as a whole and folded, whether it fills too few parts, and its join keys (bytes, in order)."""
 
     def describe(batches):
         for batch in batches:
@@ -192,17 +198,19 @@ def described(texts: DataFrame, seed: int) -> DataFrame:
                 n = len(ids)
                 both, sketches = _sets(row, t, n), _sketches(row, t, n)
                 weak = too_few_parts(row, t, sizes, seed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array([_short(s) for s in sketches], pa.binary()), pa.array(weak)],
-                    ["doc_id", "n", "set_a", "set_b", "sketch", "short", "weak"],
-                )
+                r, key = join_keys(row, t, sizes, seed, hot.value)
+                order = np.lexsort((key, r))
+                edges, key = np.searchsorted(r[order], np.arange(n + 1)) * 8, key[order].tobytes()
+                keys = [key[edges[i] : edges[i + 1]] for i in range(n)]
+                columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array([_short(s) for s in sketches], pa.binary()), pa.array(weak), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_a", "set_b", "sketch", "short", "weak", "keys"])
 
-    return texts.mapInArrow(describe, "doc_id long, n long, set_a long, set_b long, sketch binary, short binary, weak boolean")
+    return texts.mapInArrow(describe, "doc_id long, n long, set_a long, set_b long, sketch binary, short binary, weak boolean, keys binary")
 
 
-def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
+def stars(about: DataFrame) -> DataFrame:
     """Per cell: the keys of at least two documents with their documents (keys, ids), and the pairs of each key's star (a, b)."""
-    cells = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = cells_for(about.sparkSession, (about.agg(F.sum(F.col("n") / 3 + 1)).first()[0] or 0) * 16)
 
     def star(key, ids, low):
         """Entries by key, low ones first, then by id: which are a key's first, which have company, and the distinct pairs
@@ -220,32 +228,21 @@ def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            keys, who, lows = [], [], []
-            known = set()
-            for ids, row, t, sizes in _blocks_of(batch):
-                both = _sets(row, t, len(ids))
-                lead = np.zeros(len(ids), bool)  # one of the batch's copies goes on
-                for i in np.flatnonzero(sizes):
-                    lead[i] = (own := both[i].tobytes()) not in known
-                    known.add(own)
-                take = lead[row]
-                r, key = join_keys(row[take], t[take], np.where(lead, sizes, 0), seed, hot.value)
-                order = np.lexsort((key, r))
-                r, key = r[order], key[order]
-                lows.append(np.arange(len(r)) - np.searchsorted(r, r) < LOW_KEYS)
-                keys.append(key)
-                who.append(ids[r])
-            if not keys:
+            ids, n, a, b = (np.asarray(batch.column(c)) for c in ("doc_id", "n", "set_a", "set_b"))
+            order = np.lexsort((ids, b, a))
+            order = order[n[order] > 0]
+            if not len(order):
                 continue
-            key, ids, low, first, many, pairs = star(np.concatenate(keys), np.concatenate(who), np.concatenate(lows))
+            # of the batch's copies the smallest id goes on
+            lead = order[np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))]
+            own = batch.column("keys").take(pa.array(lead)).to_pylist()
+            count = np.array([len(k) // 8 for k in own])
+            key = np.frombuffer(b"".join(own), np.uint64)
+            low = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) < LOW_KEYS
+            key, ids, low, first, many, pairs = star(key, np.repeat(ids[lead], count), low)
             out = [(int(ids[many][0] % cells), key[many].tobytes(), ids[many].tobytes(), b"", pairs.tobytes(), False)] if many.any() else []
             key, ids, low = key[first], ids[first], low[first]
-            cell = (mix(key) % np.uint64(cells)).astype(np.int64)
-            order = np.lexsort((ids, cell))
-            edges = np.searchsorted(cell[order], np.arange(cells + 1))
-            out += [(c, key[part].tobytes(), ids[part].tobytes(), low[part].tobytes(), b"", True) for c in range(cells) if len(part := order[edges[c] : edges[c + 1]])]
-            if not out:
-                continue
+            out += [(c, key[at].tobytes(), ids[at].tobytes(), low[at].tobytes(), b"", True) for c, at in by_cell((mix(key) % np.uint64(cells)).astype(np.int64))]
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), *[pa.binary()] * 4, pa.bool_()), strict=True)], ["cell", "keys", "ids", "low", "pairs", "open"])
 
@@ -258,7 +255,8 @@ def stars(texts: DataFrame, seed: int, hot) -> DataFrame:
         own = pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(columns, (key[many], ids[many], pairs), strict=True)})
         return pa.concat_tables([table.filter(pa.array(~still)).select(columns), own])
 
-    return texts.mapInArrow(pack, "cell int, keys binary, ids binary, low binary, pairs binary, open boolean").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
+    packed = about.select("doc_id", "n", "set_a", "set_b", "keys").mapInArrow(pack, "cell int, keys binary, ids binary, low binary, pairs binary, open boolean")
+    return packed.repartition(cells, "cell").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
 
 
 def _unpacked(found: DataFrame, *columns: str) -> DataFrame:
@@ -329,37 +327,61 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, written(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         after = mark(now)
         if after == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = after
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after links (a, b) between components. Only the roots that are linked are looked at."""
+    side = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r_{x}"))
+    edges = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+    new = components(edges)
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return written(moved.unionByName(new), "roots")
+
+
+def still_split(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, root) of the keys with members (key, id) of several components. A key of over HOT_MEMBERS members is cut
+    into blocks of about as many; every two blocks make a key of their own, so that no task holds a whole hot key."""
+    now = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / HOT_MEMBERS).cast("int").alias("blocks"))
+    found = now.join(split, "key")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    cut = found.where("blocks > 1").select(F.explode(pairs).alias("key"), "id", "root")
+    return found.where("blocks = 1").select("key", "id", "root").unionByName(cut)
+
+
 def _first_of_each(rows: np.ndarray) -> np.ndarray:
-    """Of rows with the same first two values, the smallest."""
+    """Of rows with the same first value, the smallest."""
     rows = rows[np.lexsort(rows.T[::-1])]
-    return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))] if len(rows) else rows
+    return rows[np.append(True, rows[1:, 0] != rows[:-1, 0])] if len(rows) else rows
 
 
-def across(members: DataFrame, about: DataFrame, cells: int, nearest: bool) -> DataFrame:
+def across(members: DataFrame, about: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of members (key, id, root) of one key and different roots that sizes and folded sketches allow.
 
     A cell has many keys. Its members stand in order of (key, size), and each is compared with the next, the one after
-    that and so on, all keys at once, until sizes differ too much or the key ends. With nearest, each two components of a
-    cell only send their pair of smallest distance.
+    that and so on, all keys at once, until sizes differ too much or the key ends. With nearest, a cell only sends each
+    component's pair of smallest distance (root, d, a, b), and the keys that have any (key).
     """
+    cells = cells_for(members.sparkSession, members.count() * (SKETCH_BITS // 8 + 64))
 
     def compare(table: pa.Table) -> pa.Table:
         key, n, ids, root = (table.column(c).to_numpy() for c in ("key", "n", "id", "root"))
         sketch = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint64).reshape(len(n), SKETCH_BITS // 64)
         order = np.lexsort((ids, n, key))
         key, n, ids, root = key[order], n[order], ids[order], root[order]
-        low = table.column("low").to_pylist()
-        lowest = np.full((len(n), LOW_KEYS), np.iinfo(np.int64).max)
-        for i, j in enumerate(order):
-            lowest[i, : len(low[j])] = low[j]
-        out, best, at, ahead = [np.zeros((0, 2), np.int64)], np.zeros((0, 5), np.int64), np.arange(len(n)), 0
+        if not nearest:
+            low = table.column("low").to_pylist()
+            lowest = np.full((len(n), LOW_KEYS), np.iinfo(np.int64).max)
+            for i, j in enumerate(order):
+                lowest[i, : len(low[j])] = low[j]
+        pairs, best, opened, at, ahead = [np.zeros((0, 2), np.int64)], np.zeros((0, 4), np.int64), [np.zeros(0, np.int64)], np.arange(len(n)), 0
         while len(at):
             ahead += 1
             at = at[at + ahead < len(n)]
@@ -372,20 +394,27 @@ def across(members: DataFrame, about: DataFrame, cells: int, nearest: bool) -> D
                 hit = distance <= (n[x] + n[y]) // 7
                 x, y, distance = x[hit], y[hit], distance[hit]
                 if nearest:
-                    rows = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), distance * 1000 // (n[x] + n[y]), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1)
-                    best = _first_of_each(np.concatenate([best, rows]))
+                    part, a, b = distance * 1000 // (n[x] + n[y]), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                    best = _first_of_each(np.concatenate([best, *(np.stack([root[z], part, a, b], 1) for z in (x, y))]))
+                    opened.append(np.unique(key[x]))
                     continue
                 # a pair with a smaller key in common, among the lowest of both, is reported there
                 same = (lowest[x][:, :, None] == lowest[y][:, None, :]) & (lowest[x] < key[x][:, None])[:, :, None]
                 once = ~same.any((1, 2))
                 x, y = ids[x[once]], ids[y[once]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        pairs = np.unique(np.concatenate([*out, best[:, 3:]]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        if not nearest:
+            found = np.unique(np.concatenate(pairs), axis=0)
+            return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        opened = np.unique(np.concatenate(opened))
+        columns = [np.concatenate([c, np.zeros(len(opened), np.int64)]) for c in best.T]
+        return pa.table(dict(zip(("root", "d", "a", "b"), columns, strict=True)) | {"key": pa.array(np.concatenate([np.zeros(len(best), np.int64), opened]), mask=np.arange(len(best) + len(opened)) < len(best))})
 
-    low = members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
-    sized = members.join(low, "id").join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
-    return sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
+    sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
+    if not nearest:
+        sized = sized.join(members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low")), "id")
+    dealt = sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).repartition(cells, "cell").groupBy("cell")
+    return dealt.applyInArrow(compare, "root long, d long, a long, b long, key long") if nearest else dealt.applyInArrow(compare, "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -396,30 +425,41 @@ def linked_components(docs: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(hot_shingles(texts))
     seed = 1
     while True:
-        about = written(described(texts, seed), "sets")
+        about = written(described(texts, seed, hot), "sets")
         if about.where("weak").isEmpty():
             break
+        discard(about)
         seed += 1
-    sets = about.where("n > 0").dropDuplicates(["doc_id"])
-    found = written(stars(texts, seed, hot), "stars")
+    sets = about.where("n > 0").drop("keys", "weak").dropDuplicates(["doc_id"])
+    found = written(stars(about), "stars")
     release(spark)
     pairs = written(possible(_unpacked(found, "pairs").distinct(), sets), "pairs")
     copies = sets.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = sets.join(copies, ["set_a", "set_b", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    copies = written(sets.join(copies, ["set_a", "set_b", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copies")
     roots = components(verified(pairs, texts).unionByName(copies))
     release(spark)
 
-    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    for nearest in (True, False):  # first what joins whole components, then every pair that is left
-        members = held.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        split = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        near = across(members.join(split, "key").distinct(), sets, cells, nearest)
-        rest = written(possible(near, sets), "pairs")
+    members = written(still_split(held.join(copies, held["id"] == copies["b"], "left_anti").distinct(), roots), "members")
+    discard(found, pairs)
+    release(spark)
+    # each component's nearest pair joins it to another; keys without any pair that may link are done with
+    while not members.isEmpty():
+        near = written(across(members, sets, True), "nearest")
+        least = near.where("key is null").groupBy("root").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        links = written(verified(written(possible(least, sets), "pairs"), texts), "links")
+        last, members = members, members.join(near.where("key is not null").select("key").distinct(), "key")
+        if links.isEmpty():
+            break
+        roots = joined(roots, links)
+        members = written(still_split(members, roots), "members")
+        discard(last, near)
         release(spark)
-        if rest.isEmpty():
-            continue
-        roots = components(verified(rest, texts).unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
+    # then every pair that is left
+    if not members.isEmpty():
+        rest = written(possible(across(members, sets, False), sets), "pairs")
+        if not rest.isEmpty():
+            roots = joined(roots, verified(rest, texts))
         release(spark)
     counted = rows.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n")).unionByName(rows.where("doc_id is null and text is not null").mapInArrow(_count, "doc_id long, n long")).unionByName(about.select("doc_id", "n"))
     return counted.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -43,6 +43,22 @@ def test_chains_edges_of_similarity_and_sizes(spark):
     check(spark, texts)
 
 
+def test_group_of_near_copies_in_many_components(spark, monkeypatch):
+    """Copies of one text with many edits each: few of their pairs are links, so components are joined round by round; and keys cut into blocks."""
+    r = random.Random(12)
+    words = prose(r, 200, 100_000).split(" ")
+    texts = []
+    for _ in range(40):
+        near = list(words)
+        for _ in range(r.randrange(3, 9)):
+            near[r.randrange(len(near))] = f"edit{r.randrange(100_000)}"
+        texts += [" ".join(near)] * r.choice((1, 1, 3))
+    texts += [prose(r, 100, 100_000) for _ in range(20)]
+    monkeypatch.setattr(parity_join, "HOT_MEMBERS", 10)
+    links = check(spark, texts, frame(spark, texts).repartition(11))
+    assert 0 < len(links) < len(texts) ** 2 // 4
+
+
 def test_shared_passages_are_no_links(spark):
     r = random.Random(8)
     passage = prose(r, 40, 10_000)
