@@ -3,8 +3,8 @@
 The work is one pass over the database for each block of queries. A block is broadcast and holds at most
 ``QUERY_RESIDUES`` residues; more queries are more blocks, never a larger broadcast. The database keeps its
 partitioning but for ``deal``, which spreads lengths evenly over tasks. Lanes of a batch are sequences of like length.
-Top-k hits are cut in the scorer to ``top`` a query and batch, so the shuffle carries few rows, and titles are joined to
-the hits that are left.
+Top-k hits are cut in the scorer after every part of a batch, so it holds ``top`` a query and the shuffle carries few
+rows; titles are joined to the hits that are left.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ QUERY_RESIDUES, QUERY_COUNT = 8_000_000, 100_000
 
 
 def deal(db: DataFrame, partitions: int) -> DataFrame:
-    """Spreads sequences over partitions by their place in length order, and puts each partition in order of length."""
-    return db.select("db_pos", "codes", "len").repartition(partitions, F.pmod("db_pos", F.lit(partitions))).sortWithinPartitions("len", "db_pos")
+    """Spreads sequences over partitions by their place in length order, like cards, and puts each partition in order of length.
+    The place itself is the partition's number: a hash of it would leave a third of the partitions empty."""
+    return db.select("db_pos", "codes", "len").repartitionById(partitions, F.pmod("db_pos", F.lit(partitions)).cast("int")).sortWithinPartitions("len", "db_pos")
 
 
 def query_blocks(queries: DataFrame):
@@ -48,7 +49,7 @@ def _scored(db: DataFrame, block, params: SearchParams, top: int | None) -> Data
             order = np.argsort(np.asarray(batch.column("len")), kind="stable")
             batch = batch.take(pa.array(order))
             pos, codes, lengths = np.asarray(batch.column("db_pos")), batch.column("codes").to_pylist(), np.asarray(batch.column("len"))
-            best: dict[int, list] = {}
+            best: dict[int, tuple] = {}
             for part in kernel.batches(lengths, params.batch_cells):
                 lanes, profile = kernel.padded(codes[part]), {}
                 for q, (query_id, query) in enumerate(queries):
@@ -56,11 +57,13 @@ def _scored(db: DataFrame, block, params: SearchParams, top: int | None) -> Data
                     if top is None:
                         yield _hits(query_id, pos[part], found)
                     else:
-                        best.setdefault(q, []).append((found, pos[part]))
-            for q, found in best.items():
-                value, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = np.lexsort((-at, -value))[:top]
-                yield _hits(queries[q][0], at[keep], value[keep])
+                        value, at = found, pos[part]
+                        if q in best:
+                            value, at = np.concatenate([best[q][0], value]), np.concatenate([best[q][1], at])
+                        keep = np.lexsort((-at, -value))[:top]
+                        best[q] = value[keep], at[keep]
+            for q, (value, at) in best.items():
+                yield _hits(queries[q][0], at, value)
 
     return db.select("db_pos", "codes", "len").mapInArrow(score, "query_id long, db_pos long, score int")
 

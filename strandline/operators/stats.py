@@ -23,9 +23,14 @@ def query_stats(queries: DataFrame) -> DataFrame:
 
 
 def residue_composition(sequences: DataFrame) -> DataFrame:
-    """code, residue (null for OTHER), n. sequences: residues as letters."""
-    codes = sequences.select(F.explode(code_array("residues")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    return codes.select("code", F.when(F.col("code") < OTHER, F.substring(F.lit(LETTERS), F.col("code") + 1, F.lit(1))).alias("residue"), "n")
+    """code, residue (null for OTHER), n of the codes that occur. sequences: residues as letters. A letter's number is what a text loses
+    in length without it, so that one row of sums goes on, and not a row a letter."""
+    size = F.octet_length("residues")
+    lost = [F.sum((size - F.octet_length(F.replace("residues", F.lit(c), F.lit("")))).cast("long")).alias(c) for c in LETTERS]
+    sums = sequences.agg(*lost, F.sum(size.cast("long")).alias("total"))
+    known = [F.struct(F.lit(i).alias("code"), F.lit(c).alias("residue"), F.col(c).alias("n")) for i, c in enumerate(LETTERS)]
+    other = F.struct(F.lit(OTHER).alias("code"), F.lit(None).cast("string").alias("residue"), (F.col("total") - sum((F.col(c) for c in LETTERS), F.lit(0))).alias("n"))
+    return sums.select(F.explode(F.array(*known, other)).alias("x")).select("x.*").where("n > 0")
 
 
 def vector_groups(db: DataFrame, lanes: int = LANES, block: int = BLOCK) -> DataFrame:

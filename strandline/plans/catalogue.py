@@ -11,7 +11,9 @@ from strandline.functions.alphabet import OTHER, letters
 from strandline.functions.matrices import NAMES, matrix_table
 from strandline.operators import ingest, search, stats
 from strandline.operators.params import SearchParams
-from strandline.sources.tables import table, text_sequences
+from strandline.sources.fasta import read_fasta, write_fasta
+from strandline.sources.shared import fresh_path, written
+from strandline.sources.tables import read_database, table, text_sequences, write_database
 
 from .sql import SQL  # noqa: F401
 
@@ -124,12 +126,17 @@ def cells(spark, sf_dir):
 def search_benchmark_documents(spark, sf_dir):
     """Every benchmark item against every document, whole texts: the engine's headline."""
     tasks = 4 * spark.sparkContext.defaultParallelism
-    return search.search(ingest.query_set(benchmark(spark, sf_dir)), ingest.preprocess(documents(spark, sf_dir)), tasks=tasks)
+    db = written(_db(spark, sf_dir), "database")  # read for scores and again for titles
+    return search.search(ingest.query_set(benchmark(spark, sf_dir)), db, tasks=tasks)
 
 
-def engine_info(spark, sf_dir):
-    """Settings of the session, with the size of the database they would serve."""
-    return stats.engine_info(spark).unionByName(db_stats(spark, sf_dir).selectExpr("stack(2, 'sequences', cast(sequences_count as string), 'residues', cast(residues as string)) as (name, value)"))
+def fasta_database(spark, sf_dir):
+    """The front door: documents as FASTA files, these preprocessed to a database on disk, and the database read back.
+    Titles hold the ids, which give ties of length their order."""
+    fasta, path = fresh_path(spark, "fasta"), fresh_path(spark, "database")
+    write_fasta(seq_ingest(spark, sf_dir).select(F.col("seq_ordinal").cast("string").alias("title"), "residues"), fasta)
+    write_database(ingest.preprocess(read_fasta(spark, fasta).withColumn("seq_ordinal", F.col("title").cast("long"))), path)
+    return read_database(spark, path).select("db_pos", "seq_ordinal", "title", "len")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix,
-        submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, engine_info,
+        submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, fasta_database,
         *(_with(f"sw_scores_{name}", matrix=name) for name in NAMES), *(_with(f"sw_scores_gaps_{o}_{e}", gap_open=o, gap_extend=e) for o, e in ((0, 0), (3, 1), (255, 127))),
     )
 }

@@ -11,7 +11,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     Records are split where a line begins with >, so a file of any size is read in parallel. The title is the header line
     without > (further > stay). Line ends, Windows ones too, blanks and lower case are put right by ``letters`` later on.
-    seq_ordinal grows in the order of files and records.
+    seq_ordinal is unique; Spark packs files into partitions by size, so it follows the order of records within a part of a
+    file, not the order of files.
     """
     lines = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace("value", r"\A\s*>", "")

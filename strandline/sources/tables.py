@@ -15,9 +15,10 @@ def text_sequences(rows: DataFrame, id_column: str, text_column: str) -> DataFra
     return rows.select(F.col(id_column).cast("long").alias("seq_ordinal"), F.col(id_column).cast("string").alias("title"), F.col(text_column).alias("residues"))
 
 
-def write_database(db: DataFrame, path: str) -> None:
-    """Parquet files, each a range of lengths, so that a filter on len or db_pos skips files and row groups."""
-    db.repartitionByRange("len", "db_pos").sortWithinPartitions("len", "db_pos").write.mode("errorifexists").parquet(path)
+def write_database(db: DataFrame, path: str, files: int | None = None) -> None:
+    """Parquet files (as many as said, or as Spark sees fit), each a range of lengths, so that a filter on len or db_pos skips files and row groups."""
+    ranges = db.repartitionByRange(files, "len", "db_pos") if files else db.repartitionByRange("len", "db_pos")
+    ranges.sortWithinPartitions("len", "db_pos").write.mode("errorifexists").parquet(path)
 
 
 def read_database(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,10 @@ def test_command_line(spark, database, capsys):
     got = spark.read.parquet(str(database / "hits"))
     want = search(ingest.query_set(read_fasta(spark, str(database / "q.fasta"))), read_database(spark, str(database / "db")), cli.SearchParams(top=3))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 6
+    capsys.readouterr()
+    assert cli.main(["search", "--query", str(database / "q.fasta"), "--db", str(database / "db"), "--sm", "pam30", "--gap_open", "9", "--gap_extend", "1", "--top", "30"], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 61
+    assert cli.main(["search", "-q", str(database / "q.fasta"), "-d", str(database / "db"), "-r", "0"], spark) == 0 and len(capsys.readouterr().out.splitlines()) == 1
     assert cli.main(["info"], spark) == 0 and "spark_version" in capsys.readouterr().out
     for wrong in (["search", "-q", "x"], ["search", "-q", "x", "-d", "y", "-s", "BLOSUM62"], ["align"]):
         with pytest.raises(SystemExit):

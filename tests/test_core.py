@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandline.functions import kernel
 from strandline.functions.alphabet import LETTERS, OTHER, encode, encode_text, letters
@@ -127,6 +128,26 @@ def test_positions_with_repeated_and_extra(spark):
     assert sorted(x.db_pos for x in got) == list(range(len(want)))
 
 
+def test_null_ordinals_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, "n", "AC"), (5, "b", "CA"), (None, "m", "AC"), (1 << 40, "c", "DD"), (2, None, "A")], "seq_ordinal long, title string, residues string")
+    got = sorted((r.db_pos, r.title) for r in ingest.preprocess(rows).collect())
+    assert got == [(0, None), (1, "b"), (2, "c"), (3, "m"), (4, "n")]
+    queries = sorted((r.query_id, r.len, r.disp) for r in ingest.query_set(rows).collect())
+    assert queries == [(2, 1, 0), (5, 2, 1), (1 << 40, 2, 3)]
+
+
+def test_deal_is_even(spark):
+    db = ingest.preprocess(spark.createDataFrame([(i, str(i), "ACD" * (1 + i % 50)) for i in range(640)], "seq_ordinal long, title string, residues string"))
+    sizes = search.deal(db, 32).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in sizes) == [20] * 32
+
+
+def test_composition(spark):
+    rows = spark.createDataFrame([("AACJ",), ("ZOUX",), (None,), ("",)], "residues string")
+    assert {r.code: (r.residue, r.n) for r in stats.residue_composition(rows).collect()} == {0: ("A", 2), 2: ("C", 1), 20: ("X", 1), 22: ("Z", 1), OTHER: (None, 3)}
+    assert stats.residue_composition(rows.where("false")).count() == 0
+
+
 def test_search_with_ties_and_blocks(spark, tmp_path, monkeypatch):
     r = random.Random(5)
     texts = ["".join(r.choices(LETTERS, k=r.randint(1, 60))) for _ in range(40)]
