@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import remove, shared_dir, written  # noqa: F401
+
 #: Words of the near-duplicate, substring and mixing operators: runs of bytes other than space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,30 +28,10 @@ def lower_ascii(column: Column | str) -> Column:
     return F.translate(column, _UPPER, _LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later stages read it again and don't depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_at = path
-    return table
-
-
 def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.written_at)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(table.sparkSession, table.written_at)
 
 
 def cells_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:

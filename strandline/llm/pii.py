@@ -5,12 +5,17 @@ digit or an @ in them that no base span covers (a blank, or a mark between blank
 most ``MAX_TOKENS`` tokens, each of a kind. A segment's score is a sum of weights of features of the whole span: its
 shape (runs of digits and marks with their lengths), counts of digits and marks, words before it, what ends it. Dynamic
 programming over token boundaries, with the bounded length, picks the best segmentation: boundaries and kinds jointly.
-An entity of the best segmentation is reported if its span scores ``margin`` at least.
-
-Weights are trained here, by averaged structured updates (the decoded segmentation against the known one) on the regions of
-a bounded sample of documents, chosen by a hash of id and text, with base spans as the known entities. The mark that a
-pattern needs (a phone's plus, an address's dots) is sometimes hidden from training features, so that the rest of the
-span has to tell. An email's @ is not: without one, no span with letters is looked at.
+The segmentations' scores make a conditional distribution; the forward and backward sums over segments give the
+probability that a span is an entity of its kind, whatever stands beside it. An entity of the best segmentation is
+reported if that probability is ``probability`` at least.
+
+Weights are trained here: gradient ascent (with a step size for each feature, and a penalty on the squares of weights) on
+the log-likelihood of the known segmentations, whose gradient is the features seen less those that the forward and
+backward sums expect. The examples are regions of at most ``MAX_TRAIN_TOKENS`` tokens, ``train_regions`` at most, of about
+``train_docs`` documents chosen by a hash of id and text, with base spans as the known entities: a bounded sample. Each is
+seen three times: as it is, with the mark hidden that a pattern needs (a phone's plus, an address's dots), and with a
+phone's country code hidden as well, so that the rest of the span has to tell. An email's @ is not hidden: without one, no
+span with letters is looked at. Values of a feature that are rare in training are one value, as unknown ones are later.
 
 Defined results: null and empty texts have no spans; each row of the input gives one row, repeated ids included; other
 columns are ignored; an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -18,16 +23,24 @@ columns are ignored; an empty table gives an empty result. Positions are code po
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, TRAIN_DOCS, ROUNDS, MARGIN = 24, 3_000, 5, 2.0
+MAX_TOKENS, PROBABILITY = 24, 0.85
+TRAIN_DOCS, TRAIN_REGIONS, MAX_TRAIN_TOKENS, ROUNDS = 3_000, 2_000, 400, 6
+#: First step size, and the penalty's factor a step.
+RATE, PENALTY = 0.5, 1e-3
+#: Training regions that a feature's value must occur in; values of fewer count as one.
+RARE = 3
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,7 +48,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Least and most digits of an entity without @, by kind.
-DIGITS = {None: (4, 19), 0: (7, 19), 1: (4, 12), 2: (7, 19), 3: (7, 19)}
+DIGITS = {None: (4, 19), 1: (4, 12), 2: (7, 19), 3: (7, 19)}
 #: The mark of a kind that training hides.
 HIDDEN = {1: ".", 3: "+"}
 _MARK, _GAP, _JOIN = re.compile("[0-9@]"), re.compile(r"\s"), re.compile(r"[ \t]([^\w\s][ \t])?")
@@ -104,70 +117,106 @@ class Region:
         before = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])
         self.cue = before[-1].lower() if before else ""
 
-    def may(self, i: int, j: int, kind: int | None = None) -> bool:
-        """Whether a span could be an entity of a kind (of any, if None): it begins and ends in a token, and has enough digits or an @ inside."""
+    def may(self, i: int, j: int, kind: int) -> bool:
+        """Whether a span could be an entity of a kind: it begins and ends in a token, and has an @ inside (an email) or digits enough (the others)."""
         first, last = self.shapes[i], self.shapes[j - 1]
         if first.isspace() or last.isspace() or not (last[0] == "d" or last == "w"):
             return False
-        if self.ats[j] - self.ats[i]:
-            return self.ats[j] - self.ats[i] == 1 and first != "@" and last != "@" and self.dots[j] > self.dots[i]
-        digits = self.digits[j] - self.digits[i]
-        least, most = DIGITS[kind]
-        return least <= digits <= most and self.letters[j] == self.letters[i]
-
-    def features(self, i: int, j: int, kind: int, hide: bool = False):
-        """Names of the features of a span as an entity of a kind."""
-        shapes = self.shapes[i:j]
-        dots = self.dots[j] - self.dots[i]
+        if ats := self.ats[j] - self.ats[i]:
+            return kind == 0 and ats == 1 and first != "@" and last != "@" and self.dots[j] > self.dots[i]
+        least, most = DIGITS.get(kind, (1, 0))
+        return least <= self.digits[j] - self.digits[i] <= most and self.letters[j] == self.letters[i]
+
+    def features(self, i: int, j: int, kind: int, hide: int = 0):
+        """Names (kind|what|value) of the features of a span as an entity of a kind. With hide, the kind's mark is left out,
+        and with 2, a phone's country code, too."""
+        dots, digits, k = self.dots[j] - self.dots[i], self.digits[j] - self.digits[i], KINDS[kind]
+        begin = i
+        if hide == 2 and kind == 3 and self.shapes[i] == "+" and i + 2 < j:
+            begin = i + 2 + self.shapes[i + 2].isspace()
+            digits = self.digits[j] - self.digits[begin]
+        shapes = self.shapes[begin:j]
         if hide and kind in HIDDEN:
             shapes = [s for s in shapes if s != HIDDEN[kind]]
             dots = 0 if HIDDEN[kind] == "." else dots
-        digits, k = self.digits[j] - self.digits[i], KINDS[kind]
         marks = "".join(sorted({s for s in shapes if s[0] != "d" and s != "w"}))
-        yield k
-        yield f"{k} shape {''.join(shapes)}" if len(shapes) <= 15 else f"{k} long"
-        yield f"{k} digits {min(digits, 22)}"
-        yield f"{k} marks {marks}"
-        yield f"{k} @ {self.ats[j] - self.ats[i]} dots {min(dots, 4)} words {min(self.letters[j] - self.letters[i], 4)}"
-        yield f"{k} ends {shapes[0]} {shapes[-1]}"
-        left = self.shapes[i - 1] if i else f"cue {self.cue}"
+        yield f"{k}||"
+        yield f"{k}|shape|{''.join(shapes)}" if len(shapes) <= 15 else f"{k}|shape|long"
+        yield f"{k}|digits|{min(digits, 22)}"
+        yield f"{k}|marks|{marks}"
+        yield f"{k}|made of|{self.ats[j] - self.ats[i]} {min(dots, 4)} {min(self.letters[j] - self.letters[i], 4)}"
+        yield f"{k}|ends|{shapes[0]} {shapes[-1]}"
         if kind in (1, 2):
             runs = [t for t, s in zip(self.tokens[i:j], self.shapes[i:j], strict=True) if s[0] == "d" and len(s) == 2]
-            yield f"{k} check {luhn(''.join(runs)) if kind == 2 else len(runs) == 4 and all(len(t) <= 3 and int(t) <= 255 for t in runs)}"
-        yield f"{k} after {left[:1] if i else left}"
-        yield f"{k} before {self.shapes[j][:1] if j < len(self.shapes) else ''}"
+            yield f"{k}|check|{luhn(''.join(runs)) if kind == 2 else len(runs) == 4 and all(len(t) <= 3 and int(t) <= 255 for t in runs)}"
+        yield f"{k}|after|{self.shapes[i - 1][:1] if i else self.cue}"
+        yield f"{k}|before|{self.shapes[j][:1] if j < len(self.shapes) else ''}"
 
 
-def decode(region: Region, weights: dict, blocked: list[bool], hide: bool = False, by_kind: bool = False, gold: Sequence = ()) -> tuple[float, list[tuple[int, int, int]]]:
-    """The best segmentation: its score and its entities (first token, end token, kind). blocked tokens belong
-    to none. With by_kind, a span is only of kinds that its digits allow; spans of
-    gold score MARGIN less, so that training goes on until they reach it."""
-    n = len(region.tokens)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
+def rare(feature: str) -> str:
+    """The class of a feature's values that too few training regions have: unknown values are scored as these."""
+    return f"{feature[: feature.index('|', feature.index('|') + 1)]}|?"
+
+
+def candidates(region: Region, blocked: Sequence[bool], hide: int = 0):
+    """Spans that may be entities (first token, end token, kind, features), by end. blocked tokens belong to none."""
+    for j in range(1, len(region.tokens) + 1):
         if not (region.shapes[j - 1][0] == "d" or region.shapes[j - 1] == "w"):
             continue
         for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
             if blocked[i]:
                 break
-            if region.may(i, j):
-                for kind in range(len(KINDS)):
-                    if by_kind and not region.may(i, j, kind):
-                        continue
-                    score = best[i] + sum(weights.get(f, 0.0) for f in region.features(i, j, kind, hide))
-                    if (i, j, kind) in gold:
-                        score -= MARGIN
-                    if score > best[j]:
-                        best[j], back[j] = score, (i, kind)
+            for kind in range(len(KINDS)):
+                if region.may(i, j, kind):
+                    yield i, j, kind, region.features(i, j, kind, hide)
+
+
+def decode(n: int, first: Sequence[int], end: Sequence[int], score: Sequence[float]) -> list[int]:
+    """The spans (by number) of the best segmentation of n tokens. Spans stand in order of their end."""
+    best, back, k = [0.0] * (n + 1), [-1] * (n + 1), 0
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        while k < len(end) and end[k] == j:
+            if best[first[k]] + score[k] > best[j]:
+                best[j], back[j] = best[first[k]] + score[k], k
+            k += 1
     out, j = [], n
     while j:
-        if back[j]:
-            out.append((back[j][0], j, back[j][1]))
-            j = back[j][0]
+        if back[j] >= 0:
+            out.append(back[j])
+            j = first[back[j]]
         else:
             j -= 1
-    return best[n], out[::-1]
+    return out[::-1]
+
+
+def _add(x: float, y: float) -> float:
+    """Log of the sum of two exponentials."""
+    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+
+def sums(n: int, first: Sequence[int], end: Sequence[int], score: Sequence[float]) -> tuple[list[float], list[float]]:
+    """Logs of the sums over all segmentations of the tokens before each token (forward) and from it on (backward)."""
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
+    k = 0
+    for j in range(1, n + 1):
+        forward[j] = forward[j - 1]
+        while k < len(end) and end[k] == j:
+            forward[j] = _add(forward[j], forward[first[k]] + score[k])
+            k += 1
+    for j in range(n, 0, -1):
+        backward[j - 1] = _add(backward[j - 1], backward[j])
+        while k and end[k - 1] == j:
+            k -= 1
+            backward[first[k]] = _add(backward[first[k]], backward[j] + score[k])
+    return forward, backward
+
+
+def marginals(n: int, first: Sequence[int], end: Sequence[int], score: Sequence[float]) -> tuple[float, list[float]]:
+    """Log of the sum over all segmentations of n tokens, and the probability of each span."""
+    forward, backward = sums(n, first, end, score)
+    return forward[n], [math.exp(forward[i] + x + backward[j] - forward[n]) for i, j, x in zip(first, end, score, strict=True)]
 
 
 def chunks(text: str):
@@ -209,50 +258,83 @@ def _known(region: Region, own) -> list[tuple[int, int, int]]:
     return sorted((begin[a], end[b], kind) for kind, a, b in own if a in begin and b in end and end[b] - begin[a] <= MAX_TOKENS)
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> dict[str, float]:
+class Example:
+    """A region with its known segmentation, features by number."""
+
+    def __init__(self, region: Region, own, hide: int):
+        spans = [(i, j, kind, list(f)) for i, j, kind, f in candidates(region, [False] * len(region.tokens), hide)]
+        self.n, self.features = len(region.tokens), [span[3] for span in spans]
+        self.first, self.end = [span[0] for span in spans], [span[1] for span in spans]
+        known = set(_known(region, own))
+        self.gold = np.array([span[:3] in known for span in spans], bool)
+
+    def numbered(self, number: dict[str, int], often: set[str]) -> Example:
+        """Gives features (those in often, and classes of the others) their numbers."""
+        ids = [[number.setdefault(f if f in often else rare(f), len(number)) for f in own] for own in self.features]
+        self.ids, self.sizes = np.array([f for i in ids for f in i], np.int64), np.array([len(i) for i in ids], np.int64)
+        return self
+
+    def scores(self, weights: np.ndarray) -> list[float]:
+        return np.add.reduceat(weights[self.ids], np.cumsum(self.sizes) - self.sizes).tolist() if len(self.ids) else []
+
+    def gradient(self, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log-likelihood of the known segmentation, and what it gains with each feature of ids."""
+        score = self.scores(weights)
+        total, expected = marginals(self.n, self.first, self.end, score)
+        return float(np.array(score) @ self.gold - total) if score else 0.0, np.repeat(self.gold - np.array(expected), self.sizes)
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_regions: int = TRAIN_REGIONS, rounds: int = ROUNDS) -> dict[str, float]:
     """Weights, from the regions of about train_docs documents. Only texts with regions, cut to these, come to the driver."""
 
     def near(batches):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                out += [text[max(0, r.at[0] - 24) : r.at[-1] + 1] for r, _, _ in regions(text, base_spans(text), True) if len(r.tokens) <= 400]
+                out += [text[max(0, r.at[0] - 24) : r.at[-1] + 1] for r, _, _ in regions(text, base_spans(text), True) if len(r.tokens) <= MAX_TRAIN_TOKENS]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
     n = docs.count()
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     chosen = docs.where(place < train_docs / n) if n > train_docs else docs
-    found = chosen.where("text is not null").select("text").mapInArrow(near, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(4 * train_docs)
-    weights, total, step = defaultdict(float), defaultdict(float), 0
-    examples = []
+    found = chosen.where("text is not null").select("text").mapInArrow(near, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(train_regions)
+    examples, seen, number = [], Counter(), {}
     for text in found.toArrow().column(0).to_pylist():
         for region, _, own in regions(text, base_spans(text), True):
-            examples.append((region, _known(region, own)))
-    for r in range(rounds):
-        for k, (region, gold) in enumerate(examples):
-            step += 1
-            hide = (k + r) % 2 == 1
-            _, guess = decode(region, weights, [False] * len(region.tokens), hide, by_kind=True, gold=gold)
-            for spans, by in ((gold, 1.0), (guess, -1.0)):
-                if gold != guess:
-                    for span in spans:
-                        for f in region.features(*span, hide):
-                            weights[f] += by
-                            total[f] += by * step
-    return {f: w - total[f] / (step + 1) for f, w in sorted(weights.items()) if w or total[f]}
-
-
-def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict, margin: float = MARGIN) -> list[tuple[int, int, int]]:
+            views = [e for hide in range(3) if (e := Example(region, own, hide)).features]
+            seen.update({f for e in views for own_features in e.features for f in own_features})
+            examples += views
+    often = {f for f, n in seen.items() if n >= RARE}
+    examples = [e.numbered(number, often) for e in examples]
+    weights, squares = np.zeros(len(number)), np.full(len(number), 1e-6)
+    for _ in range(rounds):
+        for example in examples:
+            own, place = np.unique(example.ids, return_inverse=True)
+            step = np.bincount(place, weights=example.gradient(weights)[1]) - PENALTY * weights[own]
+            squares[own] += step**2
+            weights[own] += RATE * step / np.sqrt(squares[own])
+    return {f: float(weights[i]) for f, i in sorted(number.items())}
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict, probability: float = PROBABILITY) -> list[tuple[int, int, int]]:
     """(kind, start, end) of entities that overlap no base span."""
     out = []
     for region, blocked, _ in regions(text, base):
-        for i, j, kind in decode(region, weights, blocked, by_kind=True)[1]:
-            if sum(weights.get(f, 0.0) for f in region.features(i, j, kind)) >= margin:
-                out.append((kind, region.at[i], region.at[j]))
+        n = len(region.tokens)
+        first, end, kinds, score = array("i"), array("i"), array("b"), array("d")  # a region may be a whole table of numbers
+        for i, j, kind, features in candidates(region, blocked):
+            first.append(i)
+            end.append(j)
+            kinds.append(kind)
+            score.append(sum(weights[f] if f in weights else weights.get(rare(f), 0.0) for f in features))
+        if best := decode(n, first, end, score):
+            forward, backward = sums(n, first, end, score)
+            sure = [k for k in best if math.exp(forward[first[k]] + score[k] + backward[end[k]] - forward[n]) >= probability]
+            out += [(kinds[k], region.at[first[k]], region.at[end[k]]) for k in sure]
     return out
 
 
-def find_pii(docs: DataFrame, weights: dict[str, float] | None = None, margin: float = MARGIN) -> DataFrame:
+def find_pii(docs: DataFrame, weights: dict[str, float] | None = None, probability: float = PROBABILITY) -> DataFrame:
     """doc_id, base and spans of every row of docs: arrays of (kind, start, end), by kind, then start; kind indexes KINDS."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if weights is None else weights)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -261,7 +343,7 @@ def find_pii(docs: DataFrame, weights: dict[str, float] | None = None, margin: f
         base, spans = [], []
         for value in text.to_pylist():
             own = base_spans(value) if value else []
-            more = added_spans(value, own, shared.value, margin) if value else []
+            more = added_spans(value, own, shared.value, probability) if value else []
             row = lambda found: [{"kind": k, "start": a, "end": b} for k, a, b in sorted(found)]
             base.append(row(own))
             spans.append(row(own + more))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -202,28 +203,73 @@ def test_pii_field_finds_addresses_of_few_digits(spark):
     assert find("in 1999 and 2001, 12 - 14 items, 3.50 or 1,234.56") == []
     region = pii.Region("8.8.8.8", 0, 7)
     assert [region.may(0, 7, k) for k in range(4)] == [False, True, False, False]
-    assert "ip marks " in set(region.features(0, 7, 1, True)) and "ip marks ." in set(region.features(0, 7, 1))
+    assert "ip|marks|" in set(region.features(0, 7, 1, 1)) and "ip|marks|." in set(region.features(0, 7, 1))
+    phone = pii.Region("+1 (988) 555-2485", 0, 17)
+    assert [[f for f in phone.features(0, len(phone.tokens), 3, hide) if "|shape|" in f or "|digits|" in f] for hide in range(3)] == [
+        ["phone|shape|+d1 (d3) d3-d4", "phone|digits|11"], ["phone|shape|d1 (d3) d3-d4", "phone|digits|11"], ["phone|shape|(d3) d3-d4", "phone|digits|10"]
+    ]
     assert pii.train(docs, 300) == pii.train(docs.repartition(7), 300)
 
 
-def test_decoding_is_the_best_segmentation():
-    """Against trying every segmentation of short regions, with random weights."""
+def segmentations(spans, at, n):
+    """Every set of spans (numbers) that don't overlap."""
+    yield []
+    for k, span in enumerate(spans):
+        if span[0] >= at:
+            yield from ([k, *rest] for rest in segmentations(spans, span[1], n))
+
+
+def test_field_against_every_segmentation():
+    """The best segmentation, the sum over all, each span's probability and the gradient, for short regions and random weights."""
     r = random.Random(5)
     for _ in range(40):
         text = "".join(r.choice(["1234567", "89", "+", " ", "a@b.c", "(", "-"]) for _ in range(5)).strip()
-        for region, blocked, _ in pii.regions(text, []):
-            weights = {}
-            n = len(region.tokens)
-            spans = [(i, j, k) for i in range(n) for j in range(i + 1, n + 1) if region.may(i, j) for k in range(4)]
-            for s in spans:
-                for f in region.features(*s):
-                    weights.setdefault(f, r.uniform(-1, 1))
-            score = {s: sum(weights[f] for f in region.features(*s)) for s in spans}
-
-            def best(at, score=score, n=n):
-                return max([0.0] + [v + best(s[1]) for s, v in score.items() if s[0] >= at])
-
-            assert pii.decode(region, weights, blocked)[0] == pytest.approx(best(0))
+        for region, blocked, own in pii.regions(text, []):
+            n, spans = len(region.tokens), [(i, j, kind, list(f)) for i, j, kind, f in pii.candidates(region, blocked)]
+            first, end = [s[0] for s in spans], [s[1] for s in spans]
+            score = [r.uniform(-1, 1) for _ in spans]
+            every = list(segmentations(spans, 0, n))
+            value = [sum(score[k] for k in s) for s in every]
+            assert sum(score[k] for k in pii.decode(n, first, end, score)) == pytest.approx(max(value))
+            total, chance = pii.marginals(n, first, end, score)
+            whole = sum(np.exp(value))
+            assert total == pytest.approx(np.log(whole))
+            assert chance == pytest.approx([sum(np.exp(v) for v, s in zip(value, every, strict=True) if k in s) / whole for k in range(len(spans))])
+            if spans:
+                number = {}
+                example = pii.Example(region, [(spans[0][2], region.at[spans[0][0]], region.at[spans[0][1]])], 0)
+                example.numbered(number, {f for span in spans for f in span[3]})
+                weights = np.array([r.uniform(-0.3, 0.3) for _ in number])
+                gain = np.bincount(example.ids, weights=example.gradient(weights)[1], minlength=len(number))
+                for f in r.sample(range(len(number)), 5):
+                    more, less = weights.copy(), weights.copy()
+                    more[f] += 1e-5
+                    less[f] -= 1e-5
+                    assert (example.gradient(more)[0] - example.gradient(less)[0]) / 2e-5 == pytest.approx(gain[f], abs=1e-4)
+
+
+def test_field_finds_planted_misses(spark):
+    """Entities of each kind in forms that the patterns miss, in the given documents' own words; and none where there is none."""
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = pii.train(docs)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    plant = {
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "ip": lambda: r.choice(("{}[.]{}[.]{}[.]{}", "{} . {} . {} . {}")).format(*(r.randrange(1, 256) for _ in range(4))),
+    }
+    words = [w for x in docs.limit(50).collect() for w in (x.text or "").split()[:40] if w.isalpha()]
+    found, said = Counter(), Counter()
+    for kind, make in plant.items():
+        for _ in range(100):
+            entity = make()
+            text = f"{' '.join(r.sample(words, 6))} {entity} {' '.join(r.sample(words, 6))}"
+            got = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), weights)]
+            found[kind] += (kind, entity) in got
+            said[kind] += len(got)
+    assert all(found[k] >= 90 and said[k] <= 105 for k in plant), (found, said)
+    plain = [f"{' '.join(r.sample(words, 5))} {n} {' '.join(r.sample(words, 5))}" for n in ("1999", "12,500", "3.50", "page 17", "2024-02-29", "1234567", "10-12")]
+    assert not [x for t in plain for x in pii.added_spans(t, pii.base_spans(t), weights)]
 
 
 def test_every_query_is_registered():
