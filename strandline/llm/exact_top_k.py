@@ -6,8 +6,9 @@ sums bound the inner product with a query. Candidates travel as cells (a byte a
 and each query block meets each candidate block once by an equi-join on the block number: a query set against all rows.
 
 A block keeps, for each query, the candidates whose upper bound reaches the k-th largest lower bound there; the k-th
-largest lower bound over all blocks then leaves few. Their exact vectors are read in the order of their upper bounds,
-until the k-th result is certain: no upper bound left exceeds it.
+largest lower bound over all blocks then leaves few. Their exact vectors are read in the order of their upper bounds, in
+waves of growing size: a wave joins the next candidates of every query that isn't certain yet, and a query is certain
+once no upper bound left reaches its k-th score. So vectors beyond that are never read, and no task holds a query's.
 
 Equal vectors are one candidate that stands for its k + 1 smallest ids (k besides the query itself), so a vector that
 thousands of rows share costs no more than one.
@@ -15,7 +16,8 @@ thousands of rows share costs no more than one.
 Defined results: a null vector, one with a null or non-finite component and one without components take no part, and a
 query only meets vectors of its own length; rows that share a vec_id are one row, with the smallest vector; null ids
 take no part; fewer candidates than k give fewer rows; ties go to the smaller id; other columns are ignored; an empty
-table gives an empty result. Components must be under 2^20 in size, so that scores are exact in doubles.
+table gives an empty result. Bounds are widened by what doubles may round off, and scores are added up in whole numbers;
+vectors so large that a score may not fit 63 bits are an error.
 """
 
 from __future__ import annotations
@@ -25,17 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 K, EVERY, SCALE, CELLS = 5, 50, 256, 64
 #: Rows of a query block and of a candidate block.
 QUERIES, CANDIDATES = 256, 4096
+#: Exact vectors that the first wave reads for a query, and how many times as many each further one reads.
+WAVE, GROWTH = 64, 4
+#: Scores must stay under this.
+LARGEST = float(1 << 63)
 
 
 def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (integers) and dim of the rows that take part."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    fits = lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) < 2.0**31
+    v = F.transform("embedding", lambda x: F.when(fits(x), F.floor(F.lit(scale) * x.cast("double")).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for exact scores"))))
     use = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
     return use.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
@@ -57,8 +64,17 @@ def _packed(rows: DataFrame, n: int, id_column: str, value: str, kind) -> DataFr
 
 
 def edges(vectors: DataFrame) -> DataFrame:
-    """Smallest and largest value of each component: dim, low, high."""
-    at = vectors.select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    """Smallest and largest value of each component: dim, low, high. Each batch sends one row a length."""
+
+    def ends(batches):
+        for batch in batches:
+            dims, column = np.asarray(batch.column("dim")), batch.column("v")
+            for dim in np.unique(dims):
+                own = _matrix(column.filter(pa.array(dims == dim)), int(dim))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([own.min(0).tolist()], pa.list_(pa.int64())), pa.array([own.max(0).tolist()], pa.list_(pa.int64()))], ["dim", "low", "high"])
+
+    rows = vectors.select("dim", "v").mapInArrow(ends, "dim int, low array<long>, high array<long>")
+    at = rows.select("dim", F.posexplode(F.arrays_zip("low", "high")).alias("i", "x")).groupBy("dim", "i").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     rows = at.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("e"))
     return rows.select("dim", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
 
@@ -84,12 +100,17 @@ def approximated(vectors: DataFrame, cells: int = CELLS) -> DataFrame:
 
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row whose id is divisible by ``every``."""
+    spark = rows.sparkSession
     vectors = written(quantised(rows, scale), "vectors")
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     first = vectors.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
     distinct = written(first.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("no", F.get("ids", F.lit(0))), "distinct-vectors")
     queries = vectors.where(F.col("vec_id") % every == 0)
-    bounds = F.broadcast(edges(distinct))  # two values a component
+    bounds = written(edges(distinct), "edges")  # two values a component
+    size = F.aggregate(F.zip_with("low", "high", lambda a, b: F.greatest(F.abs(a), F.abs(b)).cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
+    if (bounds.agg(F.max(size).alias("n")).first().n or 0) >= LARGEST:
+        raise ValueError("vectors are too large: a score may not fit 63 bits")
+    bounds = F.broadcast(bounds)
     parts = lambda df, rows: max(1, -(-df.count() // rows))
     n = parts(distinct, CANDIDATES)
     q = _packed(queries, parts(queries, QUERIES), "vec_id", "v", np.float64).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "values": "q_values"})
@@ -106,6 +127,8 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, c
                 high = low + (width - 1)
                 plus, minus = np.maximum(q, 0), np.minimum(q, 0)
                 upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
+                slack = 4 * dim * np.finfo(np.float64).eps * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T)
+                upper, lower = upper + slack, lower - slack
                 # the query itself may be its vector's only row, so one more is kept
                 least = np.partition(lower, -(k + 1), axis=1)[:, -(k + 1)] if len(ids) > k else np.full(len(q), -np.inf)
                 i, j = np.nonzero(upper >= least[:, None])
@@ -118,16 +141,22 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, c
     certain = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least"))
     left = near.join(certain, "query_id").where((F.col("n") <= k) | (F.col("upper") >= F.col("least"))).select("query_id", "no", "upper")
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("upper", "descending"), ("no", "ascending")])
-        query, of = table.column("query_id")[0].as_py(), np.array(table.column("q")[0].as_py())
-        upper, best = table.column("upper").to_numpy(), []
-        for i in range(table.num_rows):
-            if len(best) == k and upper[i] < -best[-1][0]:
-                break
-            score = int(of @ np.array(table.column("v")[i].as_py()))
-            best = sorted(best + [(-score, own) for own in table.column("ids")[i].as_py() if own != query])[:k]
-        return pa.table({"query_id": pa.array([query] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([-b[0] for b in best], pa.int64())})
-
-    read = left.join(distinct.select("no", "v", "ids"), "no").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    return read.groupBy("query_id").applyInArrow(search, "query_id long, rank int, vec_id long, score long")
+    left = written(left, "candidates")
+    best, wave = None, WAVE
+    while not left.isEmpty():
+        # the next candidates of each query, by upper bound
+        turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "no"))
+        now = left.withColumn("turn", turn).where(F.col("turn") <= wave)
+        exact = now.join(distinct.select("no", "v", "ids"), "no").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        found = exact.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        last, best = best, written((found if best is None else best.drop("rank").unionByName(found)).withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        certain = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        more = left.withColumn("turn", turn).where(F.col("turn") > wave).drop("turn").join(certain, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).drop("least")
+        before, left = left, written(more, "candidates")
+        discard(before, *([last] if last is not None else []))
+        wave *= GROWTH
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

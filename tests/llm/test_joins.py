@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from strandline.llm import decontamination, exact_top_k, parity_join
 
@@ -185,3 +186,17 @@ def test_top_k_against_brute_force(spark, monkeypatch):
         got = sorted(map(tuple, exact_top_k.top_k(table, k=k, every=10, cells=cells).collect()))
         assert got == brute_top(floats, k, 10)
     assert exact_top_k.top_k(table.where("false")).count() == 0
+
+
+def test_top_k_in_waves_and_of_large_vectors(spark, monkeypatch):
+    """Bounds too wide to tell much, so that many waves are read; components beyond what doubles add up exactly; and vectors whose scores don't fit."""
+    monkeypatch.setattr(exact_top_k, "WAVE", 6)
+    monkeypatch.setattr(exact_top_k, "GROWTH", 3)
+    r = np.random.default_rng(5)
+    for size in (0.2, 1e6):
+        vectors = {i: (r.normal(0, size, 6)).tolist() for i in range(60)}
+        table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, exact_top_k.top_k(table, k=4, every=10, cells=2).collect())) == brute_top(vectors, 4, 10)
+    for big in (1e7, 1e300, -8.3e6):
+        with pytest.raises(Exception, match="too large"):
+            exact_top_k.top_k(spark.createDataFrame([(0, [big] * 3), (1, [1.0] * 3)], "vec_id long, embedding array<double>")).collect()
