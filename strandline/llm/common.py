@@ -41,8 +41,10 @@ def cells_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
 
 def by_cell(cell: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Each cell that occurs, and where, in order of place."""
+    if not len(cell):
+        return []
     order = np.argsort(cell, kind="stable")
-    edges = np.flatnonzero(np.append(True, cell[order[1:]] != cell[order[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.append(True, cell[order[1:]] != cell[order[:-1]]))
     return [(int(cell[order[a]]), order[a:b]) for a, b in zip(edges, np.append(edges[1:], len(cell)), strict=True)]
 
 

@@ -7,14 +7,17 @@ Shared by the two substring operators, which differ in the unit and in how windo
    2 / (W - k + 2) anchors per unit, not one per unit.
 2. Anchors of at least two documents are found by a shuffle of 32-bit anchor hashes, packed by cell. An anchor that one
    batch already saw twice leaves that batch once. A wrong hit (two anchors with one hash) costs time, never a result.
-3. The stretches around such anchors, and only they, go to the partition of their anchor with their content. Equal
-   windows meet there, and ``compare`` decides about the windows of different stretches.
+3. The stretches around such anchors, and only they, go to the cell of their anchor with their content. Of stretches with
+   equal content that a task holds, only those of the smallest document bring it along: the others are repeated for
+   certain. Equal windows meet in the cell, and ``compare`` decides about the windows of different stretches.
 4. Each document gets its repeated windows back.
 
 Anchors that are frequent in a bounded sample of documents (a license line, a group of thousands of copies) are hot. Their
 windows are dealt singly by their own hash, so the texts around a hot line don't meet in one task, and a window that the
-sample holds in a smaller document is repeated for certain and needs no dealing at all. The sample decides how windows
-travel, never what is repeated.
+sample holds in a smaller document (by a 64-bit hash of its content) is repeated and needs no dealing at all. But for that hash,
+the sample decides how windows travel, never what is repeated.
+
+The number of cells follows the size of the texts, so that a cell's size doesn't grow with the data.
 
 Rows with a null id are smaller than none and have none smaller: they neither repeat nor are repeated.
 """
@@ -26,10 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, release, some_rows, utf8, written
+from .common import blocks, by_cell, cells_for, discard, release, some_rows, utf8, written
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -160,15 +164,12 @@ def low32(anchor: np.ndarray) -> np.ndarray:
 
 def dealt_back(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     """Values of documents packed by the document's bucket: one row per bucket, however many documents."""
-    bucket = (ids % buckets).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    parts = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
+    parts = by_cell((ids % buckets).astype(np.int32))
     columns = ([b for b, _ in parts], [ids[p].tobytes() for _, p in parts], [values[p].tobytes() for _, p in parts])
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "ids", "packed"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
-def by_document(dealt: DataFrame, column: str) -> DataFrame:
+def by_document(dealt: DataFrame, column: str, buckets: int) -> DataFrame:
     """(doc_id, column): all values of each document, as bytes."""
 
     def gather(table: pa.Table) -> pa.Table:
@@ -181,11 +182,7 @@ def by_document(dealt: DataFrame, column: str) -> DataFrame:
         each = [values[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)]
         return pa.table({"doc_id": pa.array(ids[cut]), column: pa.array(each, pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(gather, f"doc_id long, {column} binary")
-
-
-def _cells(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gather, f"doc_id long, {column} binary")
 
 
 @dataclass(frozen=True)
@@ -237,9 +234,8 @@ def hot(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return anchors, hashes[order], least[order]
 
 
-def shared_anchors(docs: DataFrame, plan: Plan) -> DataFrame:
+def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
     """(doc_id, marks): hashes of the document's anchors that a second document has, 4 bytes each."""
-    cells = _cells(docs.sparkSession)
 
     def pack(batches):
         found, size = [], 0
@@ -268,9 +264,7 @@ def shared_anchors(docs: DataFrame, plan: Plan) -> DataFrame:
         out = []
         for known, own in ((False, np.flatnonzero(new)), (True, np.flatnonzero(many))):
             where = (ids[own] % cells).astype(np.int32) if known else cell[own]
-            by = own[np.lexsort((ids[own], where))]
-            edges = np.searchsorted(np.sort(where), np.arange(cells + 1))
-            out += [(c, known, mark[part].tobytes(), ids[part].tobytes()) for c in range(cells) if len(part := by[edges[c] : edges[c + 1]])]
+            out += [(c, known, mark[own[part]].tobytes(), ids[own[part]].tobytes()) for c, part in by_cell(where)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["cell", "known", "marks", "ids"])
 
@@ -284,7 +278,7 @@ def shared_anchors(docs: DataFrame, plan: Plan) -> DataFrame:
         return dealt_back(np.concatenate([take(ids, True), who[again]]), np.concatenate([take(marks, True), mark[again]]), cells)
 
     packed = docs.mapInArrow(pack, "cell int, known boolean, marks binary, ids binary")
-    return by_document(packed.groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks")
+    return by_document(packed.repartition(cells, "cell").groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks", cells)
 
 
 def _joined(parts: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +297,10 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(hot(texts, plan))
-    marks = written(shared_anchors(texts, plan), "repeat-marks")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    buckets, cells = cells_for(spark, size), cells_for(spark, size, 8 << 20)
+    marks = written(shared_anchors(texts, plan, buckets), "repeat-marks")
     release(spark)
-    buckets = _cells(spark)
-    cells = 2 * buckets
     both = texts.join(marks, "doc_id")
 
     def deal(batches):
@@ -350,18 +344,22 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
         if not waiting:
             return
         table = pa.Table.from_batches(waiting).combine_chunks()
-        cell = (mix(table.column("key").to_numpy().view(np.uint64)) % np.uint64(cells)).astype(np.int32)
-        order = np.argsort(cell, kind="stable")
-        edges, table = np.searchsorted(cell[order], np.arange(cells + 1)), table.take(pa.array(order))
-        own = [c for c in range(cells) if edges[c] < edges[c + 1]]
+        key, doc, content = table.column("key").to_numpy().copy(), table.column("doc_id").to_numpy(), table.column("content")
+        code = content.combine_chunks().dictionary_encode()
+        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy().astype(np.int64)
+        least = np.full(code.max(initial=-1) + 2, np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        again = (code >= 0) & (doc > least[code])
+        key[again] = doc[again]
+        content = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), content)
+        table = table.set_column(0, "key", pa.array(key)).set_column(4, "content", content)
         out = []
-        for c in own:
+        for c, at in by_cell((mix(key.view(np.uint64)) % np.uint64(cells)).astype(np.int32)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, DEALT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                to.write_table(table.slice(edges[c], edges[c + 1] - edges[c]))
-            out.append(sink.getvalue().to_pybytes())
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(out, pa.binary())], ["cell", "packed"])
+                to.write_table(table.take(pa.array(at)).cast(DEALT))
+            out.append((c, sink.getvalue().to_pybytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["cell", "packed"])
 
     def decide(packed: pa.Table) -> pa.Table:
         table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packed.column("packed").to_pylist()]).combine_chunks()
@@ -402,7 +400,9 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
         doc, start, windows = (np.concatenate(x) for x in zip(*spans, strict=True))
         return dealt_back(doc, np.stack([start, windows], 1).astype(np.int32), buckets)
 
-    spans = written(by_document(both.mapInArrow(deal, "cell int, packed binary").groupBy("cell").applyInArrow(decide, "bucket int, ids binary, packed binary"), "spans"), "repeat-spans")
+    decided = both.mapInArrow(deal, "cell int, packed binary").repartition(cells, "cell").groupBy("cell").applyInArrow(decide, "bucket int, ids binary, packed binary")
+    spans = written(by_document(decided, "spans", buckets), "repeat-spans")
+    discard(marks)
     release(spark)
     return spans
 
