@@ -4,7 +4,7 @@
     near_duplicates  of each group of near copies the document with the smallest id stays
     decontamination  documents in which a benchmark window occurs go
     secrets          secrets are masked in the texts; every document stays
-    mixing           each document's number of copies in the mix; documents left out have 0
+    mixing           documents that the mix leaves out go; the others carry the number of times it takes them (copies)
 
 All stages but the last return the columns of documents, whatever these are. Empty tables pass through all stages. Rows
 that share a doc_id stay or go together; rows with a null id are never near duplicates.
@@ -41,7 +41,11 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, keep=("lang",))
+    """The columns of documents, and size, source_size, target, copies and taken. Texts stay where they are while the mix is worked out."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(rows.select("doc_id", "text", "source", "_row"), keep=("_row",)).where("copies > 0").select("_row", *added)
+    return rows.drop(*added).join(taken, "_row").drop("_row")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", masked), ("mixing", mixed)]
