@@ -106,6 +106,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs in whose id's texts no benchmark window occurs, with all their columns. Only the ids found go on."""
-    found = windows_found(docs, benchmark, window, broadcast_bytes).where("start is not null").select(F.col("doc_id").alias("_hit")).distinct()
+    # hits are told apart after they are gathered by row: a filter before that would have Spark work out a text's words anew for each block
+    rows = windows_found(docs, benchmark, window, broadcast_bytes).groupBy("row").agg(F.first("doc_id").alias("_hit"), F.max("n_words").alias("n_words"), F.count("start").alias("found"))
+    found = rows.where((F.col("found") > 0) & (F.col("n_words") > 0)).select("_hit").distinct()
     found = small(written(found, "contaminated"), F.lit(64))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
