@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_cell, cells_for, discard, release, some_rows, utf8, written
+from .common import blocks, by_cell, cells_for, discard, release, small, some_rows, utf8, written
 from .repeats import Rolling, Units, mix
 
 WORDS = 5
@@ -345,15 +345,23 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def still_split(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, root) of the keys with members (key, id) of several components. A key of over HOT_MEMBERS members is cut
-    into blocks of about as many; every two blocks make a key of their own, so that no task holds a whole hot key."""
+    """(key, id, root), written, of the keys with members (key, id) of several components. A key of over HOT_MEMBERS members is hot
+    and cut into blocks of a third as many; every two blocks make a key of their own, which is never cut again. Members of
+    hot keys are told by a broadcast of these keys (64 MB at most; a key has HOT_MEMBERS members, so there are few), so that
+    no task holds a whole hot key."""
     now = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / HOT_MEMBERS).cast("int").alias("blocks"))
-    found = now.join(split, "key")
+    counts = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
+    blocks_of = F.when(F.col("n") > HOT_MEMBERS, F.ceil(3 * F.col("n") / HOT_MEMBERS).cast("int"))
+    counts = written(counts.select("key", (F.col("x") != F.col("y")).alias("split"), blocks_of.alias("blocks")).where("split or blocks is not null"), "key-counts")
+    hot = small(counts.where("blocks is not null"), F.lit(40))
+    told = now.join(hot, "key", "left")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
-    cut = found.where("blocks > 1").select(F.explode(pairs).alias("key"), "id", "root")
-    return found.where("blocks = 1").select("key", "id", "root").unionByName(cut)
+    cut = told.where("split").select(F.explode(pairs).alias("key"), "id", "root")
+    rest = told.where("blocks is null").select("key", "id", "root").join(counts.where("blocks is null").select("key"), "key")
+    out = written(rest.unionByName(cut), "members")
+    discard(counts)
+    return out
 
 
 def _first_of_each(rows: np.ndarray) -> np.ndarray:
@@ -440,7 +448,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     release(spark)
 
     held = _unpacked(found, "keys", "ids").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    members = written(still_split(held.join(copies, held["id"] == copies["b"], "left_anti").distinct(), roots), "members")
+    members = still_split(held.join(copies, held["id"] == copies["b"], "left_anti").distinct(), roots)
     discard(found, pairs)
     release(spark)
     # each component's nearest pair joins it to another; keys without any pair that may link are done with
@@ -452,7 +460,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         roots = joined(roots, links)
-        members = written(still_split(members, roots), "members")
+        members = still_split(members, roots)
         discard(last, near)
         release(spark)
     # then every pair that is left

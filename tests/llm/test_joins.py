@@ -6,7 +6,7 @@ import pytest
 
 from strandline.llm import decontamination, exact_top_k, parity_join
 
-from .helpers import SCHEMA, WORD, awkward, components, frame, prose
+from .helpers import SCHEMA, WORD, awkward, components, frame, grouped, prose
 
 
 def shingle_set(text):
@@ -60,6 +60,21 @@ def test_group_of_near_copies_in_many_components(spark, monkeypatch):
     assert 0 < len(links) < len(texts) ** 2 // 4
 
 
+def test_hot_keys_are_cut_once(spark, monkeypatch):
+    """A key of 1,000 members, one of 31 and one of one component: blocks hold at most HOT_MEMBERS, every two members
+    meet, and a second cut changes nothing."""
+    monkeypatch.setattr(parity_join, "HOT_MEMBERS", 200)
+    rows = [(1, i) for i in range(1000)] + [(2, i) for i in range(31)] + [(3, i) for i in range(2000, 2900)]
+    members = spark.createDataFrame(rows, "key long, id long")
+    roots = spark.createDataFrame([(i, 2000) for i in range(2001, 2900)], "id long, root long")
+    once = parity_join.still_split(members, roots)
+    groups = [{r.id for r in g} for g in grouped(once.collect(), "key").values()]
+    assert max(map(len, groups)) <= 200 and all(i < 2000 for g in groups for i in g)
+    met = {(a, b) for g in groups for a in g for b in g}
+    assert len(met) == 1000 * 1000
+    assert sorted(map(tuple, parity_join.still_split(once, roots).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_shared_passages_are_no_links(spark):
     r = random.Random(8)
     passage = prose(r, 40, 10_000)
