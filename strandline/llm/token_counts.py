@@ -5,13 +5,13 @@ pre-tokens of (occurrences x pieces). Pre-tokens follow Zipf's law, which decide
 
 * the head, at most ``head_size`` frequent pre-tokens taken from a bounded sample of documents, is counted and
   broadcast. Its size is fixed by the parameter, whatever the size of the corpus;
-* every other pre-token leaves the scan as a row (document, pre-token, occurrences). The distinct ones are counted
+* every other pre-token leaves the scan as a row (row of documents, pre-token, occurrences). The distinct ones are counted
   once each, and an equi-join gives the counts back.
 
 The head only decides where a pre-token is counted, never its count, so results don't depend on the sample.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; rows that share a doc_id (null is one doc_id) are
-pooled into one row with their counts added; other columns are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have 0 bytes and 0 tokens; every row of documents gives a row of its own, with
+whatever doc_id it has (null and repeated ones, too); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +92,12 @@ def pre_token_head(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_
 
 
 def token_counts(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_docs: int = HEAD_DOCS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row of docs."""
     spark = docs.sparkSession
     head = spark.sparkContext.broadcast(pre_token_head(docs, path, head_size, head_docs))
 
     def scan(batches):
-        known = head.value
+        known, row = head.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, at, tokens, occurrences = batch.column(0).to_pylist(), [], [], []
             sure, sizes = [], []
@@ -109,24 +110,24 @@ def token_counts(docs: DataFrame, path: str, head_size: int = HEAD_SIZE, head_do
                 for token, n in found.items():
                     pieces = known.get(token)
                     if pieces is None:
-                        at.append(ids[i])
+                        at.append(row + i)
                         tokens.append(token)
                         occurrences.append(n)
                     else:
                         total += n * pieces
                 sure.append(total)
                 sizes.append(len(text.encode()))
-            rows = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids + at, pa.int64()), pa.array(sizes + [0] * len(at), pa.int64()), pa.array(sure + occurrences, pa.int64()), pa.array([None] * rows + tokens, pa.string())],
-                ["doc_id", "n_bytes", "n", "token"],
-            )
+            rows, more = len(ids), len(at)
+            columns = (list(range(row, row + rows)) + at, ids + [None] * more, sizes + [0] * more, sure + occurrences)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([None] * rows + tokens, pa.string())], ["row", "doc_id", "n_bytes", "n", "token"])
+            row += rows
 
-    rows = written(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_bytes long, n long, token string"), "pre-tokens")
+    # a row's number holds for this written table, whatever an attempt that was lost had numbered
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "row long, doc_id long, n_bytes long, n long, token string"), "pre-tokens")
 
     rare = rows.where("token is not null")
     pieces = _counted(rare.select("token").distinct(), path)
-    counted = rare.join(pieces, "token").select("doc_id", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"))
-    sure = rows.where("token is null").select("doc_id", "n_bytes", "n")
-    total = sure.unionByName(counted).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return total.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = rare.join(pieces, "token").select("row", "doc_id", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"))
+    sure = rows.where("token is null").select("row", "doc_id", "n_bytes", "n")
+    total = sure.unionByName(counted).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
