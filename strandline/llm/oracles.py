@@ -2,6 +2,7 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: The patterns of the secret scan, stated anew: kind, number, pattern.
@@ -96,5 +97,39 @@ label as (select r, string_agg(kind || ':' || s || ':' || e, ',' order by s, no,
 own as (select r, count_if(no = 0) n0, count_if(no = 1) n1, count_if(no = 2) n2, string_agg(kind || ':' || s || ':' || e, ',' order by s, no, e) spans from base group by r)
 select doc_id, coalesce(n0, 0)::bigint n_assign, coalesce(n1, 0)::bigint n_access, coalesce(n2, 0)::bigint n_hex, sha256(coalesce(own.spans, '')) base_sha256, coalesce(label.spans, '') spans
 from d left join own using (r) left join label using (r)
+""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, a.label own, c.vec_id, c.label, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: a.v[i] * c.v[i]))::bigint score
+  from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+p as (select anchor_id, vec_id positive_id, score positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) r from s where label = own),
+n as (select anchor_id, positive_id, positive_score, s.vec_id negative_id, s.score negative_score,
+  row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::int rank
+  from p join s using (anchor_id) where r <= 5 and s.label <> s.own and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+""",
+    "op12_chat_format": rf"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+f as (select *, len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')) more from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  sum(length(role) + length(text) + more + {len("<|im_start|>" + "<|im_end|>") + 2})::bigint formatted_chars
+from f group by conv_id
+""",
+    "op13_lexical_search": rf"""
+with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') ws from documents),
+d as (select row_number() over () r, doc_id, ws, len(ws)::bigint n from t where len(ws) > 0),
+q as (select item_id, w from (select item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) w from benchmark)),
+l as (select count(*)::bigint nn, sum(n)::bigint ll from d),
+tf as (select r, w, count(*)::bigint tf from (select r, unnest(ws) w from d) where w in (select w from q) group by r, w),
+wt as (select w, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint weight from (select w, count(*) df from tf group by w), l),
+x as (select r, doc_id, 25 + ((75 * n * nn) // ll) m from d, l),
+s as (select item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from q join wt using (w) join tf using (w) join x using (r) group by item_id, r, doc_id),
+k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int rank from s where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 10
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_top_k, language_id, mixing, parity_join, pii, secrets, substrings, suffix_array, token_counts
+from . import chat_format, decontamination, exact_top_k, hard_negatives, language_id, lexical_search, mixing, parity_join, pii, secrets, substrings, suffix_array, token_counts
 from .common import table
 from .oracles import SQL
 
@@ -62,8 +62,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.label("base"), 256).alias("base_sha256"), pii.label("spans").alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts, op10_pii)}
+    every = (
+        op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts, op10_pii,
+        op11_hard_negatives, op12_chat_format, op13_lexical_search,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
