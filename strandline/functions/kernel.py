@@ -5,9 +5,17 @@ With open + extend as the cost of a gap's first residue (oe) and extend (e) of e
     H[i,j] = max(0, H[i-1,j-1] + M[a_i, b_j], E[i,j], F[i,j])
     E[i,j+1] = max(E[i,j] - e, H[i,j] - oe)      F[i+1,j] = max(F[i,j] - e, H[i,j] - oe)
 
-A row of the query is done at once for a batch of sequences, one a lane, padded to equal length. The recurrence along the
-row becomes a running maximum: E[j] is the largest H'[k] + k e over k < j, less oe + (j - 1) e, where H' is H without E.
-Leaving E out is exact because oe >= e: opening a gap right behind a gap never beats extending it.
+A row of the query is done at once for a batch of sequences, one a lane, padded to equal length. Leaving E out of the H that
+opens a gap is exact because oe >= e: opening a gap right behind a gap never beats extending it. So E is a running maximum
+along the row of H' (H without E), and in a tilted frame, where j e is added to all values of column j, it is that maximum
+less a constant.
+
+A running maximum is the one step that arrays do a cell at a time. So columns are striped: SEGMENT neighbours of a lane lie
+in as many rows of a matrix, one below the other, and the maximum runs down these rows, all segments of all lanes at once;
+only the segments' own maxima, an eighth of the cells, are run through in order.
+
+Columns come in tiles. A tile hands on, for each row of the query, H and the running maximum of its last column, and the
+next tile goes on from there. So a sequence of any length is worked on in rows that stay in the cache, and in 16 bits.
 """
 
 from __future__ import annotations
@@ -16,8 +24,14 @@ import numpy as np
 
 from .alphabet import SIZE
 
-#: Cells that a batch's working rows hold at most (lanes x padded length); a longer sequence is a batch of its own.
+#: Cells that a batch's working rows hold at most (lanes x padded length); a longer sequence is a batch of its own, in tiles.
 BATCH_CELLS = 1 << 15
+#: Columns of a segment.
+SEGMENT = 8
+#: Values of 16 bits stay under this, and tiles have so many columns at least.
+SHORT, LEAST_TILE = 30_000, 512
+#: Rows after which a batch looks whether it can stop, once what is left of the query can't reach the score asked for by itself.
+LOOK = 4
 
 
 def batches(lengths: np.ndarray, cells: int = BATCH_CELLS):
@@ -35,36 +49,151 @@ def padded(codes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(c.ljust(width, bytes([SIZE])) for c in codes), np.uint8).reshape(len(codes), width) - 1
 
 
-def scores(query: bytes, lanes: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, profile: dict | None = None) -> np.ndarray:
-    """Score of the query (encoded) with each lane (codes). profile keeps scores by residue, for further queries on the same lanes."""
-    m, n, e, oe = len(query), lanes.shape[1], gap_extend, gap_open + gap_extend
-    best = np.zeros(len(lanes), np.int64)
-    if not m or not n:
-        return best
-    top = min(m, n) * max(0, int(matrix.max())) + n * e + oe  # nothing in between gets larger
-    kind = np.int16 if top < 30_000 else np.int32 if top < 2**31 - 2**17 else np.int64
-    profile = {} if profile is None else profile
-    ramp = (np.arange(n, dtype=np.int64) * e).astype(kind)
-    cost = (oe + (np.arange(1, n, dtype=np.int64) - 1) * e).astype(kind)
-    h = np.zeros((len(lanes), n + 1), kind)  # the row above, with its left edge
-    f = np.full((len(lanes), n), -oe, kind)
-    now, along, peak = (np.empty((len(lanes), n), kind) for _ in range(3))
-    peak[:] = 0
-    for a in np.frombuffer(query, np.uint8) - 1:
-        key = (int(a), kind)
-        if key not in profile:
-            profile[key] = matrix[a].astype(kind)[lanes]
-        np.add(h[:, :-1], profile[key], out=now)
-        np.maximum(now, f, out=now)
-        np.maximum(now, 0, out=now)
-        if n > 1:
-            np.add(now, ramp, out=along)
-            np.maximum.accumulate(along, axis=1, out=along)
-            along[:, :-1] -= cost
-            np.maximum(now[:, 1:], along[:, :-1], out=now[:, 1:])
-        np.maximum(peak, now, out=peak)
-        f -= kind(e)
-        np.subtract(now, kind(oe), out=along)
-        np.maximum(f, along, out=f)
-        h[:, 1:] = now
-    return peak.max(axis=1).astype(np.int64)
+def best_possible(query: bytes, matrix: np.ndarray) -> np.ndarray:
+    """What the residues from each place of the query on can add to a score at most (one more entry than residues: 0)."""
+    gain = np.maximum(matrix.max(axis=1), 0)[np.frombuffer(query, np.uint8) - 1]
+    return np.append(np.cumsum(gain[::-1])[::-1], 0)
+
+
+def reach(query_length: int, matrix: np.ndarray, gap_open: int, gap_extend: int) -> int | None:
+    """Columns that an alignment of a positive score spans at most: a gap of more columns costs more than all residues of
+    the query can gain. None: no bound, as extending a gap is free."""
+    gain = query_length * max(0, int(matrix.max()))
+    if gain <= gap_open:
+        return query_length
+    return query_length + (gain - gap_open) // gap_extend if gap_extend else None
+
+
+def counts(lanes: np.ndarray) -> np.ndarray:
+    """How often each code occurs in each lane."""
+    at = lanes.astype(np.int64) + SIZE * np.arange(len(lanes))[:, None]
+    return np.bincount(at.reshape(-1), minlength=SIZE * len(lanes)).reshape(len(lanes), SIZE)
+
+
+def bounds(query: bytes, residues: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Scores that no lane with so many residues of each code (``counts``) can pass: every residue of one side meets one of the other at most."""
+    own = np.bincount(np.frombuffer(query, np.uint8) - 1, minlength=SIZE)
+    there = residues > 0
+    # what each residue of the query gains with the best residue that the lane has, and the other way round
+    rows = np.maximum(np.where(there[:, None, :], matrix[None, :, :], 0).max(axis=2), 0) @ own
+    columns = residues @ np.maximum(matrix[own > 0].max(axis=0, initial=0), 0)
+    return np.minimum(rows, columns)
+
+
+class Batch:
+    """Sequences (rows of codes, of equal length) that queries are scored against."""
+
+    def __init__(self, lanes: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, cells: int = BATCH_CELLS):
+        self.lanes, self.matrix, self.cells = lanes, matrix, cells
+        self.e, self.oe = gap_extend, gap_open + gap_extend
+        #: Cells of the last call, and how many of them were left out as they could not change what was asked for.
+        self.worked = self.skipped = 0
+
+    def scores(self, queries: list[bytes], least: list[int] | None = None) -> np.ndarray:
+        """Scores, queries by lanes. least: scores under least[q] are of no interest to query q, and any lower number may stand for them."""
+        count, width = self.lanes.shape
+        out = np.zeros((len(queries), count), np.int64)
+        self.worked, self.skipped = count * width * sum(map(len, queries)), 0
+        if not width:
+            return out
+        for kind, members in self._kinds(queries).items():
+            bound = max(int(best_possible(queries[q], self.matrix)[0]) for q in members)
+            tile = self._tile(kind, bound)
+            edge: dict = {}  # of each query, what the tile before has handed on
+            for begin in range(0, width, tile):
+                own = _Tile(self.lanes[:, begin : begin + tile], self.matrix, self.e, self.oe, kind)
+                last = begin + tile >= width
+                for q in members:
+                    floor = least[q] if least is not None and tile >= width else None
+                    best, edge[q], rows = own.run(queries[q], edge.get(q), not last, floor)
+                    np.maximum(out[q], best, out=out[q])
+                    self.skipped += rows * count * width
+        return out
+
+    def _kinds(self, queries: list[bytes]) -> dict:
+        """Queries by the smallest type that holds their values."""
+        kinds: dict = {}
+        for q, query in enumerate(queries):
+            if query:
+                top = int(best_possible(query, self.matrix)[0]) + 2 * self.oe
+                kinds.setdefault(np.int16 if top + LEAST_TILE * self.e < SHORT else np.int32 if top + self.cells * self.e < 2**30 else np.int64, []).append(q)
+        return kinds
+
+    def _tile(self, kind, bound: int) -> int:
+        """Columns of a tile: whole segments, as what is handed on is the last column's."""
+        room = self.cells // max(1, len(self.lanes))
+        room = min(room, (SHORT - bound - 2 * self.oe) // max(1, self.e)) if kind == np.int16 else room
+        return max(SEGMENT, room if room >= self.lanes.shape[1] else room - room % SEGMENT)
+
+
+class _Tile:
+    """Columns of a batch, striped, with the working rows that all queries use in turn."""
+
+    def __init__(self, lanes: np.ndarray, matrix: np.ndarray, e: int, oe: int, kind):
+        self.count, width = lanes.shape
+        self.depth = min(SEGMENT, width)
+        self.across = -(-width // self.depth)
+        whole = np.full((self.count, self.across * self.depth), SIZE - 1, np.uint8)
+        whole[:, :width] = lanes
+        self.codes = np.ascontiguousarray(whole.reshape(self.count, self.across, self.depth).transpose(2, 0, 1)).reshape(self.depth, -1)
+        self.matrix, self.e, self.oe, self.kind, self.profile = matrix, e, oe, kind, {}
+        shape = self.codes.shape
+        at = np.arange(self.depth)[:, None] + self.depth * np.arange(self.across)[None, :]
+        self.ramp = np.tile((at * e).astype(kind)[:, None, :], (1, self.count, 1)).reshape(shape)
+        self.h, self.f, self.now, self.run_of, self.peak = np.empty((self.depth + 1, shape[1]), kind), *(np.empty(shape, kind) for _ in range(4))
+        self.maxima = np.empty((self.count, self.across + 1), kind)
+
+    def _gain(self, a: int) -> np.ndarray:
+        if a not in self.profile:
+            self.profile[a] = (self.matrix[a] + self.e).astype(self.kind)[self.codes]
+        return self.profile[a]
+
+    def run(self, query: bytes, left: tuple | None, hand_on: bool, least: int | None) -> tuple:
+        """Best score of each lane within the tile; what to hand on (or None); rows left out."""
+        e, oe, kind, ramp, across = self.e, self.oe, self.kind, self.ramp, self.across
+        h, f, now, run_of, peak, maxima = self.h, self.f, self.now, self.run_of, self.peak, self.maxima
+        edges = h[0].reshape(self.count, across), h[-1].reshape(self.count, across)
+        start = run_of[0].reshape(self.count, across)
+        length = across * self.depth
+        h[1:] = ramp
+        np.subtract(ramp, kind(oe), out=f)
+        peak[:] = ramp
+        h_in, g_in = left if left else (None, None)
+        h_out, g_out = (np.zeros((len(query) + 1, self.count), kind), np.empty((len(query), self.count), kind)) if hand_on else (None, None)
+        after = best_possible(query, self.matrix) if least is not None else None
+        constant, step, cost = kind(oe - e), kind(e), kind(oe)
+        for i, a in enumerate((np.frombuffer(query, np.uint8) - 1).tolist()):
+            edges[0][:, 1:] = edges[1][:, :-1]
+            edges[0][:, 0] = 0 if h_in is None else h_in[i]
+            edges[0][:, 0] -= step  # column -1 in the tilted frame
+            np.add(h[:-1], self._gain(a), out=now)
+            np.maximum(now, f, out=now)
+            np.maximum(now, ramp, out=now)
+            maxima[:, 0] = 0 if g_in is None else g_in[i]
+            maxima[:, 1:] = np.maximum.reduce(now, axis=0).reshape(self.count, across)
+            if across > 1 or hand_on:
+                np.maximum.accumulate(maxima, axis=1, out=maxima)
+            start[:] = maxima[:, :-1]
+            for t in range(1, self.depth):
+                np.maximum(run_of[t - 1], now[t - 1], out=run_of[t])
+            np.subtract(run_of, constant, out=run_of)
+            own = h[1:]
+            np.maximum(now, run_of, out=own)
+            np.maximum(peak, own, out=peak)
+            np.subtract(f, step, out=f)
+            np.subtract(own, cost, out=now)
+            np.maximum(f, now, out=f)
+            if hand_on:
+                h_out[i + 1] = edges[1][:, -1] - kind((length - 1) * e)
+                np.maximum(maxima[:, -1] - kind(length * e), 0, out=g_out[i])
+            if least and i % LOOK == LOOK - 1 and after[i + 1] < least and after[i + 1] + int((own - ramp).max()) < least and int((peak - ramp).max()) < least:
+                return self._best(), None, len(query) - 1 - i
+        return self._best(), (h_out, g_out) if hand_on else None, 0
+
+    def _best(self) -> np.ndarray:
+        return (self.peak - self.ramp).reshape(self.depth, self.count, self.across).max(axis=(0, 2)).astype(np.int64)
+
+
+def scores(query: bytes, lanes: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, cells: int = BATCH_CELLS) -> np.ndarray:
+    """Score of the query (encoded) with each lane (codes)."""
+    return Batch(lanes, matrix, gap_open, gap_extend, cells).scores([query])[0]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.alphabet import OTHER, letters
+from strandline.functions.alphabet import OTHER, code_array, letters
 from strandline.functions.matrices import NAMES, matrix_table
+from strandline.functions.sql_score import fold_score, register
 from strandline.operators import ingest, search, stats
 from strandline.operators.params import SearchParams
 from strandline.sources.fasta import read_fasta, write_fasta
@@ -125,9 +126,38 @@ def cells(spark, sf_dir):
 
 def search_benchmark_documents(spark, sf_dir):
     """Every benchmark item against every document, whole texts: the engine's headline."""
-    tasks = 4 * spark.sparkContext.defaultParallelism
     db = written(_db(spark, sf_dir), "database")  # read for scores and again for titles
-    return search.search(ingest.query_set(benchmark(spark, sf_dir)), db, tasks=tasks)
+    return search.search(ingest.query_set(benchmark(spark, sf_dir)), db)
+
+
+def sw_score_sql(spark, sf_dir):
+    """The SQL function on a join of SQL, under two sets of options."""
+    register(spark)
+    ingest.query_set(regions(spark, sf_dir)).createOrReplaceTempView("strandline_queries")
+    ingest.preprocess(parts(spark, sf_dir)).createOrReplaceTempView("strandline_db")
+    return spark.sql(
+        """SELECT query_id, db_pos, sw_score(q.codes, d.codes) AS score, sw_score(q.codes, d.codes, 'pam250', 3, 1) AS pam250_score
+        FROM strandline_queries q CROSS JOIN strandline_db d"""
+    )
+
+
+def sw_score_fold(spark, sf_dir):
+    """The scorer that Catalyst evaluates alone."""
+    codes = lambda rows: rows.select("seq_ordinal", "title", letters("residues").alias("residues")).where("residues <> ''")
+    left = codes(regions(spark, sf_dir)).select(F.col("seq_ordinal").alias("query_id"), code_array("residues").alias("a"))
+    right = ingest.with_position(codes(parts(spark, sf_dir)).withColumn("len", F.length("residues"))).select("db_pos", code_array("residues").alias("b"))
+    return right.join(F.broadcast(left)).select("query_id", "db_pos", fold_score(F.col("a"), F.col("b")).alias("score"))
+
+
+def sw_scores_tiles(spark, sf_dir):
+    """Tiles of eight columns: every name is cut, and boundary columns are handed on."""
+    return _pairs(spark, sf_dir, SearchParams(batch_cells=8))
+
+
+def hit_titles_pieces(spark, sf_dir):
+    """Pieces as short as the penalties allow: names are cut, and their pieces overlap."""
+    params = SearchParams(gap_open=255, gap_extend=127, piece=1)
+    return search.search(ingest.query_set(regions(spark, sf_dir)), ingest.preprocess(parts(spark, sf_dir)), params)
 
 
 def fasta_database(spark, sf_dir):
@@ -150,6 +180,7 @@ QUERIES = {
     for f in (
         seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix,
         submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, fasta_database,
+        sw_score_sql, sw_score_fold, sw_scores_tiles, hit_titles_pieces,
         *(_with(f"sw_scores_{name}", matrix=name) for name in NAMES), *(_with(f"sw_scores_gaps_{o}_{e}", gap_open=o, gap_extend=e) for o, e in ((0, 0), (3, 1), (255, 127))),
     )
 }

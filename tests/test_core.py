@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from strandline.functions import kernel
-from strandline.functions.alphabet import LETTERS, OTHER, encode, encode_text, letters
+from strandline.functions import kernel, sql_score
+from strandline.functions.alphabet import LETTERS, OTHER, code_array, encode, encode_text, letters
 from strandline.functions.matrices import NAMES, matrix, matrix_table
 from strandline.operators import ingest, search, stats
 from strandline.operators.params import SearchParams
@@ -136,10 +137,44 @@ def test_null_ordinals_keep_their_rows(spark):
     assert queries == [(2, 1, 0), (5, 2, 1), (1 << 40, 2, 3)]
 
 
-def test_deal_is_even(spark):
-    db = ingest.preprocess(spark.createDataFrame([(i, str(i), "ACD" * (1 + i % 50)) for i in range(640)], "seq_ordinal long, title string, residues string"))
-    sizes = search.deal(db, 32).groupBy(F.spark_partition_id()).count().collect()
-    assert sorted(r["count"] for r in sizes) == [20] * 32
+def test_tasks_have_the_same_work(spark):
+    """Cells by place of the grid, for lengths that differ by a factor of thousands: no task has over 1.1 of the mean."""
+    r = random.Random(11)
+    lengths = [r.choice([3, 40, 300, 2_000]) + r.randrange(50) for _ in range(900)] + [200_000, 90_000]
+    db = ingest.preprocess(spark.createDataFrame([(i, str(i), n) for i, n in enumerate(lengths)], "seq_ordinal long, title string, n int").select("seq_ordinal", "title", F.expr("repeat('A', n)").alias("residues")))
+    queries = ingest.query_set(spark.createDataFrame([(0, "q", "ACDEFG")], "seq_ordinal long, title string, residues string"))
+    cut = search.pieces(db, 4_000, 100)
+    assert cut.agg(F.sum("own")).first()[0] == sum(lengths) and cut.agg(F.max("len")).first()[0] == 4_000
+    work = search.grid(queries, cut, 1, 16).where("side = 1").groupBy(F.spark_partition_id()).agg(F.sum("own").alias("n")).collect()
+    assert len(work) == 16 and max(x.n for x in work) <= 1.1 * sum(lengths) / 16
+
+
+@settings(max_examples=80, deadline=None)
+@given(residues, st.lists(residues, min_size=1, max_size=4), st.sampled_from(NAMES), st.sampled_from([(10, 2), (0, 0), (3, 1), (255, 127), (0, 100)]), st.sampled_from([1, 8, 40, 100]))
+def test_tiles_equal_whole_rows(query, lanes, name, gaps, cells):
+    """Columns in tiles of eight and more, H and the running maximum handed on."""
+    block = kernel.Batch(kernel.padded([encode_text(x * 2) for x in lanes]), matrix(name), *gaps, cells)
+    assert block.scores([encode_text(query), encode_text(query[::-1])]).tolist() == [[plain(q, x * 2, name, *gaps) for x in lanes] for q in (query, query[::-1])]
+
+
+@settings(max_examples=80, deadline=None)
+@given(residues, st.lists(residues, min_size=1, max_size=4), st.sampled_from(NAMES), st.integers(0, 200), st.integers(0, 30), st.integers(0, 6))
+def test_bounds_hold_and_low_scores_may_be_left_out(query, lanes, name, least, gap_open, gap_extend):
+    m, codes = matrix(name), kernel.padded([encode_text(x) for x in lanes])
+    want = np.array([plain(query, x, name, gap_open, gap_extend) for x in lanes])
+    assert (kernel.bounds(encode_text(query), kernel.counts(codes), m) >= want).all()
+    got = kernel.Batch(codes, m, gap_open, gap_extend).scores([encode_text(query)], [least])[0]
+    assert (got[want >= least] == want[want >= least]).all() and (got[want < least] < least).all() if least else (got == want).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(residues, residues, st.sampled_from(NAMES), st.integers(0, 30), st.integers(1, 20))
+def test_no_alignment_spans_more_than_reach(query, text, name, gap_open, gap_extend):
+    far = kernel.reach(len(query), matrix(name), gap_open, gap_extend)
+    text = text + "W" * far + query  # an alignment of both ends would span more
+    parts = [text[i : i + far] for i in range(len(text))]
+    assert max(plain(query, x, name, gap_open, gap_extend) for x in set(parts)) == plain(query, text, name, gap_open, gap_extend)
+    assert kernel.reach(5, matrix(name), 0, 0) is None and kernel.reach(0, matrix(name), 0, 0) == 0
 
 
 def test_composition(spark):
@@ -157,7 +192,7 @@ def test_search_with_ties_and_blocks(spark, tmp_path, monkeypatch):
     write_database(db, str(tmp_path / "db"))
     db = read_database(spark, str(tmp_path / "db"))
     queries = ingest.query_set(text_sequences(frame.where("id < 3"), "id", "t"))
-    monkeypatch.setattr(search, "QUERY_COUNT", 2)  # two blocks
+    monkeypatch.setattr(search, "QUERY_RESIDUES", 20)  # several row groups
     order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), i))
     for top in (4, 1000):
         got = search.search(queries, db, SearchParams(top=top, batch_cells=200), tasks=3).collect()
@@ -167,6 +202,35 @@ def test_search_with_ties_and_blocks(spark, tmp_path, monkeypatch):
             assert mine == [(k + 1, *x) for k, x in enumerate(ranked)]
 
 
+def test_pieces_and_pruning_change_no_hit(spark):
+    """Long texts in overlapping pieces, in one task and in many, against whole texts; what is counted while it runs."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("ACDEFGHIK", k=r.choice([2, 30, 700, 3_000]))) for _ in range(40)]
+    texts[3] = texts[3][:20] + texts[5][:40] + texts[3][20:]
+    rows = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "seq_ordinal long, title string, residues string")
+    queries = spark.createDataFrame([(i, "q", texts[5][i : i + 35] + "WWWW") for i in range(3)], "seq_ordinal long, title string, residues string")
+    db, queries = ingest.preprocess(rows), ingest.query_set(queries)
+    every = search.score_pairs(queries, db, SearchParams(gap_extend=9))
+    want = {(x.query_id, x.rank, x.db_pos, x.score) for x in search.top_hits(every, 4).collect()}
+    for tasks in (1, 7):
+        seen = Observation()
+        got = search.search(queries, db, SearchParams(gap_extend=9, top=4, batch_cells=2_000, piece=1), tasks, seen).collect()
+        assert {(x.query_id, x.rank, x.db_pos, x.score) for x in got} == want
+        assert seen.get["cells"] == stats.cells(queries, db).agg(F.sum("cells")).first()[0] and 0 < seen.get["skipped"] < seen.get["cells"]
+
+
+def test_score_in_sql_and_by_folds(spark):
+    sql_score.register(spark)
+    r = random.Random(2)
+    pairs = [tuple("".join(r.choices(LETTERS + "JO", k=r.randrange(0, 12))) for _ in range(2)) for _ in range(60)]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", encode("x").alias("a"), encode("y").alias("b"), code_array("x").alias("c"), code_array("y").alias("d"))
+    folded = [sql_score.fold_score(F.col("c"), F.col("d")).alias("f"), sql_score.fold_score(F.col("c"), F.col("d"), "pam30", 0, 0).alias("g")]
+    for x in rows.select("x", "y", F.expr("sw_score(a, b) s"), F.expr("sw_score(a, b, 'pam30', 0, 0) t"), *folded).collect():
+        assert (x.s, x.t) == (x.f, x.g) == (plain(x.x, x.y), plain(x.x, x.y, "pam30", 0, 0))
+    none = spark.sql("select sw_score(cast(null as binary), X'01') a, sw_score(X'', X'01') b, sw_score(X'01', X'01', cast(null as string)) c").first()
+    assert tuple(none) == (None, 0, None)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "seq_ordinal long, title string, residues string")
     db = ingest.preprocess(none)
