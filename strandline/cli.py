@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from strandline.functions.matrices import NAMES
 from strandline.operators import ingest, stats
 from strandline.operators.params import SearchParams
-from strandline.operators.search import search
+from strandline.operators.search import best_of, top_hits
 from strandline.sources.fasta import read_fasta
-from strandline.sources.tables import read_database, write_database
+from strandline.sources.tables import read_database, titles_of, write_database
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,7 +58,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif options.operation == "search":
         db = read_database(spark, options.db)
         tasks = options.tasks or 4 * spark.sparkContext.defaultParallelism
-        hits = search(ingest.query_set(read_fasta(spark, options.query)), db, params, tasks).where(F.col("rank") <= options.top)
+        best = top_hits(best_of(ingest.query_set(read_fasta(spark, options.query)), db, params, tasks), params.top)
+        hits = titles_of(best.where(F.col("rank") <= options.top), options.db)
         if options.output:
             hits.write.parquet(options.output)
         else:

@@ -62,6 +62,7 @@ select code::int code, case when code < 23 then '{LETTERS}'[code + 1] end residu
 select id query_id, len, coalesce(sum(len) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint disp from db""",
     "db_length_order": f"{_DOCUMENTS} select db_pos, id seq_ordinal, len from db",
     "fasta_database": f"{_DOCUMENTS} select db_pos, id seq_ordinal, id::varchar title, len from db",
+    "fasta_files": f"select doc_id, coalesce({_letters('text')}, '') residues, true placed from documents",
     "vector_groups": f"{_DOCUMENTS}, {_GROUPS} select * from g",
     "chunk_assembly": f"""{_DOCUMENTS}, {_GROUPS},
 c as (select *, floor(coalesce(sum(padded) over (order by vector_group rows between unbounded preceding and 1 preceding), 0) / 134217728.0)::bigint chunk from g),

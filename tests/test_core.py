@@ -15,8 +15,9 @@ from strandline.functions.alphabet import LETTERS, OTHER, code_array, encode, en
 from strandline.functions.matrices import NAMES, matrix, matrix_table
 from strandline.operators import ingest, search, stats
 from strandline.operators.params import SearchParams
+from strandline.sources import fasta
 from strandline.sources.fasta import read_fasta, write_fasta
-from strandline.sources.tables import read_database, text_sequences, write_database
+from strandline.sources.tables import files_of, manifest, read_database, text_sequences, titles_of, write_database
 
 FINGERPRINTS = {
     "blosum45": "178a70eaa3484fff", "blosum50": "f17821f594830ffa", "blosum62": "e6a389a48de31114", "blosum80": "9cec75b116a0eac0",
@@ -113,6 +114,60 @@ def test_fasta(spark, tmp_path):
     assert {(r.title, r.residues) for r in again.collect()} == {(r.title, r.residues) for r in rows if r.residues}
 
 
+def test_fasta_source_is_the_same_however_it_is_cut(spark, tmp_path, monkeypatch):
+    """Several files, both kinds of line ends, blank lines, empty titles and records; ranges of every size, and reads of few bytes."""
+    (tmp_path / "in").mkdir()
+    files = {"b.fa": b"\n>b1\r\nAC\r\nDE\r\n>\r\nFG\r\n>b3 x > y\r\n\r\n", "a.fa": b">a1\nA>C\n>a2\n" + b"WY\n" * 40 + b">a3\nK", "_hidden": b">no\nA", "c.fa": b"", "d.fa": b">>d\nA"}
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    want = [("a1", "A>C"), ("a2", "WY" * 40), ("a3", "K"), ("b1", "ACDE"), ("", "FG"), ("b3 x > y", ""), (">d", "A")]
+    offsets = None
+    monkeypatch.setattr(fasta, "READ", 3)
+    for split in (1, 2, 5, 64, 1 << 20):
+        out = sorted((p.before + at, r) for p in fasta.FastaReader(str(tmp_path / "in"), split).partitions() for at, r in fasta.records(open(p.path, "rb"), p.start, p.end))
+        offsets = offsets or [x for x, _ in out]
+        assert [x for x, _ in out] == offsets and len(out) == len(want)
+    rows = read_fasta(spark, str(tmp_path / "in"), split=7).orderBy("seq_ordinal").collect()
+    assert [(r.title, r.residues) for r in rows] == want and [r.seq_ordinal for r in rows] == offsets
+    assert [r.title for r in spark.read.format("fasta").load(str(tmp_path / "in" / "[ad].fa")).orderBy("seq_ordinal").collect()] == ["a1", "a2", "a3", ">d"]
+    (tmp_path / "wrong.fa").write_bytes(b"AC\n>x\n")
+    for wrong in ("wrong.fa", "missing"):
+        with pytest.raises(Exception, match="FASTA|missing"):
+            read_fasta(spark, str(tmp_path / wrong)).collect()
+
+
+def test_fasta_writer_keeps_every_row(spark, tmp_path):
+    rows = [(None, "ACD"), ("two\r\nlines", "A" * 61 + ">C\n>D"), ("", ""), ("x", None)]
+    write_fasta(spark.createDataFrame(rows, "title string, residues string"), str(tmp_path / "out"))
+    want = sorted([("", "ACD"), ("two lines", "A" * 61 + "CD"), ("", ""), ("x", "")])
+    for read in (read_fasta, fasta.read_fasta_lines):
+        assert sorted((r.title, r.residues) for r in read(spark, str(tmp_path / "out")).collect()) == want
+
+
+def test_database_is_whole_or_not_there(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", "ACDE" * (1 + i)) for i in range(60)], "seq_ordinal long, title string, residues string")
+    path = str(tmp_path / "db")
+    write_database(ingest.preprocess(rows), path, 6)
+    lines = manifest(spark, path).orderBy("low").collect()
+    assert sum(x.sequences for x in lines) == 60 and lines[-1].max_len == 240 and all(a.high < b.low for a, b in zip(lines, lines[1:], strict=False))
+    hits = spark.createDataFrame([(0, 59, 5, 1), (1, 58, 4, 1), (2, 59, 3, 1)], "query_id long, db_pos long, score int, rank int")
+    assert files_of(hits, path) == [lines[-1].file]
+    got = titles_of(hits, path)
+    assert {f.rpartition("/")[2] for f in got.inputFiles()} & {x.file for x in lines} == {lines[-1].file}
+    assert sorted((r.query_id, r.title) for r in got.collect()) == [(0, "t59"), (1, "t58"), (2, "t59")] and titles_of(hits.where("false"), path).count() == 0
+    part = tmp_path / "db" / lines[2].file
+    part.rename(tmp_path / "away")
+    with pytest.raises(ValueError, match="missing"):
+        read_database(spark, path)
+    (tmp_path / "away").rename(part)
+    (tmp_path / "db" / "more.parquet").write_bytes(part.read_bytes())
+    with pytest.raises(ValueError, match="list"):
+        read_database(spark, path)
+    rows.write.parquet(str(tmp_path / "none"))
+    with pytest.raises(Exception, match="manifest"):
+        read_database(spark, str(tmp_path / "none"))
+
+
 def test_encode_strips_before_upper(spark):
     rows = spark.createDataFrame([("aßc1 dé", ), (None,), ("",)], "t string").select(letters("t").alias("x"))
     assert [r.x for r in rows.collect()] == ["ACD", None, ""]
@@ -214,7 +269,7 @@ def test_pieces_and_pruning_change_no_hit(spark):
     want = {(x.query_id, x.rank, x.db_pos, x.score) for x in search.top_hits(every, 4).collect()}
     for tasks in (1, 7):
         seen = Observation()
-        got = search.search(queries, db, SearchParams(gap_extend=9, top=4, batch_cells=2_000, piece=1), tasks, seen).collect()
+        got = search.search(queries, db, SearchParams(gap_extend=9, top=4, batch_cells=100, piece=1), tasks, seen).collect()
         assert {(x.query_id, x.rank, x.db_pos, x.score) for x in got} == want
         assert seen.get["cells"] == stats.cells(queries, db).agg(F.sum("cells")).first()[0] and 0 < seen.get["skipped"] < seen.get["cells"]
 
