@@ -28,6 +28,14 @@ def lower_ascii(column: Column | str) -> Column:
     return F.translate(column, _UPPER, _LOWER)
 
 
+def free_name(taken, name: str) -> str:
+    """name, or with as many _ behind it as it takes not to be one of taken (columns' names, in any case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more."""
     for table in tables:

@@ -33,6 +33,8 @@ SYMBOLS, TRAIN_DOCS, FOLDS = 48, 2_000, 5
 #: Grams that are searched at a time.
 CHUNK = 1 << 15
 UNKNOWN = "und"
+#: Bytes of the dense table in a Python worker, and languages that can be told apart in it.
+TABLE_BYTES, LANGUAGES = 256 << 20, 2_000
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -69,6 +71,15 @@ def _grams(symbols: np.ndarray, size: int) -> np.ndarray:
     return grams
 
 
+def fitting(symbols: int, languages: int) -> int:
+    """Symbols of the dense table, ``symbols`` at most, so that it takes TABLE_BYTES at most: fewer ones, the more languages."""
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages are more than the {LANGUAGES} that the model can hold")
+    while symbols > 2 and 4 * languages * symbols**4 > TABLE_BYTES:
+        symbols -= 1
+    return symbols
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each wanted key is among keys (sorted), and whether it is there."""
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -186,7 +197,8 @@ def train(docs: DataFrame, symbols: int = SYMBOLS, train_docs: int = TRAIN_DOCS)
     """Context trees of all languages, from text and lang of about train_docs documents each outside the held-out fold."""
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold("doc_id") != 0))
-    counts = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 0)).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 0)).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    symbols = fitting(symbols, len(counts))
     if not counts:
         return Trees([], symbols, *(np.zeros(0, np.int64) for _ in range(3)))
     parts = spark.createDataFrame([(r.lang, min(1.0, train_docs / r.n)) for r in counts], "lang string, part double")

@@ -15,7 +15,8 @@ Rates become whole copies by systematic rounding: documents of a source stand in
 rates R is cut at whole numbers, and a document gets as many copies as cuts fall into its step. Neighbours have
 nearly the same size, so the words taken differ from the target by at most one largest document. The running sum
 comes from the table of distinct sizes, and within one size from hashed cells, so no source and no size is ever
-sorted in one task.
+sorted in one task. Within a cell documents stand in order of doc_id and a hash of their text, and multipliers are rounded to
+DIGITS places, below which sums of doubles depend on the order of tasks: so reruns give every document the same copies.
 
 The driver holds one row per source (name, words, target, multiplier), as the targets themselves are given per source;
 ``max_sources`` bounds that.
@@ -37,6 +38,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Cells that documents of one source and size are dealt to before they are numbered.
 CELLS = 1024
 MAX_SOURCES = 1_000_000
+#: Decimal places of multipliers.
+DIGITS = 6
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> dict:
@@ -87,20 +90,20 @@ def multipliers(histogram: DataFrame, want: dict[int, tuple[float, float, float]
             b, target = bracket[r.source_no], want[r.source_no][1]
             miss = r.words - target
             if abs(miss) <= close * max(1.0, target):
-                out[r.source_no] = b[2]
+                out[r.source_no] = round(b[2], DIGITS)
                 del bracket[r.source_no]
                 continue
             b[1 if miss > 0 else 0] = b[2]
             step = b[2] - miss / r.slope if r.slope > 0 else math.nan
             b[2] = step if b[0] < step < b[1] else (b[0] + b[1]) / 2
-    return out | {s: b[2] for s, b in bracket.items()}
+    return out | {s: round(b[2], DIGITS) for s, b in bracket.items()}
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, max_sources: int = MAX_SOURCES, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (and the columns in keep) of every row of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     cell = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(CELLS)).cast("int")
-    rows = written(docs.select("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source", "text")), size.alias("size"), cell.alias("cell")), "sizes")
+    rows = written(docs.select("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source", "text")), size.alias("size"), cell.alias("cell"), F.xxhash64("text").alias("text_hash")), "sizes")
     cells = rows.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).limit(max_sources + 1).collect()
@@ -123,7 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     before = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     places = cells.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("source", "size", "cell").orderBy("doc_id")
+    within = Window.partitionBy("source", "size", "cell").orderBy("doc_id", "text_hash")
     numbered = rows.withColumn("at", F.row_number().over(within))
     numbered = numbered.join(F.broadcast(ids), numbered.source.eqNullSafe(ids.source)).drop(ids.source)
     places = places.join(F.broadcast(ids.select("source", "source_no")), places.source.eqNullSafe(ids.source)).select("source_no", "size", "cell", "skip")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, by_cell, cells_for, discard, release, small, some_rows, utf8, written
-from .repeats import Rolling, Units, mix
+from .repeats import Rolling, Units, bucket_of, mix
 
 WORDS = 5
 #: Sets of fewer shingles are joined shingle by shingle; the first band, and each band's upper over its lower end.
@@ -240,7 +240,7 @@ def stars(about: DataFrame) -> DataFrame:
             key = np.frombuffer(b"".join(own), np.uint64)
             low = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) < LOW_KEYS
             key, ids, low, first, many, pairs = star(key, np.repeat(ids[lead], count), low)
-            out = [(int(ids[many][0] % cells), key[many].tobytes(), ids[many].tobytes(), b"", pairs.tobytes(), False)] if many.any() else []
+            out = [(int(bucket_of(ids[many][:1], cells)[0]), key[many].tobytes(), ids[many].tobytes(), b"", pairs.tobytes(), False)] if many.any() else []
             key, ids, low = key[first], ids[first], low[first]
             out += [(c, key[at].tobytes(), ids[at].tobytes(), low[at].tobytes(), b"", True) for c, at in by_cell((mix(key) % np.uint64(cells)).astype(np.int64))]
             columns = zip(*out, strict=True)
@@ -256,7 +256,7 @@ def stars(about: DataFrame) -> DataFrame:
         return pa.concat_tables([table.filter(pa.array(~still)).select(columns), own])
 
     packed = about.select("doc_id", "n", "set_a", "set_b", "keys").mapInArrow(pack, "cell int, keys binary, ids binary, low binary, pairs binary, open boolean")
-    return packed.repartition(cells, "cell").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
+    return packed.repartitionById(cells, "cell").groupBy("cell").applyInArrow(meet, "keys binary, ids binary, pairs binary")
 
 
 def _unpacked(found: DataFrame, *columns: str) -> DataFrame:
@@ -421,7 +421,7 @@ def across(members: DataFrame, about: DataFrame, nearest: bool) -> DataFrame:
     sized = members.join(about.select(F.col("doc_id").alias("id"), "n", "short"), "id")
     if not nearest:
         sized = sized.join(members.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low")), "id")
-    dealt = sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).repartition(cells, "cell").groupBy("cell")
+    dealt = sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")).repartitionById(cells, "cell").groupBy("cell")
     return dealt.applyInArrow(compare, "root long, d long, a long, b long, key long") if nearest else dealt.applyInArrow(compare, "a long, b long").distinct()
 
 

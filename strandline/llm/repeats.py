@@ -162,9 +162,14 @@ def low32(anchor: np.ndarray) -> np.ndarray:
     return mix(anchor + np.uint64(0x632BE59BD9B4E019))
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Documents by a hash of their id: ids themselves may all be multiples of the number of buckets."""
+    return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
 def dealt_back(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     """Values of documents packed by the document's bucket: one row per bucket, however many documents."""
-    parts = by_cell((ids % buckets).astype(np.int32))
+    parts = by_cell(bucket_of(ids, buckets))
     columns = ([b for b, _ in parts], [ids[p].tobytes() for _, p in parts], [values[p].tobytes() for _, p in parts])
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "ids", "packed"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
@@ -182,7 +187,7 @@ def by_document(dealt: DataFrame, column: str, buckets: int) -> DataFrame:
         each = [values[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)]
         return pa.table({"doc_id": pa.array(ids[cut]), column: pa.array(each, pa.binary())})
 
-    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gather, f"doc_id long, {column} binary")
+    return dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(gather, f"doc_id long, {column} binary")
 
 
 @dataclass(frozen=True)
@@ -263,7 +268,7 @@ def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
         cell, mark = ((anchor >> np.uint64(32)) % np.uint64(cells)).astype(np.int32), anchor.astype(np.uint32)
         out = []
         for known, own in ((False, np.flatnonzero(new)), (True, np.flatnonzero(many))):
-            where = (ids[own] % cells).astype(np.int32) if known else cell[own]
+            where = bucket_of(ids[own], cells) if known else cell[own]
             out += [(c, known, mark[own[part]].tobytes(), ids[own[part]].tobytes()) for c, part in by_cell(where)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["cell", "known", "marks", "ids"])
@@ -278,7 +283,7 @@ def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
         return dealt_back(np.concatenate([take(ids, True), who[again]]), np.concatenate([take(marks, True), mark[again]]), cells)
 
     packed = docs.mapInArrow(pack, "cell int, known boolean, marks binary, ids binary")
-    return by_document(packed.repartition(cells, "cell").groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks", cells)
+    return by_document(packed.repartitionById(cells, "cell").groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks", cells)
 
 
 def _joined(parts: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +405,7 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
         doc, start, windows = (np.concatenate(x) for x in zip(*spans, strict=True))
         return dealt_back(doc, np.stack([start, windows], 1).astype(np.int32), buckets)
 
-    decided = both.mapInArrow(deal, "cell int, packed binary").repartition(cells, "cell").groupBy("cell").applyInArrow(decide, "bucket int, ids binary, packed binary")
+    decided = both.mapInArrow(deal, "cell int, packed binary").repartitionById(cells, "cell").groupBy("cell").applyInArrow(decide, "bucket int, ids binary, packed binary")
     spans = written(by_document(decided, "spans", buckets), "repeat-spans")
     discard(marks)
     release(spark)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free_name, small, written
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the runs are maximal, so a run that is too short holds no other match
@@ -127,10 +127,11 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def redact(docs: DataFrame, reach: int = REACH, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by mask (spans that overlap or touch count as one), all columns kept. Texts are masked where they are read; only spans are joined to them."""
+    own_id, own_hash, own_spans = (free_name(docs.columns, x) for x in ("secret_id", "secret_hash", "secret_spans"))
     found = scan_secrets(docs, reach).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))  # equal texts have equal spans
-    found = small(written(found, "secret-spans"), F.size("_spans") * 40 + 64)
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
+    found = found.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.first("spans").alias(own_spans))  # equal texts have equal spans
+    found = small(written(found, "secret-spans"), F.size(own_spans) * 40 + 64)
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found[own_id]) & (F.xxhash64(docs["text"]) == found[own_hash]), "left")
 
     def step(acc, s):
         fresh = s["start"] > acc["at"]
@@ -138,7 +139,7 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = "[SECRET]") -> DataF
         out = F.when(fresh | (acc["out"] == ""), F.concat(acc["out"], F.when(fresh, gap).otherwise(F.lit("")), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(done)
-    changed = {"text": text, "n_chars": F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    done = F.aggregate(own_spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
+    text = F.when(F.col(own_spans).isNull(), docs["text"]).otherwise(done)
+    changed = {"text": text, "n_chars": F.when(F.col(own_spans).isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     return rows.select(*(changed[c].alias(c) if changed.get(c) is not None else docs[c] for c in docs.columns))

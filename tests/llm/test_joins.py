@@ -215,3 +215,29 @@ def test_top_k_in_waves_and_of_large_vectors(spark, monkeypatch):
     for big in (1e7, 1e300, -8.3e6):
         with pytest.raises(Exception, match="too large"):
             exact_top_k.top_k(spark.createDataFrame([(0, [big] * 3), (1, [1.0] * 3)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_items_that_share_a_line(spark):
+    """Many items share a window: a document's places meet the window once, and every item is counted."""
+    r = random.Random(21)
+    line = prose(r, 12, 10_000)
+    items = [f"{prose(r, 9, 10_000)} {line} {prose(r, 9, 10_000)}" for _ in range(60)] + [line, line.upper()]
+    texts = [f"{prose(r, 30, 10_000)} {line} {prose(r, 30, 10_000)} {line}" for _ in range(20)] + [items[3], prose(r, 50, 10_000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    windows = decontamination._windows(bench, 10)
+    found = decontamination.windows_found(frame(spark, texts), windows)
+    # two places of three windows each, seen by way of one or two aligned blocks, however many items there are
+    assert 20 * 6 <= found.where("start is not null and doc_id < 20").count() <= 20 * 12
+    got = {x.doc_id: x for x in decontamination.decontaminate(frame(spark, texts), bench).collect()}
+    want = decontaminated(texts, items)
+    for i, x in got.items():
+        assert (x.n_words, x.n_hit, x["items"]) == want[i], i
+    assert got[0].n_items == 62 and got[20].n_items == 62 and got[21].n_items == 0
+
+
+def test_buckets_do_not_follow_ids():
+    from strandline.llm.repeats import bucket_of
+
+    for ids in (np.arange(20_000), np.arange(20_000) * 8, -np.arange(20_000) * 64):
+        sizes = np.bincount(bucket_of(ids.astype(np.int64), 8), minlength=8)
+        assert sizes.max() <= 1.1 * len(ids) / 8

@@ -84,3 +84,30 @@ def test_language_keeps_texts_when_none_is_learned(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 0, 1, "k", "w", 2, 3, 4, "h", 5, 6, 7) for i, t in enumerate(texts)], SCHEMA)
     kept = dict(corpus_pipeline.STAGES)["language"](spark, docs, SF)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
+#: Names that stages and operators use for columns of their own.
+INSIDE = (
+    "found", "gone", "contaminated_id", "contaminated", "secret_id", "secret_hash", "secret_spans", "mixed_row", "row", "size", "source_size", "target", "copies", "taken", "cell", "at", "n", "skip", "rate",
+    "start", "source_no", "text_hash", "spans", "hits", "windows", "no", "ids", "component_id", "root", "key", "id", "a", "b", "_found", "_row", "_spans", "_id", "_hash", "_hit", "_gone", "lang_pred", "score", "words", "block", "near", "length", "x",
+)
+
+
+def test_names_of_users_columns_are_theirs(spark):
+    """Documents with every name that stages use inside: no stage fails, and every value comes out as it went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in INSIDE))
+    before, now = by_id(docs), docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+        assert now.columns[: len(docs.columns)] == docs.columns, name
+        for i, r in by_id(now).items():
+            assert all(r[c] == before[i][c] for c in INSIDE), name
+    assert now.columns[len(docs.columns) :] == [f"{c}_" for c in ("size", "source_size", "target", "copies", "taken")]
+    assert 0 < now.count() < len(before) and now.where("copies_ < 1").isEmpty()
+
+
+def test_mix_is_the_same_in_every_run(spark):
+    """Rows that share an id: after another dealing each text has the same copies."""
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, 7, id) doc_id", "repeat('w ', cast(20 + id % 4 as int)) || id text", "concat('s', id % 2) source")
+    runs = [sorted((r.doc_id, r.text, r.copies) for r in corpus_pipeline.mixed(spark, docs.repartition(n), SF).collect()) for n in (1, 7, 13)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 300

@@ -276,3 +276,12 @@ def test_every_query_is_registered():
     names = list(registry.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_tables_of_many_languages_have_a_bound():
+    for n in (1, 4, 60, 200, language_id.LANGUAGES):
+        s = language_id.fitting(language_id.SYMBOLS, n)
+        assert 4 * n * s**4 <= language_id.TABLE_BYTES and s >= 12
+    assert language_id.fitting(48, 4) == 48
+    with pytest.raises(ValueError):
+        language_id.fitting(48, language_id.LANGUAGES + 1)
