@@ -6,8 +6,9 @@
     secrets          secrets are masked in the texts; every document stays
     mixing           documents that the mix leaves out go; the others carry the number of times it takes them (copies)
 
-All stages but the last return the columns of documents, whatever these are. Empty tables pass through all stages. Rows
-that share a doc_id stay or go together; rows with a null id are never near duplicates.
+All stages but the last return the columns of documents, whatever these are; the last one adds size, source_size, target,
+copies and taken, each with as many _ behind its name as it takes to be no column of documents. Empty tables pass through
+all stages. Rows that share a doc_id stay or go together; rows with a null id are never near duplicates.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, language_id, mixing, parity_join, secrets
-from strandline.llm.common import table, written
+from strandline.llm.common import free_name, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language_id.train(docs)
     if not trees.languages:  # no labels to learn from: only texts without a letter go
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, trees)
-    return docs.withColumn("_found", found).where(F.col("_found.lang") != language_id.UNKNOWN).select(*docs.columns)
+    found = free_name(docs.columns, "found")
+    return docs.withColumn(found, language_id.identify(docs, trees)).where(F.col(f"{found}.lang") != language_id.UNKNOWN).drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = parity_join.linked_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    own = free_name(docs.columns, "gone")
+    gone = parity_join.linked_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +43,12 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, and size, source_size, target, copies and taken. Texts stay where they are while the mix is worked out."""
-    added = ("size", "source_size", "target", "copies", "taken")
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mixing.mix(rows.select("doc_id", "text", "source", "_row"), keep=("_row",)).where("copies > 0").select("_row", *added)
-    return rows.drop(*added).join(taken, "_row").drop("_row")
+    """The columns of documents, and the mix's own. Texts stay where they are while the mix is worked out."""
+    row = free_name(docs.columns, "mixed_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(rows.select("doc_id", "text", "source", row), keep=(row,)).where("copies > 0")
+    added = [F.col(c).alias(free_name(docs.columns, c)) for c in ("size", "source_size", "target", "copies", "taken")]
+    return rows.join(taken.select(row, *added), row).drop(row)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("secrets", masked), ("mixing", mixed)]
