@@ -443,7 +443,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
     release(spark)
     pairs = written(possible(_unpacked(found, "pairs").distinct(), sets), "pairs")
     copies = sets.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = written(sets.join(copies, ["set_a", "set_b", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copies")
+    groups = written(copies, "copied-sets")  # a row a group; a group of any size stays where its members are
+    copies = written(sets.join(small(groups, F.lit(64)), ["set_a", "set_b", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copies")
     roots = components(verified(pairs, texts).unionByName(copies))
     release(spark)
 
