@@ -7,6 +7,7 @@ from strandline.operators import ingest
 from strandline.operators.search import search
 from strandline.sources.fasta import read_fasta
 from strandline.sources.tables import read_database
+from strandline.streaming.growing import latest, search_growing
 from strandline.streaming.queries import search_stream
 
 
@@ -46,3 +47,22 @@ def test_stream_equals_batch(spark, database):
     got = spark.read.parquet(str(database / "out")).drop("batch")
     want = search(ingest.query_set(queries.withColumnRenamed("query_id", "seq_ordinal")), db)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 20
+
+
+def test_database_that_grows_equals_batch_search(spark, tmp_path):
+    """Three arrivals, the stream stopped and started again between them; ties of score and length, repeated texts."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("ACDEF", k=r.choice([4, 9, 30, 31]))) for _ in range(36)]
+    texts += texts[:9]
+    rows = spark.createDataFrame([(i, f"t{i}", t) for i, t in enumerate(texts)] + [(99, "none", None)], "seq_ordinal long, title string, residues string")
+    queries = ingest.query_set(spark.createDataFrame([(i, "q", q) for i, q in enumerate(["ACDEFACDEF", "FFEEDDCCAA", "W"])], "seq_ordinal long, title string, residues string"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    params = cli.SearchParams(top=5, batch_cells=64)
+    for k in range(3):
+        rows.where(f"seq_ordinal % 3 = {(k + 1) % 3}").repartition(3).write.mode("append").parquet(str(tmp_path / "arriving"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "arriving"))
+        assert search_growing(stream, queries, str(tmp_path / "out"), str(tmp_path / "state"), params).awaitTermination(120) is True
+        so_far = rows.where(f"seq_ordinal % 3 in ({','.join(str((j + 1) % 3) for j in range(k + 1))})")
+        want = {(x.query_id, x.rank, x.seq_ordinal, x.title, x.score) for x in search(queries, ingest.preprocess(so_far), params).collect()}
+        assert {tuple(x) for x in latest(spark.read.parquet(str(tmp_path / "out"))).collect()} == want and len(want) == 15
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
