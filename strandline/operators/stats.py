@@ -67,6 +67,43 @@ def sample_prefix(db: DataFrame, part: float) -> DataFrame:
     return db.join(F.broadcast(total), F.col("db_pos") < F.col("keep")).drop("keep")
 
 
+def sample_fair(db: DataFrame, part: float) -> DataFrame:
+    """db's columns and stratum (bits of the length): of each stratum the ``part`` (rounded up) whose ids have the smallest
+    hashes. So every length has its share, a larger part holds a smaller one, and neither partitions nor runs matter.
+
+    A stratum may hold any share of the rows, so it is never sorted: rows are counted by the first digits of their hash,
+    which tells the digits that go whole, and only those that share the digits at the edge are put in order.
+    """
+    if not 0 < part <= 1:
+        raise ValueError("part must be over 0 and at most 1")
+    rows = db.withColumns({"stratum": F.length(F.bin("len")), "hash": F.md5(F.col("seq_ordinal").cast("string"))}).withColumn("digits", F.substring("hash", 1, 3))
+    counts = rows.groupBy("stratum", "digits").agg(F.count(F.lit(1)).alias("n"))  # 4096 a stratum at most
+    own = Window.partitionBy("stratum")
+    before = F.coalesce(F.sum("n").over(own.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.ceil(F.sum("n").over(own) * F.lit(part)) - before
+    edges = counts.select("stratum", "digits", "n", room.alias("room")).where("room > 0")
+    met = rows.join(edges, ["stratum", "digits"])
+    place = F.row_number().over(Window.partitionBy("stratum", "digits").orderBy("hash", "seq_ordinal"))
+    kept = met.where("n <= room").select(*db.columns, "stratum")
+    return kept.unionByName(met.where("n > room").withColumn("place", place).where(F.col("place") <= F.col("room")).select(*db.columns, "stratum"))
+
+
+def ungapped(queries: DataFrame, db: DataFrame, matrix: DataFrame) -> DataFrame:
+    """query_id, db_pos, diagonal, score: of each pair the best run of residues without a gap, and its diagonal (place in the
+    sequence less place in the query; of equal ones the smallest). Pairs without a positive score are left out.
+
+    queries: query_id, residues; db: db_pos, residues; matrix: i, j, score. Places meet by an equi-join on what their
+    residues score. A run's score is a prefix sum less the smallest prefix sum before it.
+    """
+    place = lambda rows, key, at, code: rows.select(key, F.posexplode(code_array("residues")).alias(at, code))
+    scored = place(queries, "query_id", "p", "i").join(F.broadcast(matrix.select("i", "j", "score")), "i").join(place(db, "db_pos", "q", "j"), "j")
+    own = Window.partitionBy("query_id", "db_pos", "diagonal").orderBy("p")
+    upto = scored.withColumn("diagonal", F.col("q") - F.col("p")).withColumn("upto", F.sum("score").over(own))
+    least = F.least(F.lit(0), F.coalesce(F.min("upto").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    best = upto.withColumn("gain", F.col("upto") - least).groupBy("query_id", "db_pos").agg(F.max(F.struct("gain", (-F.col("diagonal")).alias("d"))).alias("x"))
+    return best.where("x.gain > 0").select("query_id", "db_pos", (-F.col("x.d")).cast("int").alias("diagonal"), F.col("x.gain").cast("int").alias("score"))
+
+
 def score_profile(sequences: DataFrame, matrix: DataFrame) -> DataFrame:
     """db_pos, place, i, score: what each residue i scores at each place of each sequence. sequences: db_pos, residues."""
     places = sequences.select("db_pos", F.posexplode(code_array("residues")).alias("place", "j"))

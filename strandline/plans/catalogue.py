@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.alphabet import OTHER, code_array, letters
+from strandline.functions.alphabet import OTHER, SIZE, code_array, letters
 from strandline.functions.matrices import NAMES, matrix_table
 from strandline.functions.sql_score import fold_score, register
 from strandline.operators import ingest, search, stats
@@ -80,6 +80,22 @@ def sample_prefix(spark, sf_dir):
     return stats.sample_prefix(_db(spark, sf_dir), 0.01).select("db_pos", "seq_ordinal", "len")
 
 
+def sample_fair(spark, sf_dir):
+    return stats.sample_fair(_db(spark, sf_dir), 0.01).select("db_pos", "seq_ordinal", "len", "stratum")
+
+
+def ungapped_diagonals(spark, sf_dir):
+    residues = lambda rows: rows.select("seq_ordinal", "title", letters("residues").alias("residues")).where("residues <> ''")
+    queries = residues(regions(spark, sf_dir)).withColumnRenamed("seq_ordinal", "query_id")
+    return stats.ungapped(queries, ingest.with_position(residues(parts(spark, sf_dir)).withColumn("len", F.length("residues"))), _every_residue(spark))
+
+
+def _every_residue(spark):
+    """blosum62 with zeros for the letters without a code, so that these take up places."""
+    rest = spark.createDataFrame([(i, j, 0) for i in range(SIZE) for j in range(SIZE) if OTHER in (i, j)], "i int, j int, score int")
+    return matrix_table(spark, "blosum62").select("i", "j", "score").unionByName(rest)
+
+
 def submat_lookup(spark, sf_dir):
     """How much each matrix's row of each residue adds up to over all documents, by the join on residue codes."""
     n = stats.residue_composition(seq_ingest(spark, sf_dir)).where(F.col("code") < OTHER).select(F.col("code").alias("j"), "n")
@@ -189,7 +205,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix,
+        seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix, sample_fair, ungapped_diagonals,
         submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, fasta_database, fasta_files,
         sw_score_sql, sw_score_fold, sw_scores_tiles, hit_titles_pieces,
         *(_with(f"sw_scores_{name}", matrix=name) for name in NAMES), *(_with(f"sw_scores_gaps_{o}_{e}", gap_open=o, gap_extend=e) for o, e in ((0, 0), (3, 1), (255, 127))),

@@ -70,6 +70,19 @@ k as (select chunk, count(*) "groups", sum(sequences)::bigint sequences, sum(pad
 select *, coalesce(sum("groups") over (order by chunk rows between unbounded preceding and 1 preceding), 0)::bigint groups_before from k""",
     "group_slice": f"{_DOCUMENTS}, {_GROUPS} select * from g where vector_group >= 10 and vector_group < 40",
     "sample_prefix": f"{_DOCUMENTS} select db_pos, id seq_ordinal, len from db where db_pos < (select ceil(count(*) * 0.01) from db)",
+    "sample_fair": f"""{_DOCUMENTS}, h as (select *, length(bin(len))::int stratum, md5(id::varchar) h from db),
+k as (select *, row_number() over (partition by stratum order by h, id) r, count(*) over (partition by stratum) n from h)
+select db_pos, id seq_ordinal, len, stratum from k where r <= ceil(n * 0.01)""",
+    "ungapped_diagonals": f"""with {sequences('part', 'p_partkey', 'p_name')},
+q as (select r_regionkey::bigint query_id, {_codes(_letters('r_name'))} a from region where length({_letters('r_name')}) > 0),
+m as (select [{','.join(str(x) for x in matrix('blosum62').reshape(-1))}] m),
+a as (select query_id, unnest(a) i, unnest(range(0, len(a))) p from q),
+b as (select db_pos, unnest({_codes('x')}) j, unnest(range(0, len)) q from db),
+w as (select query_id, db_pos, p, (b.q - p)::int diagonal, m[i * 24 + j + 1] score from a, b, m),
+u as (select *, sum(score) over (partition by query_id, db_pos, diagonal order by p) upto from w),
+g as (select *, upto - least(0, coalesce(min(upto) over (partition by query_id, db_pos, diagonal order by p rows between unbounded preceding and 1 preceding), 0)) gain from u),
+r as (select query_id, db_pos, diagonal, gain, row_number() over (partition by query_id, db_pos order by gain desc, diagonal) r from g where gain > 0)
+select query_id, db_pos, diagonal, gain::int score from r where r = 1""",
     "submat_lookup": f"""{_DOCUMENTS}, c as (select unnest({_codes('x')}) j from s), n as (select j, count(*) n from c where j < 23 group by j)
 select matrix, j, res_j, sum(score * n)::bigint total, max(score)::int best from n join {_values(*NAMES)} using (j) group by matrix, j, res_j""",
     "score_profile": f"""with {sequences('part', 'p_partkey', 'p_name')}, c as (select db_pos, unnest({_codes('x')}) j, unnest(range(0, len)) place from db)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -304,6 +305,42 @@ def test_chunks_and_sample(spark):
     assert matrix_table(spark, "pam70").count() == 529
 
 
+def test_fair_sample(spark):
+    r = random.Random(13)
+    rows = [(i, f"t{i}", r.choice([1, 3, 50, 700]) + r.randrange(3)) for i in range(5_000)]
+    db = spark.createDataFrame(rows, "seq_ordinal long, title string, len int")
+    sets = {}
+    for part in (0.01, 0.2, 1.0):
+        own = defaultdict(list)
+        for i, _, n in rows:
+            own[n.bit_length()].append((hashlib.md5(str(i).encode()).hexdigest(), i))
+        want = {i for x in own.values() for _, i in sorted(x)[: -int(-len(x) * part // 1)]}
+        for n in (1, 9):
+            got = stats.sample_fair(db.repartition(n), part)
+            assert got.columns == [*db.columns, "stratum"] and {x.seq_ordinal for x in got.collect()} == want
+        sets[part] = want
+    assert sets[0.01] < sets[0.2] < sets[1.0] and len(sets[1.0]) == 5_000
+    assert stats.sample_fair(db.where("false"), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        stats.sample_fair(db, 0)
+
+
+def test_ungapped_against_all_diagonals(spark):
+    r = random.Random(14)
+    queries, texts = (["".join(r.choices("ACDWX", k=r.randrange(1, 9))) for _ in range(n)] for n in (5, 12))
+    m = matrix("blosum62")
+    want = {}
+    for a, q in enumerate(queries):
+        for b, t in enumerate(texts):
+            runs = [(-sum(m[LETTERS.index(q[k]), LETTERS.index(t[k + d])] for k in range(x, y)), d) for d in range(-len(q), len(t)) for x in range(max(0, -d), len(q)) for y in range(x + 1, min(len(q), len(t) - d) + 1)]
+            score, d = min(runs)
+            if score < 0:
+                want[a, b] = (d, -score)
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, residues string")
+    got = stats.ungapped(frame(queries, "query_id"), frame(texts, "db_pos"), matrix_table(spark, "blosum62")).collect()
+    assert {(x.query_id, x.db_pos): (x.diagonal, x.score) for x in got} == want and want
+
+
 def test_flagship(spark):
     import __spark_entry__ as e
 
