@@ -18,6 +18,17 @@ _SECRETS = (
 _quoted = lambda pattern: "'" + pattern.replace("\\'", "'").replace("'", "''") + "'"
 _SECRET_MATCHES = " union all ".join(f"select r, {no} no, '{kind}' kind, regexp_extract_all(t, {_quoted(p)}) f, string_split_regex(t, {_quoted(p)}) g from d" for kind, no, p in _SECRETS)
 
+#: The patterns of personal data, stated anew.
+_PERSONAL = (
+    ("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", 2, r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+_PERSONAL_MATCHES = " union all ".join(f"select r, {no} no, '{kind}' kind, regexp_extract_all(t, {_quoted(p)}) f, string_split_regex(t, {_quoted(p)}) g from d" for kind, no, p in _PERSONAL)
+_LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: case when (length(x) - i) % 2 = 1 then 2 * x[i]::int - case when x[i] > '4' then 9 else 0 end else x[i]::int end)) % 10 = 0"
+_CRC = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end))"
+
 SQL = {
     "op1_decontamination": rf"""
 with d as (select doc_id, {_ITEM_WORDS} ws from documents),
@@ -131,5 +142,32 @@ s as (select item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf +
   from q join wt using (w) join tf using (w) join x using (r) group by item_id, r, doc_id),
 k as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int rank from s where score > 0)
 select item_id, rank, doc_id, score from k where rank <= 10
+""",
+    "mixing_targets": rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size from documents),
+s as (select source, sum(size)::bigint words, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] weight from d group by source),
+o as (select *, 2 * words / weight part, row_number() over (order by 2 * words / weight, weight, source nulls last) k from s),
+a as (select *, 1.5::double * sum(words) over () - coalesce(sum(2 * words) over (order by k rows between unbounded preceding and 1 preceding), 0) left_over,
+  sum(weight) over (order by k rows between current row and unbounded following) open_weight from o),
+c as (select min(k) k from a where left_over * weight / open_weight <= 2 * words),
+f as (select a.left_over, a.open_weight, c.k from c join a using (k)),
+t as (select source, words, case when k >= (select k from f) then (select left_over from f) * weight / (select open_weight from f) else (2 * words)::double end target from a)
+select doc_id, size, words source_size, target::double target from d join t on d.source is not distinct from t.source
+""",
+    "language_folds": rf"""
+select doc_id, coalesce(xor({_CRC}, 4294967295::bigint) % 5 = 0, false) held_out, not regexp_matches(coalesce(text, ''), '\p{{L}}') undetermined from documents
+""",
+    "token_text_bytes": "select doc_id, coalesce(strlen(text), 0)::bigint n_bytes, false more_tokens_than_bytes from documents",
+    "pii_base_spans": f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+m as ({_PERSONAL_MATCHES}),
+u as (select r, no, kind, unnest(f) v, unnest(range(1, len(f) + 1)) i, unnest(list_transform(g[1:len(f)], lambda y: length(y))) gap from m where len(f) > 0),
+y as (select r, no, kind, v, regexp_replace(v, '[^0-9]', '', 'g') x, sum(gap + length(v)) over (partition by r, no order by i) e from u),
+p as (select r, no, kind, (e - length(v))::int s, e::int e from y where no = 0
+  or (no = 1 and len(list_filter(string_split(v, '.'), lambda n: length(ltrim(n, '0')) > 3 or (length(ltrim(n, '0')) = 3 and ltrim(n, '0') > '255'))) = 0)
+  or (no = 2 and length(x) between 16 and 19 and {_LUHN}) or (no = 3 and length(x) between 8 and 15)),
+own as (select r, count_if(no = 0) n0, count_if(no = 1) n1, count_if(no = 2) n2, count_if(no = 3) n3, string_agg(kind || ':' || s || ':' || e, ',' order by no, s) spans from p group by r)
+select doc_id, coalesce(n0, 0)::bigint n_email, coalesce(n1, 0)::bigint n_ip, coalesce(n2, 0)::bigint n_card, coalesce(n3, 0)::bigint n_phone, sha256(coalesce(spans, '')) base_sha256
+from d left join own using (r)
 """,
 }

@@ -75,10 +75,30 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# Columns of operators 6, 8, 9 and 10 that SQL can state, from the same operators.
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.predicted(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", (F.col("lang_pred") == language_id.UNKNOWN).alias("undetermined"))
+
+
+def token_text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") > F.col("n_bytes")).alias("more_tokens_than_bytes"))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_decontamination, op2_ngram_jaccard_join, op3_exact_top_k, op4_substring_dedup, op5_suffix_array_dedup, op6_mixing, op7_secrets, op8_language_id, op9_token_counts, op10_pii,
-        op11_hard_negatives, op12_chat_format, op13_lexical_search,
+        op11_hard_negatives, op12_chat_format, op13_lexical_search, mixing_targets, language_folds, token_text_bytes, pii_base_spans,
     )
     return {f.__name__: f for f in every}
 
