@@ -9,9 +9,9 @@ products of a block of anchors with a block of words are one matrix multiplicati
 have 63 bits.
 
 Blocks of anchors and of packed candidates meet on a grid: anchors lie in row groups, candidates in column groups, and a
-block travels once to each place of its row or column, where it meets the others' blocks. A task goes through its pairs of blocks one by one and keeps each anchor's few best, so what leaves it grows
-with the anchors and not with the pairs. A first pass gives each anchor its positives, a second one, with their scores,
-the negatives in each positive's band of scores.
+block travels once to each place of its row or column, where it meets the others' blocks. A task goes through its pairs of
+blocks one by one and keeps each anchor's few best, so what leaves it grows with the anchors and not with the pairs. A first
+pass gives each anchor its positives, a second one, with their scores, the negatives in each positive's band of scores.
 
 Defined results: rows with a null id, label or vector, with a null or non-finite component or without components take no
 part; rows that share an id are one row (the smallest vector, then the smallest label); vectors meet vectors of their own
