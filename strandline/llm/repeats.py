@@ -12,10 +12,12 @@ Shared by the two substring operators, which differ in the unit and in how windo
    certain. Equal windows meet in the cell, and ``compare`` decides about the windows of different stretches.
 4. Each document gets its repeated windows back.
 
-Anchors that are frequent in a bounded sample of documents (a license line, a group of thousands of copies) are hot. Their
-windows are dealt singly by their own hash, so the texts around a hot line don't meet in one task, and a window that the
-sample holds in a smaller document (by a 64-bit hash of its content) is repeated and needs no dealing at all. But for that hash,
-the sample decides how windows travel, never what is repeated.
+Step 2 counts every anchor's documents. Anchors of ``crowd`` documents or more (a license line, a group of thousands of
+copies) are hot. Their windows are dealt singly by their own hash, so the texts around a hot line don't meet in one task,
+however few of all documents have it. The driver and the tasks hold the ``hot_anchors`` most frequent of them, 4 bytes each;
+an anchor beyond these has less than one in ``hot_anchors`` of all anchors of the corpus. A window of a hot anchor that a
+bounded sample of documents holds in a smaller document, with the same bytes, is repeated and needs no dealing at all. Both
+decide how windows travel, never what is repeated.
 
 The number of cells follows the size of the texts, so that a cell's size doesn't grow with the data.
 
@@ -43,6 +45,11 @@ _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 ANCHORS_TOGETHER = 500_000
 #: The same for stretches.
 STRETCHES_TOGETHER = 150_000
+#: And for the bytes of windows.
+WINDOWS_TOGETHER = 100_000
+#: Rows of anchors on their way: seen once in a batch, seen in several documents of it, and how many more these are.
+FRESH, KNOWN, MORE = range(3)
+COUNTED = np.dtype([("mark", np.uint32), ("docs", np.int64)])
 DEALT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("content", pa.binary())])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -175,9 +182,11 @@ def dealt_back(ids: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
 
 
 def by_document(dealt: DataFrame, column: str, buckets: int) -> DataFrame:
-    """(doc_id, column): all values of each document, as bytes."""
+    """(doc_id, column): all values of each document, as bytes. Buckets from ``buckets`` on are of no document: a row with a null id each."""
 
     def gather(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:  # of no document
+            return pa.table({"doc_id": pa.array([None], pa.int64()), column: pa.array([b"".join(table.column("packed").to_pylist())], pa.binary())})
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         packed = b"".join(table.column("packed").to_pylist())
         values = np.frombuffer(packed, np.dtype((np.void, len(packed) // len(ids))))
@@ -192,15 +201,18 @@ def by_document(dealt: DataFrame, column: str, buckets: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: Units.of_bytes or Units.of_words; window and k in units; compare: see repeated()."""
+    """unit: Units.of_bytes or Units.of_words; window and k in units; compare: see repeated(). Anchors of crowd documents are hot."""
 
     unit: Callable
     window: int
     k: int
     compare: Callable
+    crowd: int = 2_000
+    hot_anchors: int = 1_000_000
     sample_docs: int = 2_000
     hot_docs: int = 4
-    hot_windows: int = 1_000_000
+    hot_windows: int = 250_000
+    hot_bytes: int = 256
 
 
 def _parts(batch: pa.RecordBatch, plan: Plan):
@@ -209,38 +221,57 @@ def _parts(batch: pa.RecordBatch, plan: Plan):
         yield block, np.asarray(block.column("doc_id")), units, stretches(units, plan.window, plan.k)
 
 
-def hot(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hot anchors; hot windows (hashes) and the smallest sampled id of each. From about sample_docs documents, with at
-    most hot_windows entries."""
+def hot_marks(marks: DataFrame, plan: Plan) -> np.ndarray:
+    """Marks of the hot anchors, at most hot_anchors of them, the most frequent ones, in order."""
 
-    def seen(batches):
+    def unpack(batches):
         for batch in batches:
-            for _, ids, _, s in _parts(batch, plan):
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchor.view(np.int64)), pa.array(ids[s.text])], ["anchor", "doc_id"])
+            found = np.frombuffer(b"".join(batch.column("marks").to_pylist()), COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.array(found["mark"].astype(np.int64)), pa.array(found["docs"])], ["mark", "docs"])
 
+    every = marks.where("doc_id is null").select("marks").mapInArrow(unpack, "mark long, docs long")
+    top = every.orderBy(F.desc("docs"), "mark").limit(plan.hot_anchors).select("mark").toArrow()
+    return np.unique(top.column(0).to_numpy().astype(np.uint32))
+
+
+def hot_windows(docs: DataFrame, plan: Plan, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Windows of hot anchors that about sample_docs documents share: their hashes, in order, the smallest sampled id of
+    each, and their bytes. At most hot_windows, of hot_bytes bytes at most each."""
+    if not len(anchors):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     spark = docs.sparkSession
-    sample = written(some_rows(docs, plan.sample_docs), "repeat-sample")
-    often = sample.repartition(8).mapInArrow(seen, "anchor long, doc_id long").distinct().groupBy("anchor").count().where(F.col("count") >= plan.hot_docs)
-    anchors = np.sort(often.orderBy(F.desc("count"), "anchor").limit(plan.hot_windows).select("anchor").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(anchors)
 
     def windows(batches):
         for batch in batches:
-            for _, ids, _, s in _parts(batch, plan):
-                own = np.isin(s.anchor, shared.value)
-                begin, count = s.start[own], s.windows[own]
-                at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(s.rolling.at(at, at + plan.window).view(np.int64)), pa.array(np.repeat(ids[s.text[own]], count))], ["hash", "doc_id"])
-
-    found = sample.repartition(8).mapInArrow(windows, "hash long, doc_id long").groupBy("hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+            for _, ids, units, s in _parts(batch, plan):
+                own = np.isin(low32(s.anchor).astype(np.uint32), shared.value)
+                at, of = single_windows(s, own)
+                fit = units.end[at + plan.window - 1] - units.begin[at] <= plan.hot_bytes
+                at, of, data = at[fit], of[fit], units.data.tobytes()
+                for i in range(0, len(at), WINDOWS_TOGETHER):
+                    some = at[i : i + WINDOWS_TOGETHER]
+                    begin, end = units.begin[some].tolist(), units.end[some + plan.window - 1].tolist()
+                    content = [data[a:b] for a, b in zip(begin, end, strict=True)]
+                    hashes = s.rolling.at(some, some + plan.window).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(content, pa.binary()), pa.array(ids[of[i : i + WINDOWS_TOGETHER]])], ["hash", "content", "doc_id"])
+
+    found = some_rows(docs, plan.sample_docs).mapInArrow(windows, "hash long, content binary, doc_id long").groupBy("hash", "content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     top = found.where(F.col("n") >= plan.hot_docs).orderBy(F.desc("n"), "hash").limit(plan.hot_windows).toArrow()
     hashes, least = top.column("hash").to_numpy().astype(np.int64).view(np.uint64), top.column("least").to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    return anchors, hashes[order], least[order]
+    order, content = np.argsort(hashes), top.column("content").to_pylist()
+    return hashes[order], least[order], [content[i] for i in order.tolist()]
+
+
+def single_windows(s: Stretches, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of some stretches: its first unit, and its text."""
+    n = s.windows[own]
+    return np.repeat(s.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(s.text[own], n)
 
 
 def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
-    """(doc_id, marks): hashes of the document's anchors that a second document has, 4 bytes each."""
+    """(doc_id, marks): hashes of the document's anchors that a second document has, 4 bytes each. In rows with a null id:
+    marks of anchors of plan.crowd documents at least, with how many (COUNTED)."""
 
     def pack(batches):
         found, size = [], 0
@@ -254,7 +285,7 @@ def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
         yield from packed_cells(found)
 
     def packed_cells(found):
-        """Anchors by cell: those seen once go on to be met; those of several documents are known, and go on once."""
+        """Anchors by cell: those seen once go on to be met; those of several documents are known, and go on once, with how many more there are."""
         if not found:
             return
         anchor, ids = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -265,24 +296,35 @@ def shared_anchors(docs: DataFrame, plan: Plan, cells: int) -> DataFrame:
         new = np.append(True, anchor[1:] != anchor[:-1]) if len(anchor) else np.zeros(0, bool)
         many = ~new
         many[:-1] |= ~new[1:]
+        first = np.flatnonzero(new)
+        more = np.diff(np.append(first, len(anchor))) - 1
         cell, mark = ((anchor >> np.uint64(32)) % np.uint64(cells)).astype(np.int32), anchor.astype(np.uint32)
         out = []
-        for known, own in ((False, np.flatnonzero(new)), (True, np.flatnonzero(many))):
-            where = bucket_of(ids[own], cells) if known else cell[own]
-            out += [(c, known, mark[own[part]].tobytes(), ids[own[part]].tobytes()) for c, part in by_cell(where)]
+        kinds = ((FRESH, first, ids), (KNOWN, np.flatnonzero(many), ids), (MORE, first[more > 0], np.repeat(more, more + 1)))
+        for kind, own, values in kinds:
+            where = bucket_of(ids[own], cells) if kind == KNOWN else cell[own]
+            out += [(c, kind, mark[own[part]].tobytes(), values[own[part]].tobytes()) for c, part in by_cell(where)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["cell", "known", "marks", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["cell", "kind", "marks", "ids"])
 
     def second(table: pa.Table) -> pa.Table:
-        known = np.array(table.column("known").to_pylist(), bool)
+        kinds = table.column("kind").to_pylist()
         marks, ids = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("marks", np.uint32), ("ids", np.int64)))
-        take = lambda parts, which: np.concatenate([p for p, k in zip(parts, known, strict=True) if k == which] or [parts[0][:0]])
-        mark, who = take(marks, False), take(ids, False)
-        _, place, n = np.unique(mark, return_inverse=True, return_counts=True)
+        take = lambda parts, which: np.concatenate([p for p, k in zip(parts, kinds, strict=True) if k == which] or [parts[0][:0]])
+        mark, who = take(marks, FRESH), take(ids, FRESH)
+        names, place, n = np.unique(mark, return_inverse=True, return_counts=True)
         again = n[place] > 1 if len(mark) else np.zeros(0, bool)
-        return dealt_back(np.concatenate([take(ids, True), who[again]]), np.concatenate([take(marks, True), mark[again]]), cells)
-
-    packed = docs.mapInArrow(pack, "cell int, known boolean, marks binary, ids binary")
+        back = dealt_back(np.concatenate([take(ids, KNOWN), who[again]]), np.concatenate([take(marks, KNOWN), mark[again]]), cells)
+        np.add.at(n, np.searchsorted(names, take(marks, MORE)), take(ids, MORE))  # all of these came fresh, too
+        full = np.flatnonzero(n >= plan.crowd)
+        if not len(full):
+            return back
+        counted = np.zeros(len(full), COUNTED)
+        counted["mark"], counted["docs"] = names[full], n[full]
+        bucket = cells + table.column("cell")[0].as_py()
+        return pa.concat_tables([back, pa.table({"bucket": pa.array([bucket], pa.int32()), "ids": pa.array([b""], pa.binary()), "packed": pa.array([counted.tobytes()], pa.binary())})])
+
+    packed = docs.mapInArrow(pack, "cell int, kind byte, marks binary, ids binary")
     return by_document(packed.repartitionById(cells, "cell").groupBy("cell").applyInArrow(second, "bucket int, ids binary, packed binary"), "marks", cells)
 
 
@@ -301,15 +343,16 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = spark.sparkContext.broadcast(hot(texts, plan))
     size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     buckets, cells = cells_for(spark, size), cells_for(spark, size, 8 << 20)
     marks = written(shared_anchors(texts, plan, buckets), "repeat-marks")
+    anchors = hot_marks(marks, plan)
+    frequent = spark.sparkContext.broadcast((anchors, *hot_windows(texts, plan, anchors)))
     release(spark)
     both = texts.join(marks, "doc_id")
 
     def deal(batches):
-        hot_anchors, hot_hashes, hot_least = frequent.value
+        hot_anchors, hot_hashes, hot_least, hot_contents = frequent.value
         waiting = []
         for batch in batches:
             for block, ids, units, s in _parts(batch, plan):
@@ -318,13 +361,15 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
                 own = (s.text.astype(np.uint64) << np.uint64(32)) | low32(s.anchor).astype(np.uint32)
                 take = np.isin(own, key)
                 text, start, windows, anchor = s.text[take], s.start[take], s.windows[take], s.anchor[take]
-                single = np.isin(anchor, hot_anchors)
-                n = windows[single]
-                at = np.repeat(start[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                of = np.repeat(text[single], n)
+                data = units.data.tobytes()
+                single = np.isin(low32(anchor).astype(np.uint32), hot_anchors)
+                at, of = single_windows(s, np.flatnonzero(take)[single])
                 hashes = s.rolling.at(at, at + plan.window)
                 place = np.minimum(np.searchsorted(hot_hashes, hashes), max(0, len(hot_hashes) - 1))
                 sure = (hot_hashes[place] == hashes) & (hot_least[place] < ids[of]) if len(hot_hashes) else np.zeros(len(at), bool)
+                alike = np.flatnonzero(sure)
+                begin, end = units.begin[at[alike]].tolist(), units.end[at[alike] + plan.window - 1].tolist()
+                sure[alike] = np.array([data[a:b] == hot_contents[p] for a, b, p in zip(begin, end, place[alike].tolist(), strict=True)], bool)
                 # certain windows go on as runs of their document, without content
                 where, who = at[sure] - units.starts[of[sure]], of[sure]
                 cut = np.flatnonzero(np.append(True, (where[1:] != where[:-1] + 1) | (who[1:] != who[:-1]))) if len(where) else np.zeros(0, np.int64)
@@ -334,7 +379,6 @@ def repeated(docs: DataFrame, plan: Plan) -> DataFrame:
                 windows_ = np.concatenate([windows[~single], np.ones((~sure).sum(), np.int64), runs])
                 keys_ = np.concatenate([anchor[~single], hashes[~sure], ids[who[cut]].astype(np.uint64)])
                 rest = len(texts_) - len(cut)
-                data = units.data.tobytes()
                 begin, end = units.begin[starts_[:rest]], units.end[starts_[:rest] + windows_[:rest] + plan.window - 2]
                 content = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)] + [None] * len(cut)
                 part = [keys_.view(np.int64), ids[texts_], (starts_ - units.starts[texts_]).astype(np.int32), windows_.astype(np.int32)]

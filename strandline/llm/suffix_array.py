@@ -8,8 +8,8 @@ few bytes, though, and need no rank: only stretches around anchors that two docu
 by anchor, so that all positions that can begin the same string meet in one partition. There positions get a rank by
 their first 8 bytes. Round by round the pair (rank of p, rank of p + h) is sorted and ranked anew, for h = 8, 16, 32 ...
 up to the threshold; a position whose rank is unique leaves. Positions with the same rank in the end begin the same
-``window`` bytes, compared as bytes and not as hashes. (Only windows of hot anchors that a sampled document with a smaller
-id holds are told by a 64-bit hash before they get here; see ``repeats``.)
+``window`` bytes, compared as bytes and not as hashes. (Windows of hot anchors that have the bytes of one in a sampled
+document with a smaller id are left out before they get here; see ``repeats``.)
 
 Defined results: null and empty texts have no bytes; rows with a null id neither repeat nor are repeated; rows that
 share a doc_id don't repeat each other; other columns are ignored; an empty table gives an empty result.

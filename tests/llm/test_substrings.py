@@ -1,12 +1,15 @@
+import dataclasses
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandline.llm import substrings, suffix_array
+from strandline.llm import repeats, substrings, suffix_array
 
 from .helpers import SCHEMA, WORD, awkward, frame, repeated_windows
 
@@ -47,6 +50,39 @@ def test_hot_passage_and_small_windows(spark, monkeypatch):
     check_bytes(by_id(suffix_array.remove_repeats(frame(spark, texts))), texts, 50)
     check_bytes(by_id(suffix_array.remove_repeats(frame(spark, texts), window=9, anchor=4)), texts, 9)
     check_words(by_id(substrings.remove_repeats(frame(spark, texts), window=3, anchor=2)), texts, 3)
+    texts += [texts[0].replace("lic3 ", "lic3  ")]  # the same words, other bytes
+    for known in (2, 1_000):  # windows that a sample settles, and none
+        for module in (substrings, suffix_array):
+            whole = module.plan
+            monkeypatch.setattr(module, "plan", lambda *size, whole=whole, known=known: dataclasses.replace(whole(*size), crowd=20, hot_docs=known))
+        check_words(by_id(substrings.remove_repeats(frame(spark, texts))), texts, 13)
+        check_bytes(by_id(suffix_array.remove_repeats(frame(spark, texts))), texts, 50)
+        check_bytes(by_id(suffix_array.remove_repeats(frame(spark, texts), window=9, anchor=4)), texts, 9)
+
+
+@pytest.mark.parametrize("module", [substrings, suffix_array])
+def test_hot_anchors_are_counted(spark, module):
+    """A line in 0.1 % of the documents, whose ids are multiples of the number of buckets: no sample decides whether it is hot."""
+    r = random.Random(7)
+    line = " ".join(f"licence{i}" for i in range(30))
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(6_000)]
+    for i in range(0, 6_000, 1_000):
+        texts[i] += " " + line + f" {i}"
+    ids = [8 * i for i in range(6_000)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    plan = dataclasses.replace(module.plan(), crowd=6)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+    held = {(mark, int(i)) for _, own, _, s in repeats._parts(batch, plan) for mark, i in zip(repeats.low32(s.anchor).astype(np.uint32).tolist(), own[s.text], strict=True)}
+    count = Counter(mark for mark, _ in held)
+    for parts in (1, 8):
+        got = repeats.shared_anchors(docs.repartition(parts), plan, 8).collect()
+        marks = {(mark, x.doc_id) for x in got if x.doc_id is not None for mark in np.frombuffer(x.marks, np.uint32).tolist()}
+        assert marks >= {(mark, i) for mark, i in held if count[mark] > 1}
+        counted = np.concatenate([np.frombuffer(x.marks, repeats.COUNTED) for x in got if x.doc_id is None])
+        assert {int(m): int(n) for m, n in counted} == {m: n for m, n in count.items() if n >= 6} and len(counted)
+        frame_ = spark.createDataFrame([x for x in got], "doc_id long, marks binary")
+        assert repeats.hot_marks(frame_, plan).tolist() == sorted(m for m, n in count.items() if n >= 6)
+        assert len(repeats.hot_marks(frame_, dataclasses.replace(plan, hot_anchors=1))) == 1
 
 
 def test_empty_null_and_repeated_ids(spark):
