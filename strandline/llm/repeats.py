@@ -45,7 +45,7 @@ _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 ANCHORS_TOGETHER = 500_000
 #: The same for stretches.
 STRETCHES_TOGETHER = 150_000
-#: And for the bytes of windows.
+#: And for windows of a sample.
 WINDOWS_TOGETHER = 100_000
 #: Rows of anchors on their way: seen once in a batch, seen in several documents of it, and how many more these are.
 FRESH, KNOWN, MORE = range(3)
@@ -243,20 +243,29 @@ def hot_windows(docs: DataFrame, plan: Plan, anchors: np.ndarray) -> tuple[np.nd
     shared = spark.sparkContext.broadcast(anchors)
 
     def windows(batches):
+        """Windows by their bytes, with how often they occur and the smallest id: copies in a task are one row."""
+        seen = {}
         for batch in batches:
             for _, ids, units, s in _parts(batch, plan):
-                own = np.isin(low32(s.anchor).astype(np.uint32), shared.value)
-                at, of = single_windows(s, own)
+                at, of = single_windows(s, np.isin(low32(s.anchor).astype(np.uint32), shared.value))
                 fit = units.end[at + plan.window - 1] - units.begin[at] <= plan.hot_bytes
                 at, of, data = at[fit], of[fit], units.data.tobytes()
-                for i in range(0, len(at), WINDOWS_TOGETHER):
-                    some = at[i : i + WINDOWS_TOGETHER]
-                    begin, end = units.begin[some].tolist(), units.end[some + plan.window - 1].tolist()
-                    content = [data[a:b] for a, b in zip(begin, end, strict=True)]
-                    hashes = s.rolling.at(some, some + plan.window).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(content, pa.binary()), pa.array(ids[of[i : i + WINDOWS_TOGETHER]])], ["hash", "content", "doc_id"])
-
-    found = some_rows(docs, plan.sample_docs).mapInArrow(windows, "hash long, content binary, doc_id long").groupBy("hash", "content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+                begin, end, hashes = units.begin[at], units.end[at + plan.window - 1], s.rolling.at(at, at + plan.window).view(np.int64)
+                for a, b, key, i in zip(begin.tolist(), end.tolist(), hashes.tolist(), ids[of].tolist(), strict=True):
+                    _, least, n = seen.get(data[a:b], (key, i, 0))
+                    seen[data[a:b]] = key, min(least, i), n + 1
+                if len(seen) >= WINDOWS_TOGETHER:
+                    yield counted(seen)
+                    seen = {}
+        yield counted(seen)
+
+    def counted(seen):
+        columns = [list(c) for c in zip(*seen.values(), strict=True)] or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], ["content", "hash", "least", "n"])
+
+    sample = some_rows(docs, plan.sample_docs).repartition(8)
+    each = sample.mapInArrow(windows, "content binary, hash long, least long, n long")
+    found = each.groupBy("hash", "content").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
     top = found.where(F.col("n") >= plan.hot_docs).orderBy(F.desc("n"), "hash").limit(plan.hot_windows).toArrow()
     hashes, least = top.column("hash").to_numpy().astype(np.int64).view(np.uint64), top.column("least").to_numpy().astype(np.int64)
     order, content = np.argsort(hashes), top.column("content").to_pylist()
