@@ -14,8 +14,11 @@ the log-likelihood of the known segmentations, whose gradient is the features se
 backward sums expect. The examples are regions of at most ``MAX_TRAIN_TOKENS`` tokens, ``train_regions`` at most, of about
 ``train_docs`` documents chosen by a hash of id and text, with base spans as the known entities: a bounded sample. Each is
 seen three times: as it is, with the mark hidden that a pattern needs (a phone's plus, an address's dots), and with a
-phone's country code hidden as well, so that the rest of the span has to tell. An email's @ is not hidden: without one, no
-span with letters is looked at. Values of a feature that are rare in training are one value, as unknown ones are later.
+phone's country code hidden as well, so that the rest of the span has to tell. Then it is seen with its entities written in
+other ways (``respelled``): blanks around an email's @, other marks between the groups of an address, a card or a phone; and
+with numbers in their places (decimals, dates, prices), which are none. An @ is never hidden: without one, or an [at] in
+brackets, which counts as one, no span with letters is looked at. Values of a feature that are rare in training are one
+value, as unknown ones are later.
 
 Defined results: null and empty texts have no spans; each row of the input gives one row, repeated ids included; other
 columns are ignored; an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -39,6 +42,8 @@ MAX_TOKENS, PROBABILITY = 24, 0.85
 TRAIN_DOCS, TRAIN_REGIONS, MAX_TRAIN_TOKENS, ROUNDS = 3_000, 2_000, 400, 6
 #: First step size, and the penalty's factor a step.
 RATE, PENALTY = 0.5, 1e-3
+#: Ways in which training writes entities anew.
+WAYS = 6
 #: Training regions that a feature's value must occur in; values of fewer count as one.
 RARE = 3
 
@@ -52,7 +57,10 @@ DIGITS = {None: (4, 19), 1: (4, 12), 2: (7, 19), 3: (7, 19)}
 #: The mark of a kind that training hides.
 HIDDEN = {1: ".", 3: "+"}
 _MARK, _GAP, _JOIN = re.compile("[0-9@]"), re.compile(r"\s"), re.compile(r"[ \t]([^\w\s][ \t])?")
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+#: An @ and a dot as words in brackets.
+_AT, _DOT = re.compile(r"[\[({<]at[\])}>]", re.I), re.compile(r"[\[({<]dot[\])}>]", re.I)
+_MARK_OR_AT = re.compile(f"{_MARK.pattern}|{_AT.pattern}", re.I)
+_TOKEN = re.compile(rf"{_AT.pattern}|{_DOT.pattern}|[0-9]+|[^\W\d_]+|\s+|.", re.S | re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +103,8 @@ def _shape(token: str) -> str:
         return f"d{min(len(token), 5)}"
     if token[0].isalpha():
         return "w"
+    if len(token) > 1 and not token.isspace():
+        return "@" if _AT.fullmatch(token) else "."
     return " " if token.isspace() else token
 
 
@@ -111,8 +121,8 @@ class Region:
         self.digits, self.ats, self.dots, self.letters = [0], [0], [0], [0]
         for t, s in zip(self.tokens, self.shapes, strict=True):
             self.digits.append(self.digits[-1] + (len(t) if s[0] == "d" and len(s) == 2 else 0))
-            self.ats.append(self.ats[-1] + (t == "@"))
-            self.dots.append(self.dots[-1] + (t == "."))
+            self.ats.append(self.ats[-1] + (s == "@"))
+            self.dots.append(self.dots[-1] + (s == "."))
             self.letters.append(self.letters[-1] + (s == "w"))
         before = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])
         self.cue = before[-1].lower() if before else ""
@@ -123,6 +133,8 @@ class Region:
         if first.isspace() or last.isspace() or not (last[0] == "d" or last == "w"):
             return False
         if ats := self.ats[j] - self.ats[i]:
+            if i and (self.shapes[i - 1][0] in "dw" or self.shapes[i - 1] in tuple("._%+-")):  # the whole local part or none
+                return False
             return kind == 0 and ats == 1 and first != "@" and last != "@" and self.dots[j] > self.dots[i]
         least, most = DIGITS.get(kind, (1, 0))
         return least <= self.digits[j] - self.digits[i] <= most and self.letters[j] == self.letters[i]
@@ -142,17 +154,31 @@ class Region:
         marks = "".join(sorted({s for s in shapes if s[0] != "d" and s != "w"}))
         yield f"{k}||"
         yield f"{k}|shape|{''.join(shapes)}" if len(shapes) <= 15 else f"{k}|shape|long"
-        yield f"{k}|digits|{min(digits, 22)}"
+        yield f"{k}|outline|{outline(shapes, kind)}"
+        if kind:
+            yield f"{k}|digits|{min(digits, 22)}"
         yield f"{k}|marks|{marks}"
-        yield f"{k}|made of|{self.ats[j] - self.ats[i]} {min(dots, 4)} {min(self.letters[j] - self.letters[i], 4)}"
+        if kind:
+            yield f"{k}|dots|{min(dots, 4)}"
         yield f"{k}|ends|{shapes[0]} {shapes[-1]}"
         if kind in (1, 2):
             runs = [t for t, s in zip(self.tokens[i:j], self.shapes[i:j], strict=True) if s[0] == "d" and len(s) == 2]
             yield f"{k}|check|{luhn(''.join(runs)) if kind == 2 else len(runs) == 4 and all(len(t) <= 3 and int(t) <= 255 for t in runs)}"
-        yield f"{k}|after|{self.shapes[i - 1][:1] if i else self.cue}"
+        yield f"{k}|after|{self.shapes[i - 1][:1] if i else ''}"
+        if not i:
+            yield f"{k}|cue|{self.cue}"
         yield f"{k}|before|{self.shapes[j][:1] if j < len(self.shapes) else ''}"
 
 
+def outline(shapes: Sequence[str], kind: int) -> str:
+    """A shape without its marks, cut to 40 characters: an email's words on either side of the @ as one, the last one and blanks apart; the others' runs of digits."""
+    if kind:
+        return " ".join(s for s in shapes if s[0] == "d" and len(s) == 2)[:40]
+    at = shapes.index("@")
+    sides = ["".join("n" if s[0] in "dw" else "n" if s in "._%+-" else s for s in side) for side in (shapes[:at], shapes[at + 1 : -1])]
+    return re.sub("n+", "n", f"{sides[0]}@{sides[1]}|{shapes[-1]}")[:40]
+
+
 def rare(feature: str) -> str:
     """The class of a feature's values that too few training regions have: unknown values are scored as these."""
     return f"{feature[: feature.index('|', feature.index('|') + 1)]}|?"
@@ -222,32 +248,57 @@ def marginals(n: int, first: Sequence[int], end: Sequence[int], score: Sequence[
 def chunks(text: str):
     """Stretches of neighbouring chunks (parts without space) that each hold a digit or an @, one blank or one mark between blanks apart at most."""
     start = end = 0
-    m = _MARK.search(text)
+    mark = _MARK_OR_AT if _AT.search(text) else _MARK
+    m = mark.search(text)
     while m:
         a = m.start()
         while a > end and not text[a - 1].isspace():
             a -= 1
         gap = _GAP.search(text, m.end())
         b = gap.start() if gap else len(text)
+        if _lone(text[a:b]):
+            a, b = _with_neighbours(text, a, b, end)
         if end and _JOIN.fullmatch(text, end, a):
             end = b
         else:
             if end:
                 yield start, end
             start, end = a, b
-        m = _MARK.search(text, b)
+        m = mark.search(text, b)
     if end:
         yield start, end
 
 
+def _lone(chunk: str) -> bool:
+    """Whether an @ stands alone, with blanks around."""
+    return chunk == "@" or _AT.fullmatch(chunk) is not None
+
+
+def _with_neighbours(text: str, a: int, b: int, least: int) -> tuple[int, int]:
+    """A chunk with the chunks that are one blank away on either side, from least on."""
+    if a - 1 > least and text[a - 1] in " \t" and not text[a - 2].isspace():
+        a -= 2
+        while a > least and not text[a - 1].isspace():
+            a -= 1
+    if b + 1 < len(text) and text[b] in " \t" and not text[b + 1].isspace():
+        gap = _GAP.search(text, b + 1)
+        b = gap.start() if gap else len(text)
+    return a, b
+
+
+def _marked(part: str) -> bool:
+    """Whether a part of a text has an @ or digits enough for an entity."""
+    return "@" in part or sum("0" <= c <= "9" for c in part) >= DIGITS[None][0] or _AT.search(part) is not None
+
+
 def regions(text: str, base: list[tuple[int, int, int]], known: bool = False):
     """Regions of a text, each with its tokens covered by base spans; those without free tokens only if known."""
     for a, b in chunks(text):
         part = text[a:b]
-        if "@" not in part and sum("0" <= c <= "9" for c in part) < DIGITS[None][0]:
+        if not _marked(part):
             continue
         own = [s for s in base if s[1] < b and a < s[2]]
-        if not known and own and not re.search("[0-9@]", "".join(c for i, c in enumerate(part, a) if not any(s[1] <= i < s[2] for s in own))):
+        if not known and own and not _MARK_OR_AT.search("".join(c for i, c in enumerate(part, a) if not any(s[1] <= i < s[2] for s in own))):
             continue
         region = Region(text, min([a, *(s[1] for s in own)]), max([b, *(s[2] for s in own)]))
         yield region, [any(s[1] < region.at[t + 1] and region.at[t] < s[2] for s in own) for t in range(len(region.tokens))], own
@@ -258,6 +309,51 @@ def _known(region: Region, own) -> list[tuple[int, int, int]]:
     return sorted((begin[a], end[b], kind) for kind, a, b in own if a in begin and b in end and end[b] - begin[a] <= MAX_TOKENS)
 
 
+def _groups(digits: str, first: str, mark: str, sizes: Sequence[int]) -> str:
+    """Digits in groups, first after the first of them and mark after the others; the last group takes the rest."""
+    at = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    groups = [*(digits[a:b] for a, b in zip(at, at[1:], strict=False)), digits[at[-1] :]]
+    return first.join([groups[0], mark.join(filter(None, groups[1:]))])
+
+
+def _number(digits: str, way: int) -> str:
+    """Digits as a number that is nobody's: a decimal, thousands with cents, a date with a time, a price after an @."""
+    d = (digits * 14)[:14]
+    return (f"{d[0]}.{d[1:9]}", f"{d[0]},{d[1:4]},{d[4:7]}.{d[7:9]}", f"{d[:4]}-{d[4:6]}-{d[6:8]} {d[8:10]}:{d[10:12]}:{d[12:]}", f"it @ {d[0]}.{d[1:3]}")[way % 4]
+
+
+def respelled(text: str, base: Sequence[tuple[int, int, int]], way: int, numbers: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with its entities written in another way, and where they are now. With numbers, they make room
+    for numbers, which are none."""
+    out, spans, done = [], [], 0
+    for kind, a, b in sorted(base, key=lambda s: s[1]):
+        if a < done:  # within another entity
+            continue
+        entity, digits = text[a:b], re.sub("[^0-9]", "", text[a:b])
+        if numbers:
+            out += [text[done:a], _number(digits or "1", way)]
+            done = b
+            continue
+        if kind == 0:
+            local, host = entity.split("@")
+            word = max(re.findall("[A-Za-z]+", entity), key=len)
+            letters = re.sub("[0-9]+", word[::-1], local)
+            entity = (f"{local} @ ", f"{letters} @ ", f"{word} [at] ", f"{letters}@ ", f"{local}(at)", f"{word} @ ")[way] + host
+        elif kind == 1:
+            entity = entity.replace(".", ("[.]", " . ", "(.)", ". ", "[dot]", " .")[way])
+        elif kind == 2:
+            mark = (".", "/", " - ", "_", "\u2013", ". ")[way]
+            entity = _groups(digits, mark, mark, (4, 4, 4))
+        elif kind == 3:
+            first, mark = ("--", "..", "  ", "/-", "\u2013\u2013", "/ ")[way]
+            entity = _groups(digits[-10:], first, mark, (3, 3))
+        out += [text[done:a], entity]
+        start = sum(map(len, out)) - len(entity)
+        spans.append((kind, start, start + len(entity)))
+        done = b
+    return "".join([*out, text[done:]]), sorted(spans)
+
+
 class Example:
     """A region with its known segmentation, features by number."""
 
@@ -270,7 +366,8 @@ class Example:
 
     def numbered(self, number: dict[str, int], often: set[str]) -> Example:
         """Gives features (those in often, and classes of the others) their numbers."""
-        ids = [[number.setdefault(f if f in often else rare(f), len(number)) for f in own] for own in self.features]
+        known = lambda own: (f for f in own if f in often or "|cue|" not in f)  # noqa: E731  (a rare word says nothing)
+        ids = [[number.setdefault(f if f in often else rare(f), len(number)) for f in known(own)] for own in self.features]
         self.ids, self.sizes = np.array([f for i in ids for f in i], np.int64), np.array([len(i) for i in ids], np.int64)
         return self
 
@@ -304,6 +401,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_regions: int = TR
             views = [e for hide in range(3) if (e := Example(region, own, hide)).features]
             seen.update({f for e in views for own_features in e.features for f in own_features})
             examples += views
+        for way in range(WAYS if (base := base_spans(text)) else 0):
+            views = []
+            for numbers in (False, True) if way < 4 else (False,):
+                other, spans = respelled(text, base, way, numbers)
+                views += [e for region, _, own in regions(other, spans, True) if (own or numbers) and (e := Example(region, own, 0)).features]
+            seen.update({f for e in views for own_features in e.features for f in own_features})
+            examples += views
     often = {f for f, n in seen.items() if n >= RARE}
     examples = [e.numbered(number, often) for e in examples]
     weights, squares = np.zeros(len(number)), np.full(len(number), 1e-6)
