@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -66,6 +67,42 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [None, "", None])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def closest_rates(sizes, counts, target, most=2.0):
+    """The primal problem itself, without its dual: rates of least bounded entropy that take target words, by exchanges
+    between two sizes at a time along the constraint."""
+    rates = [target / sum(s * n for s, n in zip(sizes, counts, strict=True))] * len(sizes)
+    cost = lambda w: w * math.log(w) + (most - w) * math.log(most - w) if 0 < w < most else 2 * math.log(2) if w in (0, most) else math.inf
+    for _ in range(150):
+        for i in range(len(sizes)):
+            for j in range(i):
+                di, dj = 1 / (sizes[i] * counts[i]), -1 / (sizes[j] * counts[j])  # words move from j to i
+                low = max(-rates[i] / di, (rates[j] - most) / -dj)
+                high = min((most - rates[i]) / di, rates[j] / -dj)
+                for _ in range(60):
+                    a, b = low + (high - low) / 3, high - (high - low) / 3
+                    at = [counts[i] * cost(rates[i] + x * di) + counts[j] * cost(rates[j] + x * dj) for x in (a, b)]
+                    low, high = (low, b) if at[0] < at[1] else (a, high)
+                x = (low + high) / 2
+                rates[i], rates[j] = rates[i] + x * di, rates[j] + x * dj
+    return rates
+
+
+def test_rates_against_another_solver(spark):
+    r = random.Random(12)
+    tables = [([3, 10, 40, 90, 400], [50, 30, 20, 4, 1]), ([1, 2, 7, 8], [1, 1, 1, 1]), ([5, 500], [900, 2])]
+    shares = [0.3, 1.7, 1.2]
+    words = [sum(s * n for s, n in zip(*t, strict=True)) for t in tables]
+    mean = [w / sum(t[1]) for w, t in zip(words, tables, strict=True)]
+    rows = [(i, s, n) for i, t in enumerate(tables) for s, n in zip(*t, strict=True)]
+    r.shuffle(rows)
+    found = mixing.multipliers(spark.createDataFrame(rows, "source_no int, size long, n long"), {i: (words[i], shares[i] * words[i], mean[i]) for i in range(3)})
+    for i, (sizes, counts) in enumerate(tables):
+        want = closest_rates(sizes, counts, shares[i] * words[i])
+        tilt = [found[i] * s / mean[i] for s in sizes]
+        assert [2 / (1 + math.exp(-t)) for t in tilt] == pytest.approx(want, abs=2e-3)
+        assert sum(s * n * w for s, n, w in zip(sizes, counts, want, strict=True)) == pytest.approx(shares[i] * words[i])
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
