@@ -47,23 +47,37 @@ def report(hits: DataFrame) -> None:
         print(*r, sep="\t")
 
 
+def search_params(options: argparse.Namespace) -> SearchParams:
+    return SearchParams(options.matrix, options.gap_open, options.gap_extend, options.top or 1, options.batch_cells)
+
+
+def database(options: argparse.Namespace, spark: SparkSession) -> None:
+    """What preprocess does: a FASTA file or folder becomes a database on disk."""
+    write_database(ingest.preprocess(read_fasta(spark, options.input)), options.output, options.tasks)
+
+
+def hits(options: argparse.Namespace, spark: SparkSession) -> DataFrame:
+    """What search reports: the hits of a query FASTA in a database, titles from the files that hold them."""
+    params, db = search_params(options), read_database(spark, options.db)
+    tasks = options.tasks or 4 * spark.sparkContext.defaultParallelism
+    best = top_hits(best_of(ingest.query_set(read_fasta(spark, options.query)), db, params, tasks), params.top)
+    return titles_of(best.where(F.col("rank") <= options.top), options.db)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     options = parser().parse_args(args)
     if options.operation == "search":
-        params = SearchParams(options.matrix, options.gap_open, options.gap_extend, options.top or 1, options.batch_cells)
+        search_params(options)  # wrong ones are told before a session starts
     spark = spark or SparkSession.builder.appName("strandline").getOrCreate()
     if options.operation == "preprocess":
-        write_database(ingest.preprocess(read_fasta(spark, options.input)), options.output, options.tasks)
+        database(options, spark)
         stats.db_stats(read_database(spark, options.output)).show(truncate=False)
     elif options.operation == "search":
-        db = read_database(spark, options.db)
-        tasks = options.tasks or 4 * spark.sparkContext.defaultParallelism
-        best = top_hits(best_of(ingest.query_set(read_fasta(spark, options.query)), db, params, tasks), params.top)
-        hits = titles_of(best.where(F.col("rank") <= options.top), options.db)
+        found = hits(options, spark)
         if options.output:
-            hits.write.parquet(options.output)
+            found.write.parquet(options.output)
         else:
-            report(hits.orderBy("query_id", "rank"))
+            report(found.orderBy("query_id", "rank"))
     else:
         stats.engine_info(spark).show(truncate=False)
     return 0

@@ -48,7 +48,7 @@ def chunks(groups: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = groups.groupBy(step.alias("step")).agg(F.sum("padded").alias("s")).select("step", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("step").orderBy("vector_group").rowsBetween(Window.unboundedPreceding, -1)
-    placed = groups.withColumn("step", step).withColumn("inside", F.coalesce(F.sum("padded").over(inside), F.lit(0))).join(F.broadcast(steps), "step")
+    placed = groups.withColumn("step", step).withColumn("inside", F.coalesce(F.sum("padded").over(inside), F.lit(0))).join(steps, "step")
     chunk = F.floor((F.col("before") + F.col("inside")) / chunk_bytes)
     out = placed.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("groups"), F.sum("sequences").cast("long").alias("sequences"), F.sum("padded").cast("long").alias("padded"), F.min("vector_group").alias("first_group"))
     running = F.sum("groups").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))

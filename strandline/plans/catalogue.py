@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import cli
 from strandline.functions.alphabet import OTHER, SIZE, code_array, letters
 from strandline.functions.matrices import NAMES, matrix_table
 from strandline.functions.sql_score import fold_score, register
@@ -185,6 +186,20 @@ def fasta_database(spark, sf_dir):
     return read_database(spark, path).select("db_pos", "seq_ordinal", "title", "len")
 
 
+def fasta_search(spark, sf_dir):
+    """The command line's whole way, with its own options: queries and sequences as FASTA files, a database in three files,
+    its search in six tasks, and the report. Titles hold the ids."""
+    path = {name: fresh_path(spark, name) for name in ("queries", "sequences", "database")}
+    for name, rows in (("queries", regions(spark, sf_dir)), ("sequences", parts(spark, sf_dir))):
+        in_order = rows.withColumn("residues", letters("residues")).where("residues <> ''").repartitionByRange(3, "seq_ordinal").sortWithinPartitions("seq_ordinal")
+        write_fasta(in_order, path[name])
+    parse = cli.parser().parse_args
+    cli.database(parse(["preprocess", "-i", path["sequences"], "-o", path["database"], "-c", "3"]), spark)
+    found = cli.hits(parse(["search", "-q", path["queries"], "-d", path["database"], "-s", "pam250", "-g", "3", "-e", "1", "-r", "7", "-c", "6"]), spark)
+    asked = read_fasta(spark, path["queries"]).select(F.col("seq_ordinal").alias("query_id"), F.col("title").cast("long").alias("asked"))
+    return found.join(asked, "query_id").select(F.col("asked").alias("query_id"), "db_pos", F.col("title").cast("long").alias("seq_ordinal"), "score", "rank")
+
+
 def fasta_files(spark, sf_dir):
     """Documents as several FASTA files with Windows line ends, read by the data source in ranges of few bytes. Ordinals
     order them by file and place; the rows must be the documents' letters, each with its id as title."""
@@ -206,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_ingest, residue_composition, db_stats, query_stats, query_displacements, db_length_order, chunk_assembly, group_slice, sample_prefix, sample_fair, ungapped_diagonals,
-        submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, fasta_database, fasta_files,
+        submat_lookup, score_profile, sw_scores, sw_topk, hit_titles, sw_overflow_stats, cells, search_benchmark_documents, fasta_database, fasta_files, fasta_search,
         sw_score_sql, sw_score_fold, sw_scores_tiles, hit_titles_pieces,
         *(_with(f"sw_scores_{name}", matrix=name) for name in NAMES), *(_with(f"sw_scores_gaps_{o}_{e}", gap_open=o, gap_extend=e) for o, e in ((0, 0), (3, 1), (255, 127))),
     )

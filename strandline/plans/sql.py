@@ -93,6 +93,7 @@ select db_pos, place::int place, i, score from c join {_values('blosum62')} usin
     "sw_overflow_stats": f"{pair_scores('pam250', 0, 0)} select query_id, count(*) pairs, sum((score >= 40)::int)::bigint \"over\", sum(least(score, 40))::bigint capped_sum from p group by query_id",
     "cells": f"{_DOCUMENTS}, {_QUERIES} select q.id query_id, (q.len * (select sum(len) from db))::bigint cells from q",
 }
+SQL["fasta_search"] = f"{pair_scores('pam250', 3, 1)}, {_TOP} select query_id, db_pos, id seq_ordinal, score, rank from t join db using (db_pos) where rank <= 7"
 SQL["sw_scores_tiles"] = SQL["sw_score_fold"] = SQL["sw_scores"]
 SQL["hit_titles_pieces"] = f"{pair_scores('blosum62', 255, 127)}, {_TOP} select query_id, db_pos, id seq_ordinal, id::varchar title, score, rank from t join db using (db_pos) where rank <= 10"
 SQL["sw_score_sql"] = f"""select query_id, db_pos, x.score, y.score pam250_score from ({pair_scores()} select * from p) x

@@ -5,11 +5,14 @@ import pytest
 from strandline import cli
 from strandline.operators import ingest
 from strandline.operators.search import search
+from strandline.plans import catalogue
 from strandline.sources.fasta import read_fasta
 from strandline.sources.tables import read_database
 from strandline.streaming.growing import latest, search_growing
 from strandline.streaming.queries import search_stream
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def database(spark, tmp_path):
@@ -37,6 +40,14 @@ def test_command_line(spark, database, capsys):
         cli.main(["search", "-q", "x", "-d", "y", "-g", "256"], spark)
 
 
+def test_files_give_what_tables_give(spark):
+    """The command line's way over FASTA files, and the same search over tables."""
+    params = cli.SearchParams("pam250", 3, 1, 7)
+    want = search(ingest.query_set(catalogue.regions(spark, SMALL)), ingest.preprocess(catalogue.parts(spark, SMALL)), params).drop("title")
+    got = catalogue.fasta_search(spark, SMALL)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 35
+
+
 def test_stream_equals_batch(spark, database):
     queries = spark.createDataFrame([(0, "a", "ACDEFGHIKL"), (1, "b", "WYWYVTSRQ"), (2, "c", "123")], "query_id long, title string, residues string")
     for k in range(3):
