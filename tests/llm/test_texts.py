@@ -287,7 +287,8 @@ def test_field_against_every_segmentation():
 
 @pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
 def test_field_finds_planted_misses(spark, scale):
-    """Entities of each kind in forms that the patterns miss, in the given documents' own words; and none where there is none."""
+    """Entities of each kind in forms that the patterns miss, most of them forms that training writes, in the given documents' own
+    words; and none where there is none."""
     r = random.Random(8)
     docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
     weights = pii.train(docs)
