@@ -197,3 +197,23 @@ class _Tile:
 def scores(query: bytes, lanes: np.ndarray, matrix: np.ndarray, gap_open: int, gap_extend: int, cells: int = BATCH_CELLS) -> np.ndarray:
     """Score of the query (encoded) with each lane (codes)."""
     return Batch(lanes, matrix, gap_open, gap_extend, cells).scores([query])[0]
+
+
+def best_diagonals(query: bytes, lanes: np.ndarray, lengths: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each lane (codes, padded to equal length) the best score of a run without a gap, 0 if none is positive, and its diagonal
+    (place in the lane less place in the query; of equal ones the smallest). A cell holds the best run that ends there."""
+    count, width = lanes.shape
+    never = -(1 << 30)  # for padding, whatever the matrix has
+    inside, profile = np.arange(width) < lengths[:, None], {}
+    best, diagonal = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    ends, every = np.zeros((count, width + 1), np.int32), np.arange(count)
+    for i, a in enumerate((np.frombuffer(query, np.uint8) - 1).tolist()):
+        if a not in profile:
+            profile[a] = np.where(inside, matrix[a].astype(np.int32)[lanes], never)
+        now = np.maximum(ends[:, :-1], 0) + profile[a]
+        at = now.argmax(axis=1)
+        score = now[every, at]
+        better = (score > best) | (score == best) & (score > 0) & (at - i < diagonal)
+        best[better], diagonal[better] = score[better], (at - i)[better]
+        ends[:, 1:] = now
+    return best, diagonal

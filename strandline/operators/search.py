@@ -128,13 +128,17 @@ def _scorer(params: SearchParams, top: int | None):
     return score
 
 
-def _scored(queries: DataFrame, db: DataFrame, params: SearchParams, top: int | None, tasks: int | None, observation: Observation | None) -> DataFrame:
-    spark = db.sparkSession
-    queries = queries.where("query_id is not null and octet_length(codes) > 0").select("query_id", "codes")
+def _shape(queries: DataFrame, tasks: int | None) -> tuple[int, int, int]:
+    """Rows and columns of the grid, and the longest query's residues."""
     facts = queries.agg(F.sum(F.octet_length("codes")).alias("residues"), F.max(F.octet_length("codes")).alias("longest")).first()
     rows = max(1, -(-(facts.residues or 0) // QUERY_RESIDUES))
-    columns = max(1, (tasks or 4 * spark.sparkContext.defaultParallelism) // rows)
-    overlap = kernel.reach(facts.longest or 0, params.scores(), params.gap_open, params.gap_extend)
+    return rows, max(1, (tasks or 4 * queries.sparkSession.sparkContext.defaultParallelism) // rows), facts.longest or 0
+
+
+def _scored(queries: DataFrame, db: DataFrame, params: SearchParams, top: int | None, tasks: int | None, observation: Observation | None) -> DataFrame:
+    queries = queries.where("query_id is not null and octet_length(codes) > 0").select("query_id", "codes")
+    rows, columns, longest = _shape(queries, tasks)
+    overlap = kernel.reach(longest, params.scores(), params.gap_open, params.gap_extend)
     cut = top is not None and overlap is not None  # pairs in full are not added up again, so they keep sequences whole
     sequences = pieces(db, max(params.piece, 4 * overlap), overlap) if cut else pieces(db, None, 0)
     found = grid(queries, sequences, rows, columns).mapInArrow(_scorer(params, top), SCORED)
@@ -144,6 +148,40 @@ def _scored(queries: DataFrame, db: DataFrame, params: SearchParams, top: int |
     return found.where("db_pos is not null").select("query_id", "db_pos", "score")
 
 
+def _diagonals(matrix: np.ndarray):
+    """A function over the rows of a place: each pair's best run without a gap, pairs without a positive score left out."""
+
+    def best(batches):
+        ids, queries = [], []
+        for batch in batches:
+            side = np.asarray(batch.column("side"))
+            for i in np.flatnonzero(side == 0):
+                ids.append(batch.column("id")[i].as_py())
+                queries.append(batch.column("codes")[i].as_py())
+            batch = batch.filter(pa.array(side == 1))
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pa.array(np.argsort(np.asarray(batch.column("len")), kind="stable")))
+            pos, codes, lengths = np.asarray(batch.column("id")), batch.column("codes").to_pylist(), np.asarray(batch.column("len"))
+            for part in kernel.batches(lengths):
+                lanes = kernel.padded(codes[part])
+                for query_id, query in zip(ids, queries, strict=True):
+                    score, diagonal = kernel.best_diagonals(query, lanes, lengths[part], matrix)
+                    some = score > 0
+                    columns = [pa.array([query_id] * int(some.sum()), pa.int64()), pa.array(pos[part][some], pa.int64())]
+                    columns += [pa.array(x[some], pa.int32()) for x in (diagonal, score)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "db_pos", "diagonal", "score"])
+
+    return best
+
+
+def best_diagonals(queries: DataFrame, db: DataFrame, matrix: np.ndarray, tasks: int | None = None) -> DataFrame:
+    """query_id, db_pos, diagonal, score of each pair that has a run of a positive score. Both sides: codes, not empty; db: len as well."""
+    rows, columns, _ = _shape(queries, tasks)
+    met = grid(queries, pieces(db, None, 0), rows, columns)
+    return met.mapInArrow(_diagonals(matrix), "query_id long, db_pos long, diagonal int, score int")
+
+
 def score_pairs(queries: DataFrame, db: DataFrame, params: SearchParams = SearchParams(), tasks: int | None = None, observation: Observation | None = None) -> DataFrame:
     """query_id, db_pos, score of every pair, zero scores included."""
     return _scored(queries, db, params, None, tasks, observation)

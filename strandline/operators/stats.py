@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.alphabet import LETTERS, OTHER, code_array
+from strandline.functions.alphabet import LETTERS, OTHER, SIZE, code_array, encode
+
+from . import search
 
 #: Sequences of a vector group, and positions of a column block.
 LANES, BLOCK = 16, 28
@@ -92,16 +95,15 @@ def ungapped(queries: DataFrame, db: DataFrame, matrix: DataFrame) -> DataFrame:
     """query_id, db_pos, diagonal, score: of each pair the best run of residues without a gap, and its diagonal (place in the
     sequence less place in the query; of equal ones the smallest). Pairs without a positive score are left out.
 
-    queries: query_id, residues; db: db_pos, residues; matrix: i, j, score. Places meet by an equi-join on what their
-    residues score. A run's score is a prefix sum less the smallest prefix sum before it.
+    queries: query_id, residues; db: db_pos, residues; matrix: i, j, score (residues that it doesn't list score 0). Sequences meet
+    queries on the search's grid and each pair is scored where it meets: no row a cell, and neither side is broadcast.
     """
-    place = lambda rows, key, at, code: rows.select(key, F.posexplode(code_array("residues")).alias(at, code))
-    scored = place(queries, "query_id", "p", "i").join(F.broadcast(matrix.select("i", "j", "score")), "i").join(place(db, "db_pos", "q", "j"), "j")
-    own = Window.partitionBy("query_id", "db_pos", "diagonal").orderBy("p")
-    upto = scored.withColumn("diagonal", F.col("q") - F.col("p")).withColumn("upto", F.sum("score").over(own))
-    least = F.least(F.lit(0), F.coalesce(F.min("upto").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    best = upto.withColumn("gain", F.col("upto") - least).groupBy("query_id", "db_pos").agg(F.max(F.struct("gain", (-F.col("diagonal")).alias("d"))).alias("x"))
-    return best.where("x.gain > 0").select("query_id", "db_pos", (-F.col("x.d")).cast("int").alias("diagonal"), F.col("x.gain").cast("int").alias("score"))
+    scores = np.zeros((SIZE, SIZE), np.int64)
+    for x in matrix.select("i", "j", "score").collect():  # at most a row for each pair of codes
+        scores[x.i, x.j] += x.score
+    codes = encode(F.regexp_replace("residues", f"[^{LETTERS}]", "J"))  # J has no code
+    coded = lambda rows, key: rows.where("residues <> ''").select(key, codes.alias("codes")).withColumn("len", F.octet_length("codes"))
+    return search.best_diagonals(coded(queries, "query_id"), coded(db, "db_pos"), scores)
 
 
 def score_profile(sequences: DataFrame, matrix: DataFrame) -> DataFrame:

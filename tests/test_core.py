@@ -341,6 +341,27 @@ def test_ungapped_against_all_diagonals(spark):
     assert {(x.query_id, x.db_pos): (x.diagonal, x.score) for x in got} == want and want
 
 
+def test_ungapped_has_no_row_a_cell(spark):
+    from strandline.plans import catalogue
+
+    plan = catalogue.ungapped_diagonals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # places of the database, which Spark broadcast, as it takes them for as small as the names
+
+
+def test_best_diagonals_of_lanes_of_unequal_length():
+    r = random.Random(15)
+    m = np.array([[r.randrange(-4, 6) for _ in range(24)] for _ in range(24)])  # residues without a code score as well; padding never does
+    texts = sorted((bytes(r.choices(range(1, 25), k=r.randrange(1, 12))) for _ in range(30)), key=len)
+    lengths = np.array(list(map(len, texts)))
+    for query in (bytes(r.choices(range(1, 25), k=n)) for n in (1, 4, 9)):
+        want = []
+        for t in texts:
+            runs = [(-sum(int(m[query[k] - 1, t[k + d] - 1]) for k in range(x, y)), d) for d in range(-len(query), len(t)) for x in range(max(0, -d), len(query)) for y in range(x + 1, min(len(query), len(t) - d) + 1)]
+            want.append(min([x for x in runs if x[0] < 0], default=(0, 0)))
+        score, diagonal = kernel.best_diagonals(query, kernel.padded(texts), lengths, m)
+        assert [(-s, d) for s, d in zip(score.tolist(), diagonal.tolist(), strict=True)] == want
+
+
 def test_flagship(spark):
     import __spark_entry__ as e
 
