@@ -68,7 +68,7 @@ def best_of_arriving(arriving: DataFrame, queries: DataFrame, params: SearchPara
             batch = batch.take(pa.array(np.argsort(np.asarray(batch.column("len")), kind="stable")))
             ordinals, titles, codes = (batch.column(c).to_pylist() for c in ("seq_ordinal", "title", "codes"))
             lengths = np.asarray(batch.column("len"))
-            for part in kernel.batches(lengths, params.batch_cells):
+            for part in kernel.batches(lengths, params.batch_cells, kernel.WIDE):
                 block = kernel.Batch(kernel.padded(codes[part]), params.scores(), params.gap_open, params.gap_extend, params.batch_cells)
                 for query, scores in zip(ids, block.scores(texts), strict=True):
                     found = zip(scores.tolist(), lengths[part].tolist(), ordinals[part], titles[part], strict=True)

@@ -341,6 +341,30 @@ def test_ungapped_against_all_diagonals(spark):
     assert {(x.query_id, x.db_pos): (x.diagonal, x.score) for x in got} == want and want
 
 
+@pytest.mark.parametrize("name, gap_open, gap_extend", [("blosum62", 10, 2), ("pam250", 3, 1), ("blosum45", 0, 0), ("pam30", 0, 3), ("blosum62", 30, 0), ("blosum50", 255, 127)])
+def test_whole_batches_in_bytes_and_16_bits(name, gap_open, gap_extend):
+    r = random.Random(16)
+    word = "".join(r.choices(LETTERS, k=70))
+    query = word + word[:30]
+    # copies with gaps among others, so that some lanes pass 255 and others don't; gaps longer than a segment
+    texts = ["".join(r.choices("ACDEFGHIKLWJ", k=n)) for n in (1, 7, 8, 9, 60, 150)] + [query, word[:40] + "A" * 17 + word[40:], word[:20] + word[33:], "W" * 90, word[:12]]
+    want = [plain(query, t, name, gap_open, gap_extend) for t in texts]
+    lanes, m = kernel.padded([encode_text(t) for t in texts]), matrix(name)
+    for kinds in ((np.uint8, np.uint16), (np.uint16,), ()):
+        assert kernel.Batch(lanes, m, gap_open, gap_extend, kinds=kinds).scores([encode_text(query)])[0].tolist() == want
+        least = sorted(want)[-3]
+        some = kernel.Batch(lanes, m, gap_open, gap_extend, kinds=kinds).scores([encode_text(query)], [least])[0].tolist()
+        assert [x for x in some if x >= least] == [x for x in want if x >= least]
+    if kernel._Whole.limit(m, gap_extend, gap_open + gap_extend, np.uint8) >= kernel.LEAST_SCORE:
+        best, over, _ = kernel._Whole(lanes, m, gap_extend, gap_open + gap_extend, np.uint8).run(encode_text(query), None)
+        assert over.any() and not over.all() and all(o or b == w for b, o, w in zip(best, over, want, strict=True))
+
+
+def test_scores_past_16_bits():
+    lanes = kernel.padded([encode_text("W" * 6_500), encode_text("WAW")])
+    assert kernel.scores(encode_text("W" * 6_000), lanes, matrix("blosum62"), 10, 2).tolist() == [66_000, plain("W" * 6_000, "WAW")]
+
+
 def test_ungapped_has_no_row_a_cell(spark):
     from strandline.plans import catalogue
 
