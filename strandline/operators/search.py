@@ -88,6 +88,8 @@ def _rows(query_id, pos, score, tally=None) -> pa.RecordBatch:
 def _scorer(params: SearchParams, top: int | None):
     """A function over the rows of a place. Besides hits it yields one row without a db_pos: its cells, those left out, its seconds."""
     matrix = params.scores()
+    # pairs in full leave nothing out, so a small working set asks for narrow tiles there and not for few lanes
+    room = params.batch_cells if top is not None else max(params.batch_cells, kernel.BATCH_CELLS)
 
     def score(batches):
         ids, queries, hits, cells, skipped, began = [], [], [], 0, 0, time.perf_counter()
@@ -103,7 +105,7 @@ def _scorer(params: SearchParams, top: int | None):
                 continue
             batch = batch.take(pa.array(np.argsort(np.asarray(batch.column("len")), kind="stable")))
             pos, own, codes, lengths = np.asarray(batch.column("id")), np.asarray(batch.column("own")), batch.column("codes").to_pylist(), np.asarray(batch.column("len"))
-            for part in reversed(list(kernel.batches(lengths, params.batch_cells, kernel.WIDE))):
+            for part in reversed(list(kernel.batches(lengths, room, kernel.WIDE))):
                 lanes = kernel.padded(codes[part])
                 there, use, least = kernel.counts(lanes), range(len(queries)), None
                 if top is not None:

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -365,6 +366,27 @@ def test_scores_past_16_bits():
     assert kernel.scores(encode_text("W" * 6_000), lanes, matrix("blosum62"), 10, 2).tolist() == [66_000, plain("W" * 6_000, "WAW")]
 
 
+def test_narrow_tiles_take_many_lanes():
+    """Pairs in full with a working set of eight cells: tiles of eight columns, but not a batch for each name."""
+    r = random.Random(17)
+    texts, query = sorted(("".join(r.choices(LETTERS, k=r.randrange(1, 30))) for _ in range(300)), key=len, reverse=True), "ACDEFWWGHIKL"
+    rows = [(0, 7, encode_text(query), len(query), 0)] + [(1, i, encode_text(t), len(t), len(t)) for i, t in enumerate(texts)]
+    kinds = zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in kinds], ["side", "id", "codes", "len", "own"])
+    got = [x for b in search._scorer(SearchParams(batch_cells=8), None)([batch]) for x in [b.to_pylist()]]
+    assert len(got) < 10  # 301 before
+    assert {x["db_pos"]: x["score"] for b in got for x in b if x["db_pos"] is not None} == {i: plain(query, t) for i, t in enumerate(texts)}
+
+
+def test_tiles_hand_on_for_some_queries_at_a_time(monkeypatch):
+    r = random.Random(18)
+    queries, texts = (["".join(r.choices(LETTERS, k=r.randrange(1, 40))) for _ in range(n)] for n in (9, 20))
+    monkeypatch.setattr(kernel, "HANDED_ON", 2_000)
+    lanes = kernel.padded([encode_text(t) for t in texts])
+    got = kernel.Batch(lanes, matrix("blosum62"), 10, 2, 8).scores([encode_text(q) for q in queries])
+    assert got.tolist() == [[plain(q, t) for t in texts] for q in queries]
+
+
 def test_ungapped_has_no_row_a_cell(spark):
     from strandline.plans import catalogue
 
