@@ -206,7 +206,8 @@ def fasta_files(spark, sf_dir):
     folder = fresh_path(spark, "fasta")
     rows = documents(spark, sf_dir).select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce(letters("residues"), F.lit("")).alias("residues"))
     wrapped = F.regexp_replace("residues", "(.{70})(?=.)", "$1\r\n")
-    rows.repartition(5, "title").select(F.concat(F.lit(">"), "title", F.lit("\r\n"), wrapped, F.lit("\r")).alias("value")).write.text(folder)
+    lines = rows.select("title", F.concat(F.lit(">"), "title", F.lit("\r\n"), wrapped, F.lit("\r")).alias("value"))
+    lines.repartition(max(5, spark.sparkContext.defaultParallelism), "title").select("value").write.text(folder)
     read = read_fasta(spark, folder, split=100_000)
     return read.select(F.col("title").cast("long").alias("doc_id"), "residues", (F.col("seq_ordinal") >= 0).alias("placed"))
 

@@ -15,6 +15,7 @@ import fnmatch
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs
@@ -25,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "seq_ordinal long, title string, residues string"
 #: Bytes of a range, of a read, and of a batch.
 SPLIT, READ, BATCH = 64 << 20, 4 << 20, 8 << 20
+#: Bytes that a first read takes beyond its range, and of ranges that a task reads one after another.
+AHEAD, TASK = 16 << 10, 8 << 20
 #: Stores that Arrow opens by itself; others are left to Spark's text source.
 STORES = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 _BLANKS = b" \t\r\n\x0b\x0c"
@@ -54,7 +57,8 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of the records that begin from start to before end."""
     at = max(0, start - 1)
     file.seek(at)
-    data, begin, size = file.read(READ), None, READ
+    least = READ if start == 0 else min(READ, end - at + AHEAD)  # a range of few bytes reads few
+    data, begin, size = file.read(least), None, least
     if at == 0 and start == 0:
         head = len(data) - len(data.lstrip(_BLANKS))
         first = data[head : head + 1]
@@ -81,7 +85,7 @@ def records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 yield at + begin, data[begin:]
             return
         keep = begin if begin is not None else max(0, len(data) - 1)
-        size = max(READ, len(data) - keep)  # a long record is read in growing steps, so that it is not copied again and again
+        size = max(least, len(data) - keep)  # a long record is read in growing steps, so that it is not copied again and again
         seen = max(0, len(data) - 1 - keep)
         at, data, begin = at + keep, data[keep:] + more, None if begin is None else 0
 
@@ -94,6 +98,11 @@ class FileRange(InputPartition):
     before: int
 
 
+@dataclass
+class FileRanges(InputPartition):
+    ranges: list[FileRange]
+
+
 class FastaReader(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
@@ -106,18 +115,23 @@ class FastaReader(DataSourceReader):
         return out or [FileRange("", 0, 0, 0)]
 
     def read(self, partition):
-        if not partition.path:
-            return
+        return self._rows([partition])
+
+    def _rows(self, every: list[FileRange]) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
         rows, size = [], 0
-        with store.open_input_file(partition.path) as file:
-            for offset, record in records(file, partition.start, partition.end):
-                head, _, body = record.partition(b"\n")
-                rows.append((partition.before + offset, head[1:].rstrip().decode("utf-8", "replace"), body.translate(None, _BLANKS).decode("utf-8", "replace")))
-                size += len(record)
-                if size >= BATCH or len(rows) >= 5_000:
-                    yield self._batch(rows)
-                    rows, size = [], 0
+        for path, ranges in groupby(every, lambda x: x.path):
+            if not path:
+                return
+            with store.open_input_file(path) as file:
+                for own in ranges:
+                    for offset, record in records(file, own.start, own.end):
+                        head, _, body = record.partition(b"\n")
+                        rows.append((own.before + offset, head[1:].rstrip().decode("utf-8", "replace"), body.translate(None, _BLANKS).decode("utf-8", "replace")))
+                        size += len(record)
+                        if size >= BATCH or len(rows) >= 5_000:
+                            yield self._batch(rows)
+                            rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -127,6 +141,23 @@ class FastaReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["seq_ordinal", "title", "residues"])
 
 
+class PackedReader(FastaReader):
+    """Small ranges are packed to tasks of TASK bytes, as a task costs more than the reading of a small range."""
+
+    def partitions(self):
+        out, room = [], 0
+        for own in super().partitions():
+            if not out or room < own.end - own.start:
+                out.append(FileRanges([]))
+                room = TASK
+            out[-1].ranges.append(own)
+            room -= own.end - own.start
+        return out
+
+    def read(self, partition):
+        return self._rows(partition.ranges)
+
+
 class FastaSource(DataSource):
     """Options: path; split (bytes of a range)."""
 
@@ -141,7 +172,7 @@ class FastaSource(DataSource):
         split = int(self.options.get("split", SPLIT))
         if split < 1 or "path" not in self.options:
             raise ValueError("fasta needs a path, and a split of a byte or more")
-        return FastaReader(self.options["path"], split)
+        return PackedReader(self.options["path"], split)
 
 
 def register(spark: SparkSession) -> None:

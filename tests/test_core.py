@@ -366,6 +366,34 @@ def test_scores_past_16_bits():
     assert kernel.scores(encode_text("W" * 6_000), lanes, matrix("blosum62"), 10, 2).tolist() == [66_000, plain("W" * 6_000, "WAW")]
 
 
+def test_small_ranges_share_a_task_and_read_little(spark, tmp_path):
+    r = random.Random(19)
+    want = [(f"t{i}", "".join(r.choices(LETTERS, k=r.choice([0, 5, 90, 3_000, 60_000])))) for i in range(60)]
+    path = tmp_path / "in" / "a.fasta"
+    path.parent.mkdir()
+    path.write_text("".join(f">{t}\r\n{x}\r\n" for t, x in want))
+    rows = read_fasta(spark, str(path.parent), split=1_000)
+    assert rows.rdd.getNumPartitions() == 1  # a thousand before
+    got = rows.orderBy("seq_ordinal").collect()
+    assert [(x.title, x.residues) for x in got] == want
+
+    class Counted:
+        taken = 0
+
+        def __init__(self, file):
+            self.file, self.seek = file, file.seek
+
+        def read(self, n):
+            data = self.file.read(n)
+            Counted.taken += len(data)
+            return data
+
+    size = path.stat().st_size
+    with path.open("rb") as file:
+        found = [x for a in range(0, size, 10_000) for x in fasta.records(Counted(file), a, min(size, a + 10_000))]
+    assert len(found) == len(want) and Counted.taken < 8 * size
+
+
 def test_narrow_tiles_take_many_lanes():
     """Pairs in full with a working set of eight cells: tiles of eight columns, but not a batch for each name."""
     r = random.Random(17)
