@@ -113,7 +113,8 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, c
     bounds = F.broadcast(bounds)
     parts = lambda df, rows: max(1, -(-df.count() // rows))
     n = parts(distinct, CANDIDATES)
-    q = _packed(queries, parts(queries, QUERIES), "vec_id", "v", np.float64).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "values": "q_values"})
+    q_n = parts(queries, QUERIES)
+    q = _packed(queries, q_n, "vec_id", "v", np.float64).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "values": "q_values"})
     c = written(_packed(approximated(distinct, cells), n, "no", "cells", np.uint8), "cells")
 
     def bound(batches):
@@ -134,8 +135,10 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, c
                 i, j = np.nonzero(upper >= least[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(lower[i, j]), pa.array(upper[i, j])], ["query_id", "no", "lower", "upper"])
 
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = c.join(q, ["dim", "block"]).join(bounds, "dim").repartition(F.col("dim"), F.col("block"), F.col("q_block"))
+    # Query blocks become n times as many here, and vectors are larger than their files: Spark, which counts bytes before either,
+    # must not take a side for small and send it through the driver.
+    q = q.repartition(q_n, "dim", "q_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = c.join(q.hint("merge"), ["dim", "block"]).join(bounds, "dim").repartition(F.col("dim"), F.col("block"), F.col("q_block"))
     near = written(met.mapInArrow(bound, "query_id long, no long, lower double, upper double"), "bounds")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).where(F.col("r") <= k + 1)
     certain = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least"))
@@ -147,7 +150,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, c
         # the next candidates of each query, by upper bound
         turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "no"))
         now = left.withColumn("turn", turn).where(F.col("turn") <= wave)
-        exact = now.join(distinct.select("no", "v", "ids"), "no").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        exact = now.join(distinct.select("no", "v", "ids").hint("merge"), "no").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).hint("merge"), "query_id")
         score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
         found = exact.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -217,6 +217,25 @@ def test_top_k_in_waves_and_of_large_vectors(spark, monkeypatch):
             exact_top_k.top_k(spark.createDataFrame([(0, [big] * 3), (1, [1.0] * 3)], "vec_id long, embedding array<double>")).collect()
 
 
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """Query blocks, repeated for each candidate block, and vectors don't go through the driver, however small Spark takes them
+    for; two edges a component do."""
+    plans, write = {}, exact_top_k.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(exact_top_k, "written", seen)
+    monkeypatch.setattr(exact_top_k, "CANDIDATES", 20)
+    r = np.random.default_rng(6)
+    vectors = {i: r.normal(0, 0.3, 8).tolist() for i in range(100)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, exact_top_k.top_k(table, every=10).collect())) == brute_top(vectors, 5, 10)
+    assert plans["bounds"][0].count("BroadcastExchange") == 1 and plans["best"]
+    assert not any("BroadcastExchange" in p for p in plans["best"])
+
+
 def test_items_that_share_a_line(spark):
     """Many items share a window: a document's places meet the window once, and every item is counted."""
     r = random.Random(21)
