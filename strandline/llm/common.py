@@ -62,9 +62,10 @@ def small(table: DataFrame, width: Column, limit: int = 64 << 20) -> DataFrame:
     return F.broadcast(table) if size <= limit else table.hint("merge")
 
 
-def some_rows(df: DataFrame, n: int) -> DataFrame:
-    """About n rows of df (all, if it has fewer). For choices that results don't depend on."""
+def some_rows(df: DataFrame, n: int, each: int | None = None) -> DataFrame:
+    """About n rows of df (all, if it has fewer), or one in ``each`` if these are more. For choices that results don't depend on."""
     total = df.count()
+    n = max(n, total // each) if each else n
     return df if total <= n else df.sample(fraction=n / total, seed=17)
 
 

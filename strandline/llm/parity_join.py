@@ -45,6 +45,15 @@ SKETCH_BITS = 1024
 #: Of each document's keys, in order of value, those that make stars, and those that tell where a pair is to be reported.
 LOW_KEYS = 6
 HOT_DOCS, SAMPLE_DOCS, HOT_SHINGLES, HOT_BITS = 6, 3_000, 100_000, 22
+#: One in so many documents is in the sample, if that is more: what is frequent is then a number of documents and not a share of them,
+#: as pairs of a key's members grow with its square.
+SAMPLE_EACH = 80
+#: Members of a key that are compared each with each other at once, without looking for nearest pairs first.
+FEW = 16
+#: Nearest pairs are looked for round by round while one joins more than so many components.
+JOINS = 1_000
+#: Rows of nearest pairs that a cell gathers before it keeps each component's first.
+GATHERED = 1 << 19
 #: Members of a key that are compared in one task, about.
 HOT_MEMBERS = 8_192
 
@@ -64,12 +73,30 @@ def shingles(block: pa.RecordBatch, column: str = "text", words: int = WORDS) ->
     short = np.flatnonzero((lengths > 0) & (lengths < words))
     rows = np.concatenate([row[: len(whole)][inside], short])
     hashes = np.concatenate([whole[inside], rolling.at(units.starts[short], units.starts[short + 1]) + np.uint64(1)])
-    order = np.lexsort((hashes, rows))
+    order = _ordered(rows, hashes)
     rows, hashes = rows[order], hashes[order]
     fresh = np.append(True, (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])) if len(rows) else np.zeros(0, bool)
     return rows[fresh], hashes[fresh]
 
 
+def _ordered(row: np.ndarray, value: np.ndarray, first: np.ndarray | None = None, bits: int = 0) -> np.ndarray:
+    """Where values stand in order of (row, first, value); first: numbers of so many bits. One sort, of numbers made of row, first and
+    the value's first bits, unless different values agree in these."""
+    of_row = int(row.max(initial=0)).bit_length()
+    left = 64 - of_row - bits
+    if left >= 32:
+        number = value >> np.uint64(64 - left)
+        if of_row:
+            number |= row.astype(np.uint64) << np.uint64(64 - of_row)
+        if first is not None:
+            number |= first.astype(np.uint64) << np.uint64(left)
+        order = np.argsort(number)
+        number, there = number[order], value[order]
+        if not ((number[1:] == number[:-1]) & (there[1:] != there[:-1])).any():
+            return order
+    return np.lexsort((value, row) if first is None else (value, first, row))
+
+
 def _band(n: np.ndarray) -> np.ndarray:
     """0 under SMALL, then 1, 2, ... for sizes from SMALL, SMALL * RATIO, ..."""
     band = np.zeros(len(n), np.int64)
@@ -89,7 +116,9 @@ def parts(row: np.ndarray, t: np.ndarray, band: np.ndarray, seed: int, hot: np.n
     k = np.ceil(PARTS_PER_SHINGLE * _upper(band)).astype(np.uint64)[row]
     place = mix(t + np.uint64(seed)) % np.maximum(k, np.uint64(1))
     place = np.where(band[row] == 0, mix(t), place)
-    order = np.lexsort((place, row))
+    # places come first in their numbers' bits: those of sketches are small
+    spread = np.uint64(64 - int(k.max(initial=np.uint64(1))).bit_length())
+    order = _ordered(row, np.where(band[row] == 0, place, place << spread))
     row, place, t = row[order], place[order], t[order]
     if not len(row):
         return row, t, row, np.zeros(0, bool)
@@ -101,14 +130,14 @@ def parts(row: np.ndarray, t: np.ndarray, band: np.ndarray, seed: int, hot: np.n
     return row, mix(value ^ mix(place[cut] * np.uint64(64) + band[row].astype(np.uint64))), count, known
 
 
-def too_few_parts(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Which rows fill so few parts of their band's sketch that a similar one may agree on none."""
+def too_few_parts(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int, filled: tuple | None = None) -> np.ndarray:
+    """Which rows fill so few parts of their band's sketch that a similar one may agree on none. filled: ``parts`` of their own bands, if known."""
     band = _band(sizes)
-    return (band > 0) & (np.bincount(parts(row, t, band, seed, None)[0], minlength=len(sizes)) < 2 * sizes // 7 + 1)
+    return (band > 0) & (np.bincount((filled or parts(row, t, band, seed, None))[0], minlength=len(sizes)) < 2 * sizes // 7 + 1)
 
 
-def join_keys(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int, hot: np.ndarray):
-    """(row, key) that every row joins by."""
+def join_keys(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int, hot: np.ndarray, filled: tuple | None = None):
+    """(row, key) that every row joins by. filled: ``parts`` of the rows' own bands, if known."""
     own = _band(sizes)
     rows, keys = [], []
     up = (sizes > 0) & (4 * sizes >= 3 * _upper(own))
@@ -116,8 +145,8 @@ def join_keys(row: np.ndarray, t: np.ndarray, sizes: np.ndarray, seed: int, hot:
         use = up if more else sizes > 0
         band = own + more
         pick = use[row]
-        r, key, count, known = parts(row[pick], t[pick], band, seed, hot)
-        order = np.lexsort((key, -count, known, r))
+        r, key, count, known = filled if filled and not more else parts(row[pick], t[pick], band, seed, hot)
+        order = _ordered(r, key, known * 256 + 255 - np.minimum(count, 255), 9)
         r, key = r[order], key[order]
         first = np.searchsorted(r, np.arange(len(sizes)))
         rank = np.arange(len(r)) - first[r]
@@ -168,15 +197,15 @@ def _sets(row: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
 
 
 def hot_shingles(texts: DataFrame) -> np.ndarray:
-    """A bit map over the first HOT_BITS bits of shingle hashes, set for at most HOT_SHINGLES that several of about
-    SAMPLE_DOCS documents hold. It only decides the order of keys, so a wrong bit does no harm."""
+    """A bit map over the first HOT_BITS bits of shingle hashes, set for at most HOT_SHINGLES that several of a sample's documents
+    hold (about SAMPLE_DOCS, or one in SAMPLE_EACH). It only decides the order of keys, so a wrong bit does no harm."""
 
     def seen(batches):
         for batch in batches:
             for block in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(block)[1].view(np.int64))], ["t"])
 
-    often = some_rows(texts, SAMPLE_DOCS).select("text").mapInArrow(seen, "t long").groupBy("t").count().where(F.col("count") >= HOT_DOCS)
+    often = some_rows(texts, SAMPLE_DOCS, SAMPLE_EACH).select("text").mapInArrow(seen, "t long").groupBy("t").count().where(F.col("count") >= HOT_DOCS)
     top = often.orderBy(F.desc("count"), "t").limit(HOT_SHINGLES).select("t").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     bits = np.zeros(1 << HOT_BITS, bool)
     bits[(top >> np.uint64(64 - HOT_BITS)).astype(np.int64)] = True
@@ -197,9 +226,10 @@ def described(texts: DataFrame, seed: int, hot) -> DataFrame:
             for ids, row, t, sizes in _blocks_of(batch):
                 n = len(ids)
                 both, sketches = _sets(row, t, n), _sketches(row, t, n)
-                weak = too_few_parts(row, t, sizes, seed)
-                r, key = join_keys(row, t, sizes, seed, hot.value)
-                order = np.lexsort((key, r))
+                filled = parts(row, t, _band(sizes), seed, hot.value)
+                weak = too_few_parts(row, t, sizes, seed, filled)
+                r, key = join_keys(row, t, sizes, seed, hot.value, filled)
+                order = _ordered(r, key)
                 edges, key = np.searchsorted(r[order], np.arange(n + 1)) * 8, key[order].tobytes()
                 keys = [key[edges[i] : edges[i + 1]] for i in range(n)]
                 columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array([_short(s) for s in sketches], pa.binary()), pa.array(weak), pa.array(keys, pa.binary())]
@@ -215,7 +245,13 @@ def stars(about: DataFrame) -> DataFrame:
     def star(key, ids, low):
         """Entries by key, low ones first, then by id: which are a key's first, which have company, and the distinct pairs
         of a key's first and its other low entries."""
-        order = np.lexsort((ids, ~low, key))
+        order = np.argsort(key)
+        there = key[order]
+        more = np.zeros(len(key), bool)  # only keys that come several times have an order of their own
+        more[1:] = there[1:] == there[:-1]
+        more[:-1] |= more[1:]
+        several = order[more]
+        order[more] = several[np.lexsort((ids[several], ~low[several], key[several]))]
         key, ids, low = key[order], ids[order], low[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])) if len(key) else np.zeros(0, bool)
         key, ids, low = key[fresh], ids[fresh], low[fresh]
@@ -310,8 +346,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append((100 * common >= 75 * (a + b - common)) & (common > 0))
         return pa.array(np.concatenate([*out, np.zeros(0, bool)]))
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    check = pairs.where(~F.col("equal")).join(side("b"), "b").join(side("a"), "a")
+    asked = pairs.where(~F.col("equal"))
+    ids = written(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    own = texts.join(small(ids, F.lit(16)), "doc_id", "left_semi")  # so that other texts don't travel
+    side = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
+    check = asked.join(side("b"), "b").join(side("a"), "a")
     found = check.where(F.arrow_udf(similar, "boolean")("t_a", "t_b")).select("a", "b").distinct()
     return pairs.where("equal").select("a", "b").unionByName(found)
 
@@ -389,7 +428,8 @@ def across(members: DataFrame, about: DataFrame, nearest: bool) -> DataFrame:
             lowest = np.full((len(n), LOW_KEYS), np.iinfo(np.int64).max)
             for i, j in enumerate(order):
                 lowest[i, : len(low[j])] = low[j]
-        pairs, best, opened, at, ahead = [np.zeros((0, 2), np.int64)], np.zeros((0, 4), np.int64), [np.zeros(0, np.int64)], np.arange(len(n)), 0
+        pairs, opened, at, ahead = [np.zeros((0, 2), np.int64)], np.zeros(len(n), bool), np.arange(len(n)), 0
+        best, gathered = [np.zeros((0, 4), np.int64)], 0  # the first of each component, and what has come since
         while len(at):
             ahead += 1
             at = at[at + ahead < len(n)]
@@ -403,8 +443,11 @@ def across(members: DataFrame, about: DataFrame, nearest: bool) -> DataFrame:
                 x, y, distance = x[hit], y[hit], distance[hit]
                 if nearest:
                     part, a, b = distance * 1000 // (n[x] + n[y]), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-                    best = _first_of_each(np.concatenate([best, *(np.stack([root[z], part, a, b], 1) for z in (x, y))]))
-                    opened.append(np.unique(key[x]))
+                    best += [np.stack([root[z], part, a, b], 1) for z in (x, y)]
+                    gathered += 2 * len(x)
+                    if gathered > max(GATHERED, len(best[0])):
+                        best, gathered = [_first_of_each(np.concatenate(best))], 0
+                    opened[x] = True
                     continue
                 # a pair with a smaller key in common, among the lowest of both, is reported there
                 same = (lowest[x][:, :, None] == lowest[y][:, None, :]) & (lowest[x] < key[x][:, None])[:, :, None]
@@ -414,7 +457,7 @@ def across(members: DataFrame, about: DataFrame, nearest: bool) -> DataFrame:
         if not nearest:
             found = np.unique(np.concatenate(pairs), axis=0)
             return pa.table({"a": found[:, 0], "b": found[:, 1]})
-        opened = np.unique(np.concatenate(opened))
+        best, opened = _first_of_each(np.concatenate(best)), np.unique(key[opened])
         columns = [np.concatenate([c, np.zeros(len(opened), np.int64)]) for c in best.T]
         return pa.table(dict(zip(("root", "d", "a", "b"), columns, strict=True)) | {"key": pa.array(np.concatenate([np.zeros(len(best), np.int64), opened]), mask=np.arange(len(best) + len(opened)) < len(best))})
 
@@ -452,18 +495,23 @@ def linked_components(docs: DataFrame) -> DataFrame:
     members = still_split(held.join(copies, held["id"] == copies["b"], "left_anti").distinct(), roots)
     discard(found, pairs)
     release(spark)
-    # each component's nearest pair joins it to another; keys without any pair that may link are done with
-    while not members.isEmpty():
-        near = written(across(members, sets, True), "nearest")
+    # In keys of many members each component's nearest pair joins it to another; such keys without any pair that may link are left
+    # alone. Components of a group all of whose pairs link are at least halved, so as many as were joined are left of such groups at most.
+    sizes = members.groupBy("key").count().where(F.col("count") > FEW).select("key")
+    crowded, joins, before = written(members.join(sizes, "key"), "crowded"), JOINS + 1, roots
+    while joins > JOINS and not crowded.isEmpty():
+        near = written(across(crowded, sets, True), "nearest")
         least = near.where("key is null").groupBy("root").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         links = written(verified(written(possible(least, sets), "pairs"), texts), "links")
-        last, members = members, members.join(near.where("key is not null").select("key").distinct(), "key")
-        if links.isEmpty():
-            break
-        roots = joined(roots, links)
-        members = still_split(members, roots)
-        discard(last, near)
+        joins = links.count()
+        if joins:
+            roots = joined(roots, links)
+            last, crowded = crowded, still_split(crowded.join(near.where("key is not null").select("key").distinct(), "key"), roots)
+            discard(last, near)
         release(spark)
+    if roots is not before:
+        last, members = members, still_split(members, roots)
+        discard(last)
     # then every pair that is left
     if not members.isEmpty():
         rest = written(possible(across(members, sets, False), sets), "pairs")

@@ -217,6 +217,33 @@ def test_top_k_in_waves_and_of_large_vectors(spark, monkeypatch):
             exact_top_k.top_k(spark.createDataFrame([(0, [big] * 3), (1, [1.0] * 3)], "vec_id long, embedding array<double>")).collect()
 
 
+def test_keys_of_few_members_need_no_rounds(spark, monkeypatch):
+    """Documents that share keys but are no near copies: their pairs are compared once, not in rounds of nearest pairs."""
+    calls, across = [], parity_join.across
+
+    def seen(members, about, nearest):
+        calls.append(nearest)
+        return across(members, about, nearest)
+
+    monkeypatch.setattr(parity_join, "across", seen)
+    r, texts = random.Random(31), []
+    for _ in range(12):
+        words = prose(r, 60, 10_000).split()
+        texts += [" ".join(words), " ".join(words[:52] + prose(r, 8, 10_000).split()), " ".join(words[:48] + prose(r, 12, 10_000).split())]
+    assert len(check(spark, texts)) >= 12
+    assert calls == [False]
+
+
+def test_one_sort_orders_as_three_do():
+    """Also where numbers that begin alike are told apart by their last bits only, and for more rows than leave bits for values."""
+    r = np.random.default_rng(8)
+    for rows, values in ((50, r.integers(0, 1 << 63, 3000)), (50, r.integers(0, 40, 3000)), (1, r.integers(0, 9, 300)), (1 << 40, r.integers(0, 1 << 63, 3000))):
+        row, value, first = r.integers(0, rows, len(values)), values.astype(np.uint64), r.integers(0, 512, len(values))
+        for own in (None, first):
+            order, want = parity_join._ordered(row, value, own, 9 if own is not None else 0), np.lexsort((value, row) if own is None else (value, own, row))
+            assert all((x[order] == x[want]).all() for x in (row, value, *([first] if own is not None else [])))
+
+
 def test_vectors_are_not_broadcast(spark, monkeypatch):
     """Query blocks, repeated for each candidate block, and vectors don't go through the driver, however small Spark takes them
     for; two edges a component do."""
